@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +22,58 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.line_dedup import dedup_lines
+
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH ls AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+u AS (SELECT doc_id, unnest(range(len(parts))) AS p, unnest(parts) AS line FROM ls),
+w AS (SELECT doc_id, p, lead(p, 2) OVER d AS q, line AS l0, lead(line) OVER d AS l1, lead(line, 2) OVER d AS l2
+      FROM u WHERE regexp_matches(line, '[^ \t\r\f\x0B]') WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+o AS (SELECT *, row_number() OVER (PARTITION BY l0, l1, l2 ORDER BY doc_id, p) AS nth FROM w WHERE q IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, q + 1)) AS p FROM o WHERE nth > 1)
+SELECT u.doc_id, count(*) AS n_lines, count(gone.p) AS n_removed,
+       sha256(coalesce(string_agg(u.line, chr(10) ORDER BY u.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.p GROUP BY u.doc_id
+"""
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.decontaminate import scan
+
+    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') AS win
+       FROM (SELECT item, w, unnest(range(greatest(len(w) - 12, 1))) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, s, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_decontamination": op6_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL}
