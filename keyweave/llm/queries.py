@@ -70,10 +70,17 @@ FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_i
 """
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.flac import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_flac": op7_flac,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL}
