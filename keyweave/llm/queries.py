@@ -76,11 +76,25 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_flac": op7_flac,
+    "op8_language": op8_language,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL}
