@@ -42,6 +42,12 @@ FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.p GROUP BY u.doc_
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyweave.llm.licenses import scan_licenses
 
@@ -115,6 +121,7 @@ FROM e GROUP BY conv_id
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_flac": op7_flac,
