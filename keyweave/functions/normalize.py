@@ -94,7 +94,7 @@ def normalize_text(text: Column, options: dict | None = None) -> Column:
     if o.get("unicode_normalize", True) and not ascii_only:
         out = _unicode(True, False)(out)
     if o.get("remove_special_spaces", True):
-        out = F.translate(out, " 　", "  ")
+        out = F.translate(out, "\u00a0\u3000", "  ")
     if o.get("remove_line_breaks", True):
         out = F.regexp_replace(out, r"[\r\n]+", " ")
     for old, new in (o.get("replacements") or {}).items():
