@@ -8,9 +8,9 @@ hold a partner are passed over; pairs that survive are verified on the sets them
 Texts of equal sets are one class.  Classes meet in blocks: of the n members of a set, the
 n - ceil(0.8 n) + 1 rarest ones (by a fixed-size count over the whole corpus, then by hash) must hold
 one that a partner also has among its own.  Blocks with the same classes are looked at once.  In each
-block all classes are first held against the one that shares most; what that links is one component,
-and only classes of different components are then searched for in the R-trees of the block.  A block
-of any size is cut into tiles of bounded size.
+block all classes are first held against the one that shares most, its middle; what that links is one
+component.  Blocks with the same middle make one cluster, and only classes of different components
+are then searched for in the R-trees of a cluster, which is cut into tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -219,7 +219,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int,
 
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels that R-trees can't rule out; rows: token, i, j, chunk, node, label, n, vector."""
+    """Pairs of different labels that R-trees can't rule out; rows: middle, i, j, chunk, node, label, n, vector."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def tile(node, label, n, chunk, vectors) -> list[tuple[int, int]]:
@@ -239,7 +239,7 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
         rest = None
         for batch in batches:
             whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            keys = np.stack([np.asarray(whole.column(c)) for c in ("token", "i", "j")], 1)
+            keys = np.stack([np.asarray(whole.column(c)) for c in ("middle", "i", "j")], 1)
             starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1))
             rest = whole.slice(int(starts[-1]))
             yield from found(whole, starts)
@@ -256,7 +256,7 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
         if pairs:
             yield batch_of(schema, u=[max(p) for p in pairs], v=[min(p) for p in pairs])
 
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = rows.repartition("middle", "i", "j").sortWithinPartitions("middle", "i", "j")
     return map_batches(dealt, search, "u long, v long").distinct()
 
 
@@ -287,15 +287,16 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     weight = held.groupBy("node").agg(F.sum(F.col("c") * F.col("times")).alias("shared")).join(points.select("node", "n"), "node").select("node", (F.col("shared") / F.col("n")).alias("weight"))
     weighted = held.join(weight, "node")
     middle = weighted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("m")).select("token", F.col("m.node").alias("v"))
-    stars = held.join(middle, "token").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    # all that meets in blocks with one middle is one cluster, in which each pair stands once
+    clusters = cut(held.join(middle, "token").select(F.col("v").alias("middle"), "node").distinct())
+    stars = clusters.where("node <> middle").select(F.col("node").alias("u"), F.col("middle").alias("v"))
     links = cut(_verified(cut(_likely(stars, points, percent)), narrow, points, words, percent))
     labels = cut(components(links))
-    labelled = held.join(labels, "node", "left").select("token", "node", "c", F.coalesce("label", "node").alias("label"))
-    open_blocks = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    chunks = F.ceil(F.col("c") / TILE).cast("int")
-    tiles = labelled.join(open_blocks, "token").join(points.select("node", "n", "vector"), "node").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    labelled = clusters.join(labels, "node", "left").select("middle", "node", F.coalesce("label", "node").alias("label"))
+    open_clusters = labelled.groupBy("middle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high").select("middle", F.ceil(F.col("c") / TILE).cast("int").alias("chunks"))
+    tiles = labelled.join(open_clusters, "middle").join(points.select("node", "n", "vector"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
-    spread = other.select("token", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "label", "n", "vector")
+    spread = other.select("middle", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "label", "n", "vector")
     more = cut(_searched(spread, percent))
     if not more.isEmpty():
         links = links.unionByName(_verified(more, narrow, points, words, percent))
