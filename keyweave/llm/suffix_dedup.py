@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from keyweave.cluster import cut
 from keyweave.llm.induced import Suffixes, joined
-from keyweave.llm.textkit import _BYTE_VALUES, batch_of, map_batches, mix, prefix_sums, slices, spans_hash, texts_of
+from keyweave.llm.textkit import _BYTE_VALUES, batch_of, gram_hashes, map_batches, mix, prefix_sums, slices, spans_hash, texts_of
 
 LENGTH = 200
 ANCHOR = 32
@@ -38,9 +38,9 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     if windows <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     sums = prefix_sums(_BYTE_VALUES[data])
-    grams = np.arange(n - ANCHOR + 1)
-    hashes = spans_hash(sums, grams, grams + ANCHOR)
-    key = (hashes >> np.uint64(_PLACE)) << np.uint64(_PLACE) | grams.astype(np.uint64)
+    hashes = gram_hashes(sums, ANCHOR)
+    low = np.uint64((1 << _PLACE) - 1)
+    key = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     # the least of each run of ``width``: the least to the end of one block and from the start of the next
     padded = np.full(-(-len(key) // width) * width, ~np.uint64(0))
     padded[: len(key)] = key
@@ -48,19 +48,26 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     forward = np.minimum.accumulate(table, 1).ravel()
     backward = np.minimum.accumulate(table[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(backward[:windows], forward[width - 1 : width - 1 + windows])
-    anchor = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(windows), side="right") - 1
-    inside = np.arange(windows) + length <= offsets[row + 1]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    new = np.ones(len(at), bool)
-    new[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
+    # windows that end in their text, and where the anchor or the text changes among them
+    sizes = np.diff(offsets)
+    outside = np.zeros(n + 1, np.int8)
+    np.add.at(outside, np.maximum(offsets[1:] - length + 1, offsets[:-1])[sizes > 0], 1)
+    np.add.at(outside, offsets[1:][sizes > 0], -1)
+    inside = np.cumsum(outside[:windows], dtype=np.int8) == 0
+    new = inside.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+    starts = offsets[:-1][(sizes >= length) & (offsets[:-1] < windows)]
+    new[starts] = True
     heads = np.flatnonzero(new)
-    first, last = at[heads], at[np.append(heads[1:], len(at)) - 1]
-    rows = row[first]
-    content = mix(spans_hash(sums, first, last + length) ^ spans_hash(sums, first, anchor[first]))
-    return rows, first - offsets[rows], last - offsets[rows], hashes[anchor[first]], content
+    if not len(heads):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    rows = np.searchsorted(offsets, heads, side="right") - 1
+    first = heads
+    # a span ends before the next one, or with the last window of its text
+    last = np.minimum(np.append(heads[1:], windows) - 1, offsets[rows + 1] - length)
+    anchor = (least[heads] & low).astype(np.int64)
+    content = mix(spans_hash(sums, first, last + length) ^ spans_hash(sums, first, anchor))
+    return rows, first - offsets[rows], last - offsets[rows], hashes[anchor], content
 
 
 def _pieces(offsets: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:

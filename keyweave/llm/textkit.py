@@ -98,6 +98,18 @@ def spans_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return mix((sums[stop] - sums[start]) * inverses[start] + (stop - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def gram_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all spans of one length, one for each start; comparable among themselves alone."""
+    _, inverses = _grown(len(sums))
+    out = sums[length:] - sums[:-length]
+    out *= inverses[: len(out)]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        out ^= out >> _U(shift)
+        out *= _U(factor)
+    out ^= out >> _U(31)
+    return out
+
+
 class Words:
     """The words of consecutive texts: ``start`` and ``stop`` in bytes, ``of`` (first word of each text, then the end), ``hash``."""
 
