@@ -134,8 +134,8 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, cells, words: int, percent: int) -> DataFrame:
-    """(token, a): the rarest members of each set, as many as a partner can't miss all of."""
-    schema = pa.schema([("token", pa.int64()), ("a", pa.int64())])
+    """(a, tokens): the rarest members of each set, as many as a partner can't miss all of."""
+    schema = pa.schema([("a", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.frombuffer(cells.value, np.int64)
@@ -147,9 +147,11 @@ def _prefixes(docs: DataFrame, cells, words: int, percent: int) -> DataFrame:
                 rank = np.arange(len(members)) - np.repeat(at[:-1], n)
                 kept = rank < np.repeat(n + (-percent * n) // 100 + 1, n)
                 a, _ = _fingerprints(at, members)
-                yield batch_of(schema, token=members[order][kept].view(np.int64), a=a[rows[kept]])
+                edges = np.searchsorted(rows[kept], np.arange(len(n) + 1)).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(members[order][kept].view(np.int64), pa.int64()))
+                yield batch_of(schema, a=a, tokens=tokens).filter(pa.array(n > 0))
 
-    return map_batches(docs, emit, "token long, a long")
+    return map_batches(docs, emit, "a long, tokens array<long>")
 
 
 BITS = 1 << 24
@@ -277,7 +279,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     cells = spark.sparkContext.broadcast(times.tobytes())
     rows = summaries.where("cell is null").select("doc_id", "n", "a", "b", "vector")
     points = cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first_id"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
-    tokens = _prefixes(narrow, cells, words, percent)
+    tokens = cut(_prefixes(narrow, cells, words, percent)).select("a", F.explode("tokens").alias("token"))
     repeated = tokens.groupBy("token").count().where("count > 1").select("token")
     members = cut(tokens.join(repeated, "token").join(points.select("a", "node"), "a").select("token", "node").distinct())
     blocks = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
