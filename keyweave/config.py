@@ -16,7 +16,7 @@ JOIN_TYPES = ("outer", "left", "right", "inner")
 DATA_TYPES = ("text", "number", "unit_number", "date", "datetime", "boolean", "mixed")
 PICK_POLICIES = ("first", "last", "representative")
 COLLECTION_POLICIES = ("set", "multiset", "aggregate")
-AGGREGATES = ("sum", "mean", "min", "max", "count", "nunique", "first_date", "last_date", "concat_unique")
+AGGREGATES = ("sum", "mean", "min", "max", "count", "nunique", "first_date", "last_date", "concat_unique", "concat_sorted")
 MISSING_TOKENS = ("", "null", "none", "nan", "n/a", "na", "-")
 
 

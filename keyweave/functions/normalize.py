@@ -86,11 +86,11 @@ def _unicode(nfkc: bool, fold: bool):
 def normalize_text(text: Column, options: dict | None = None) -> Column:
     """The text steps in their fixed order; usual missing tokens become null.
 
-    ``assume_ascii`` says that no value has a letter beyond ASCII: the Python step is left out.
+    ``missing_tokens`` are others to take for that; ``assume_ascii`` says that no value has a letter beyond ASCII: the Python step is left out.
     """
     o = options or {}
     ascii_only = o.get("assume_ascii", False)
-    out = F.when(~is_missing(text), text)
+    out = F.when(~is_missing(text, o.get("missing_tokens")), text)
     if o.get("unicode_normalize", True) and not ascii_only:
         out = _unicode(True, False)(out)
     if o.get("remove_special_spaces", True):

@@ -160,11 +160,13 @@ def _picked(side: str, policy: DuplicatePolicy, how: str, sorted_by: bool) -> Co
     return F.min_by(rec, by(row))
 
 
-def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False) -> DataFrame:
+def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False, nm_picks: bool = False, drop_nulls: bool = False) -> DataFrame:
     """One row per key: status, flags, counts, row ids and an array of rule results.
 
     ``assume_ascii`` leaves the Unicode step, which runs in Python, out of the plan.  ``with_trace``
     adds what each source row's key came from.  ``key_only`` allows a configuration without rules.
+    ``nm_picks`` lets N:M keys pick the first or last row too, and ``drop_nulls`` leaves nulls out of
+    sets and multisets.
     """
     config.validate(rules_required=not key_only)
     rules = [_ascii(r, assume_ascii) for r in config.comparison_rules]
@@ -178,8 +180,9 @@ def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | Non
         F.count_if(in_a).alias("a_count"), F.count_if(in_b).alias("b_count"), F.min(F.when(in_a, F.col("__row_id"))).alias("first_a"), F.min(F.when(in_b, F.col("__row_id"))).alias("first_b"),
         _picked("A", pa_, how["A"], sorts["A"]).alias("one_a"), _picked("B", pb, how["B"], sorts["B"]).alias("one_b"),
     ]
-    if config.nm_policy == "representative":
-        aggregates += [_picked("A", pa_, "representative", sorts["A"]).alias("rep_a"), _picked("B", pb, "representative", sorts["B"]).alias("rep_b")]
+    picking = PICK_POLICIES if nm_picks else ("representative",)
+    if config.nm_policy in picking:
+        aggregates += [_picked("A", pa_, config.nm_policy, sorts["A"]).alias("rep_a"), _picked("B", pb, config.nm_policy, sorts["B"]).alias("rep_b")]
     if pa_.row_wise:
         aggregates.append(F.array_sort(F.collect_list(F.when(in_a, F.col("__rec")))).alias("all_a"))
     if pb.row_wise:
@@ -194,9 +197,9 @@ def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | Non
     modes = {"ONE_TO_MANY": pb.policy_type, "MANY_TO_ONE": pa_.policy_type, "MANY_TO_MANY": config.nm_policy}
     modes = {k: v for k, v in modes.items() if v in COLLECTION_POLICIES}
     if modes and rules:
-        collected = _collections(rows, rules, sorted(set(modes.values())))
+        collected = _collections(rows, rules, sorted(set(modes.values())), drop_nulls)
         grouped = grouped.join(collected, grouped["key"].eqNullSafe(collected["ckey"]), "left").drop("ckey")
-    return _classified(grouped, config, rules, n_keys, modes, with_trace)
+    return _classified(grouped, config, rules, n_keys, modes, with_trace, picking)
 
 
 def _unavailable(rules: list[Rule], reason: str) -> Column:
@@ -214,7 +217,7 @@ def _against(rules: list[Rule], single: Column, swapped: bool):
     return (lambda many: _compared(rules, many, single)) if swapped else (lambda many: _compared(rules, single, many))
 
 
-def _classified(grouped: DataFrame, config: Comparison, rules: list[Rule], n_keys: int, modes: dict[str, str], with_trace: bool) -> DataFrame:
+def _classified(grouped: DataFrame, config: Comparison, rules: list[Rule], n_keys: int, modes: dict[str, str], with_trace: bool, picking: tuple[str, ...]) -> DataFrame:
     kind = F.col("kind")
     pa_, pb, nm = config.duplicate_policy_a, config.duplicate_policy_b, config.nm_policy
     pair = _compared(rules, F.col("one_a"), F.col("one_b"))
@@ -244,9 +247,9 @@ def _classified(grouped: DataFrame, config: Comparison, rules: list[Rule], n_key
     if nm in COLLECTION_POLICIES:
         results, way = results.when(here, F.col(f"c_{nm}") if rules else pair), way.when(here, "PICK")
         duplicate_type = duplicate_type.when(here, f"MANY_TO_MANY:{nm}")
-    elif nm == "representative":
+    elif nm in picking:
         results, way = results.when(here, _compared(rules, F.col("rep_a"), F.col("rep_b"))), way.when(here, "PICK")
-        duplicate_type = duplicate_type.when(here, "MANY_TO_MANY:representative")
+        duplicate_type = duplicate_type.when(here, f"MANY_TO_MANY:{nm}")
     else:
         reason = "NM_NO_POLICY" if nm in ("error", "", "none") else "NM_UNKNOWN_POLICY"
         results, way = results.when(here, _unavailable(rules, reason)), way.when(here, "PENDING")
@@ -270,7 +273,7 @@ def _classified(grouped: DataFrame, config: Comparison, rules: list[Rule], n_key
     rows = rows.withColumn("status", status)
     ids = F.col("status").isin("IDENTICAL", "PARTIAL_MISMATCH", "FULL_MISMATCH") | (way.isin("PAIR", "PICK") & ~kind.isin(*(k for k in modes)))
     row_a, row_b = F.col("one_a.row_id"), F.col("one_b.row_id")
-    if nm == "representative":
+    if nm in picking:
         row_a, row_b = F.when(kind == "MANY_TO_MANY", F.col("rep_a.row_id")).otherwise(row_a), F.when(kind == "MANY_TO_MANY", F.col("rep_b.row_id")).otherwise(row_b)
     return rows.select(
         "key", key_display(F.col("key"), n_keys).alias("key_display"), "status", flags_of(F.col("status")).alias("flags"), F.coalesce(structural, F.array_join(told, "; ")).alias("reason"),
@@ -281,7 +284,7 @@ def _classified(grouped: DataFrame, config: Comparison, rules: list[Rule], n_key
     )
 
 
-def _collections(rows: DataFrame, rules: list[Rule], modes: list[str]) -> DataFrame:
+def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_nulls: bool) -> DataFrame:
     """(ckey, c_<mode> arrays of RESULT, u_a, u_b): value counts first by original, then by value, then by key.
 
     Each step sums before it shuffles, and no step holds a key's rows together.
@@ -302,11 +305,11 @@ def _collections(rows: DataFrame, rules: list[Rule], modes: list[str]) -> DataFr
         F.first("number").alias("number"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("first_a").alias("first_a"), F.min("first_b").alias("first_b"), F.count_if(F.col("a") > 0).alias("ua"), F.count_if(F.col("b") > 0).alias("ub"),
         F.bool_or(~F.col("ok") & (F.col("a") > 0)).alias("bad_a"), F.bool_or(~F.col("ok") & (F.col("b") > 0)).alias("bad_b"),
     )
-    has, full = F.col("value").isNotNull(), {}
+    has = F.col("value").isNotNull()
     wanted = {r.normalization_options.get("aggregation_method", "sum") for r in rules} if "aggregate" in modes else set()
     aggregates = [
         F.sum("ua").alias("ua"), F.sum("ub").alias("ub"), F.bool_or("bad_a").alias("bad_a"), F.bool_or("bad_b").alias("bad_b"),
-        F.bool_and((F.col("a") > 0) == (F.col("b") > 0)).alias("same_set"), F.bool_and(F.col("a") == F.col("b")).alias("same_multiset"),
+        *[F.coalesce(F.bool_and(F.when(has | F.lit(not drop_nulls), same)), F.lit(True)).alias(name) for name, same in (("same_set", (F.col("a") > 0) == (F.col("b") > 0)), ("same_multiset", F.col("a") == F.col("b")))],
         F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("values"),
     ]
     for side in ("a", "b"):
@@ -317,10 +320,10 @@ def _collections(rows: DataFrame, rules: list[Rule], modes: list[str]) -> DataFr
                 "count": F.coalesce(F.sum(F.when(has, F.col(side))), F.lit(0)).cast("double"), "nunique": F.count_if(has & here).cast("double"),
                 "min": F.coalesce(double_or_none(F.min(F.when(here, F.col("number")))), F.min(F.when(here, F.col("value")))), "max": F.coalesce(double_or_none(F.max(F.when(here, F.col("number")))), F.max(F.when(here, F.col("value")))),
                 "first_date": F.min(F.when(here, F.col("value"))), "last_date": F.max(F.when(here, F.col("value"))),
+                "concat_sorted": F.array_join(F.array_sort(F.collect_list(F.when(here & has, F.col("value")))), "|"),
                 "concat_unique": F.array_join(F.transform(F.array_sort(F.collect_list(F.when(here & has, F.struct(f"first_{side}", "value")))), lambda x: x.value), " | "),
             }[method]
             aggregates.append(typed.alias(f"{method}_{side}"))
-            full[method] = typed
     perkey = values.groupBy("ckey", "rule").agg(*aggregates)
     bad = F.col("bad_a") | F.col("bad_b")
 

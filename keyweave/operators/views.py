@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.config import Comparison, Rule, to_dict
-from keyweave.functions.compare import DIFFERENT, EQUAL
+from keyweave.functions.compare import DIFFERENT
 from keyweave.operators.reconcile import STATUS_LABELS, lookup
 
 #: Headings of exports.
@@ -93,10 +93,3 @@ def settings_rows(config: Comparison) -> list[tuple[str, str]]:
 
 def settings(spark: SparkSession, config: Comparison) -> DataFrame:
     return spark.createDataFrame(settings_rows(config), "setting string, value string")
-
-
-def mapped_statuses(result: DataFrame) -> DataFrame:
-    """Statuses of the other dialect: matched, added, removed, changed, duplicate, nm-pending, invalid-key, conversion-failed."""
-    names = {"IDENTICAL": "matched", "PARTIAL_MISMATCH": "changed", "FULL_MISMATCH": "changed", "A_ONLY": "removed", "B_ONLY": "added", "DUPLICATE_BLOCKED": "duplicate", "DUP_EQUAL": "matched", "DUP_DIFF": "changed", "NM_PENDING": "nm-pending", "BLANK_KEY": "invalid-key", "CONVERSION_FAILED": "conversion-failed"}
-    spread = F.when(F.forall("rules", lambda x: x.status == EQUAL), "matched").otherwise("changed")
-    return result.withColumn("dialect_status", F.coalesce(lookup(names, F.col("status")), spread))

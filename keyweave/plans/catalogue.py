@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyweave.config import DuplicatePolicy, KeyMapping, KeyOptions, NullPolicy, Rule, Tolerance, compare
 from keyweave.functions import normalize, scalar
-from keyweave.operators import mapping, profile, reconcile, views
+from keyweave.operators import dialect, mapping, profile, reconcile, views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -373,6 +373,22 @@ def mapping_application(spark, sf_dir):
     return mapping.application_stats(mapping.applied(rows, "k", built, "standard", "canonical"), "k", "canonical")
 
 
+# --- the stricter dialect ---------------------------------------------------------------------------
+
+
+@query("WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN upper(c_mktsegment) || '!' ELSE ' ' || c_mktsegment END AS v FROM customer WHERE c_custkey % 6 <> 0) SELECT '[{\"type\":\"int\",\"value\":\"' || CAST(a.c_custkey AS VARCHAR) || '\"}]' AS key, CASE WHEN b.c_custkey IS NULL THEN 'removed' WHEN a.c_custkey % 4 = 0 THEN 'changed' ELSE 'matched' END AS status, 1::BIGINT AS a_count, CAST(b.c_custkey IS NOT NULL AS BIGINT) AS b_count FROM customer a LEFT JOIN b ON a.c_custkey = b.c_custkey")
+def dialect_typed(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("v"))
+    b = rows.where("c_custkey % 6 <> 0").withColumn("v", F.expr("CASE WHEN c_custkey % 4 = 0 THEN concat(upper(v), '!') ELSE concat(' ', v) END"))
+    return dialect.compare_typed(rows, b, dialect.Options(["c_custkey"], rules=[dialect.text("v")])).select("key", "status", "a_count", "b_count")
+
+
+@query("SELECT CASE WHEN c_custkey % 10 = 0 THEN 'invalid-key' ELSE 'matched' END AS status, CASE WHEN min(c_custkey % 10) = 0 THEN 2 * count(*) ELSE count(*) END AS n FROM customer GROUP BY 1")
+def dialect_blank_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.expr("CASE c_custkey % 20 WHEN 0 THEN NULL WHEN 10 THEN ' ' ELSE CAST(c_custkey AS STRING) END").alias("k"), "c_acctbal")
+    return dialect.compare_typed(rows, rows, dialect.Options(["k"], rules=[dialect.number("c_acctbal")])).groupBy("status").agg(F.count("*").alias("n"))
+
+
 # --- profiles ---------------------------------------------------------------------------------------
 
 
