@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.textkit import batch_of, map_batches, slices, texts_of
+from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, texts_of
 
 UNIT = 192
 #: Samples of a frame; streams of over LONG_STREAM samples have the larger frames, so that the seek table fits its block.
@@ -397,7 +397,7 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, _ = texts_of(batch)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, WIDE_SLICE):
                 part = batch.slice(a, b - a)
                 media = encode([payload_of(x) for x in part.column(1).to_pylist()])
                 read = decode(media)

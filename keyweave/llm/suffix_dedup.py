@@ -25,7 +25,7 @@ from keyweave.llm.textkit import _BYTE_VALUES, batch_of, gram_hashes, map_batche
 LENGTH = 200
 ANCHOR = 32
 #: Bytes of a shard; one anchor's spans stay together, whatever their size, and are sorted on disk.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _PIECE = 8 << 20
 _PLACE = 24
 

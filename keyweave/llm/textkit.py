@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 
 from keyweave.cluster import ship
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
+#: Where Python objects or frames are many, a slice pays its cost later.
+WIDE_SLICE = 1 << 20
 #: Rows that Spark hands to a worker at once.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
@@ -77,7 +79,7 @@ _inverses = np.ones(1, np.uint64)
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             _powers = np.cumprod(np.concatenate(([_U(1)], np.full(size, _MULTIPLIER))), dtype=np.uint64)
             _inverses = np.cumprod(np.concatenate(([_U(1)], np.full(size, _INVERSE))), dtype=np.uint64)
