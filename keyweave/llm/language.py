@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyweave.llm.textkit import batch_of, map_batches, slices, texts_of
+from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, texts_of
 
 #: The training sample: so many texts of each language, the first by a hash of the id, and so many bytes of them.
 TRAINING_TEXTS, DICTIONARY_BYTES = 64, 48 << 10
+#: All dictionaries are cut to the shortest, but not below this.
+SHORTEST_DICTIONARY = 8 << 10
 MAX_LANGUAGES = 64
 PIECE_BYTES = 4096
 #: Texts below this are compressed with more effort.
@@ -61,6 +63,9 @@ def training_sample(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         have = content.get(r.lang, b"")
         if len(have) < DICTIONARY_BYTES:
             content[r.lang] = (have + plain(r.text).encode() + b"\n")[:DICTIONARY_BYTES]
+    # a longer dictionary would win by its length alone
+    room = max(SHORTEST_DICTIONARY, min(map(len, content.values()), default=0))
+    content = {k: v[:room] for k, v in content.items()}
     shares = {r.lang: r.n for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()} if content else {}
     return dict(sorted(content.items(), key=lambda x: (-shares[x[0]], x[0])))
 
@@ -109,7 +114,7 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lan
         classifier = Classifier(content)
         for batch in batches:
             offsets, _ = texts_of(batch)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, WIDE_SLICE):
                 part = batch.slice(a, b - a)
                 found = [classifier.predict(x) for x in part.column(2).to_pylist()]
                 yield batch_of(schema, doc_id=part.column(0), held_out=part.column(1), lang_pred=[x[0] for x in found], score=[x[1] for x in found], rejected=[x[2] for x in found])
