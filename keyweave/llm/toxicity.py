@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.textkit import batch_of, map_batches, slices, texts_of
+from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, texts_of
 
 #: Labelled rows that are learned from at most, the first by a hash of the id.
 SAMPLE_ROWS = 12_000
@@ -84,11 +84,13 @@ def _key_counts(rows: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame, limit: int = LEXICON_KEYS) -> dict[str, float]:
-    """Weights of the ``limit`` keys that tell toxic texts most; (text, toxic) in, log odds out."""
+    """Weights of the ``limit`` keys that tell toxic texts most; (text, toxic) in, cautious log odds out."""
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    best = _key_counts(rows).withColumn("odds", odds).where((F.col("pos") >= 4) & (F.col("odds") >= 1.5)).orderBy((F.col("odds") * F.sqrt("pos")).desc(), "key").limit(limit).collect()
+    # a standard error below: a key that only a few texts speak for counts less
+    sure = odds - F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    best = _key_counts(rows).withColumn("odds", sure).where((F.col("pos") >= 4) & (F.col("odds") >= 1)).orderBy((F.col("odds") * F.sqrt("pos")).desc(), "key").limit(limit).collect()
     return {r.key: round(float(r.odds), 6) for r in best}
 
 
@@ -274,7 +276,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
         scorer = model.scorer()
         for batch in batches:
             offsets, _ = texts_of(batch)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, WIDE_SLICE):
                 part = batch.slice(a, b - a)
                 s = scorer([x or "" for x in part.column(2).to_pylist()])
                 yield batch_of(schema, doc_id=part.column(0), held_out=part.column(1), score=s, predicted=(s >= 0.5).astype(np.int32))
@@ -291,7 +293,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
         scorer = model.scorer()
         for batch in batches:
             offsets, _ = texts_of(batch, text)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, WIDE_SLICE):
                 part = batch.slice(a, b - a)
                 s = scorer([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()])
                 yield part.filter(pa.array(s < threshold))
