@@ -123,3 +123,75 @@ def dialect_view(result: DataFrame, status: str | None = None, key: str | None =
     """The result narrowed to a status and to keys that hold a text, in any case."""
     out = result.where(F.col("status") == status) if status else result
     return out.where(F.contains(F.lower(F.coalesce("key", F.lit(""))), F.lit(key.lower()))) if key else out
+
+
+#: Columns and sheets of this dialect's exports.
+CSV_COLUMNS = ("key", "status", "displayStatus", "aCount", "bCount", "aOriginalKey", "aNormalizedKey", "aStandardKey", "aMappingApplied", "bOriginalKey", "bNormalizedKey", "bStandardKey", "bMappingApplied", "firstSheetValue", "secondSheetValue")
+SHEETS = {"Lane 비교 결과": None, "불일치": "changed", "첫 시트에만 존재": "removed", "두번째 시트에만 존재": "added"}
+SUMMARY_HEADINGS = ("유효_Lane_결과", "일치", "불일치", "첫_시트에만", "두번째_시트에만", "빈_키_행", "일치율")
+
+
+def _traced(side: str, name: str, columns: list[str]) -> Column:
+    if f"key_trace_{side}" not in columns:
+        return F.lit(None).cast("string")
+    parts = F.flatten(F.transform(f"key_trace_{side}", lambda t: t["__key_trace"]))
+    if name == "applied":
+        return F.when(F.exists(parts, lambda p: p.applied), "Yes").otherwise("No")
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(p[name], F.lit(""))), " | ")
+
+
+def export_rows(result: DataFrame) -> DataFrame:
+    """The 15 columns of the CSV export; values of several rules stand between semicolons."""
+    shown = lambda side: F.array_join(F.transform("rules", lambda x: F.coalesce(x[f"original_{side}"], F.lit(""))), "; ")
+    columns = result.columns
+    values = [F.col("key"), F.col("status"), F.col("status"), F.col("a_count"), F.col("b_count")]
+    values += [_traced(side, name, columns) for side in ("a", "b") for name in ("original", "normalized", "standard", "applied")]
+    return result.select(*[v.alias(n) for v, n in zip([*values, shown("a"), shown("b")], CSV_COLUMNS, strict=True)])
+
+
+def export_sheets(result: DataFrame) -> dict[str, DataFrame]:
+    """The six sheets of the XLSX export: all keys, three kinds of them, rows with blank keys, and counts."""
+    valid = result.where(F.col("status") != INVALID)
+    out = {name: export_rows(valid.where(F.col("status") == status) if status else valid) for name, status in SHEETS.items()}
+    out["빈 키 행"] = result.where(F.col("status") == INVALID).select(F.when(F.col("a_count") > 0, "A").otherwise("B").alias("side"), "row_id")
+    n = lambda s: F.count_if(F.col("status") == s)
+    counted = result.agg(F.count_if(F.col("status") != INVALID), n("matched"), n("changed"), n("removed"), n("added"), n(INVALID), F.coalesce(F.try_divide(n("matched"), n("matched") + n("changed")), F.lit(0.0)))
+    out["요약"] = counted.toDF(*SUMMARY_HEADINGS)
+    return out
+
+
+def fit_template(headers: list[str], template: dict) -> tuple[dict | None, list[tuple[str, str]]]:
+    """This dialect's template on new headers: (its references resolved, problems); nothing is resolved while there are problems."""
+    if template.get("version") != 2:
+        return None, [("UNSUPPORTED_TEMPLATE_VERSION", "only version 2 is read")]
+    plain = lambda h: h.strip().lower()
+    found, problems = {}, []
+    for e in template.get("expectations", []):
+        if plain(e["raw"]) != e["normalizedName"]:
+            problems.append(("STALE_TEMPLATE_COLUMN", f"the identity of {e['id']} is stale"))
+        same = [h for h in headers if plain(h) == e["normalizedName"]]
+        if e["id"] in headers:
+            found[e["id"]] = e["id"]
+        elif e.get("occurrence", 0) < len(same):
+            found[e["id"]] = same[e.get("occurrence", 0)]
+        else:
+            problems.append(("STALE_TEMPLATE_COLUMN", f"{e['id']} is missing"))
+    keys, mapping = template["keyColumns"], template.get("keyMapping") or {}
+    lists = {"keyColumns": keys, "keyColumnsB": template.get("keyColumnsB") or keys, "compareColumns": template.get("compareColumns", [])}
+    used = [*(c for v in lists.values() for c in v), *(r[k] for r in template.get("rules", []) for k in ("columnA", "columnB")), *mapping.get("applyA", []), *mapping.get("applyB", [])]
+    if template.get("representativeColumn") is not None:
+        used.append(template["representativeColumn"])
+    if any(isinstance(c, int) and not 0 <= c < len(headers) for c in used):
+        problems.append(("STALE_TEMPLATE_COLUMN", "a column number is out of range"))
+    if missing := sorted({c for c in used if isinstance(c, str) and found.get(c, c) not in headers}):
+        problems.append(("STALE_TEMPLATE_COLUMN", f"no column {', '.join(missing)}"))
+    if len(set(keys)) < len(keys):
+        problems.append(("DUPLICATE_KEY_COLUMN", "a key column stands twice"))
+    if problems:
+        return None, problems
+    new = lambda c: found.get(c, c) if isinstance(c, str) else c
+    out = {k: [new(c) for c in v] for k, v in lists.items()}
+    out["rules"] = [r | {k: new(r[k]) for k in ("columnA", "columnB")} for r in template.get("rules", [])]
+    out |= {k: template.get(k) for k in ("caseSensitive", "duplicatePolicy")} | {"representativeColumn": new(template.get("representativeColumn"))}
+    out["keyMapping"] = mapping | {k: [new(c) for c in mapping.get(k, [])] for k in ("applyA", "applyB")} if mapping else None
+    return out, []

@@ -63,3 +63,26 @@ def test_rates_and_mapping_and_view(spark):
     assert dialect_view(found, "matched", "CM").count() == 1 and dialect_view(found, "changed").count() == 0
     with pytest.raises(ConfigError):
         run(spark, [("x", "1")], [("x", "1")], duplicate_policy="nonsense")
+
+
+def test_exports(spark):
+    from keyweave.operators.dialect import CSV_COLUMNS, export_rows, export_sheets
+    from keyweave.sources import sinks
+
+    found = run(spark, [("1", "a"), ("2", "b"), (None, "c")], [("1", "x"), ("3", "c")], [text("value")])
+    assert tuple(export_rows(found).columns) == CSV_COLUMNS
+    sheets = export_sheets(found)
+    assert {k: v.count() for k, v in sheets.items()} == {"Lane 비교 결과": 3, "불일치": 1, "첫 시트에만 존재": 1, "두번째 시트에만 존재": 1, "빈 키 행": 1, "요약": 1}
+    assert tuple(sheets["요약"].first()) == (3, 0, 1, 1, 1, 1, 0.0)
+    assert sinks.csv_text(export_rows(found), quote_all=True).count('"changed"') == 2
+
+
+def test_template_on_new_headers():
+    from keyweave.operators.dialect import fit_template
+
+    template = {"version": 2, "keyColumns": ["id"], "compareColumns": ["value"], "rules": [{"columnA": "value", "columnB": 1}], "representativeColumn": "value", "caseSensitive": True, "duplicatePolicy": "report", "expectations": [{"id": "id", "raw": "ID ", "normalizedName": "id", "occurrence": 0}, {"id": "value", "raw": "value", "normalizedName": "value", "occurrence": 1}]}
+    fitted, problems = fit_template(["Id", "Value", "VALUE"], template)
+    assert not problems and fitted["keyColumns"] == ["Id"] and fitted["rules"] == [{"columnA": "VALUE", "columnB": 1}] and fitted["representativeColumn"] == "VALUE"
+    for headers, change, code in ((["Id"], {}, "STALE_TEMPLATE_COLUMN"), (["Id", "Value", "VALUE"], {"keyColumns": ["id", "id"]}, "DUPLICATE_KEY_COLUMN"), (["Id", "Value", "VALUE"], {"compareColumns": [9]}, "STALE_TEMPLATE_COLUMN"), (["Id"], {"version": 1}, "UNSUPPORTED_TEMPLATE_VERSION")):
+        fitted, problems = fit_template(headers, template | change)
+        assert fitted is None and problems[0][0] == code
