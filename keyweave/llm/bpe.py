@@ -21,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.textkit import batch_of, map_batches, slices, texts_of
+from keyweave.cluster import cut
+from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, texts_of
 
 #: The pattern that splits text into words before merges.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -320,9 +321,18 @@ def count_words(docs: DataFrame, special: Iterable[str], text: str = "text") ->
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, limit: int = LEXICON_WORDS, text: str = "text") -> list[str]:
-    """The ``limit`` most frequent words, ties by the word itself: the only thing that comes to the driver."""
-    rows = count_words(docs, vocabulary.special, text).where("n > 1").orderBy(F.desc("n"), "word").limit(limit).collect()
-    return [r.word for r in rows]
+    """The most frequent words, ``limit`` at most: all from the least frequency on that keeps to it.
+
+    The frequency comes from a histogram of eight steps for each power of two, so what all tasks
+    together send to the driver is bounded by ``limit`` words.
+    """
+    counts = cut(count_words(docs, vocabulary.special, text).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    room, least = limit, None
+    for r in counts.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        if r.words > room:
+            break
+        room, least = room - r.words, r.step
+    return sorted(r.word for r in counts.where(F.col("step") >= least).select("word").collect()) if least is not None else []
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, limit: int = LEXICON_WORDS, text: str = "text") -> Lexicon:
@@ -360,7 +370,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
         codec = _codec(path, packed.value)
         for batch in batches:
             offsets, _ = texts_of(batch)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, WIDE_SLICE):
                 part = batch.slice(a, b - a)
                 ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
                 decoded = [codec.decode(x) for x in ids]
