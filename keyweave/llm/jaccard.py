@@ -160,11 +160,10 @@ BITS = 1 << 24
 def _bit_filter(values: DataFrame):
     """A bitmap of 2 MB of the column ``a``, made in tables: what isn't in it needn't be shuffled."""
     slot = F.col("a").bitwiseAND(F.lit(BITS - 1))
-    words = values.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).collect()
-    bitmap = np.zeros(BITS // 32, np.int64)
-    for r in words:
-        bitmap[r.word] = r.bits
-    return values.sparkSession.sparkContext.broadcast(bitmap.astype(np.uint32).tobytes())
+    words = values.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITS // 32, np.uint32)
+    bitmap[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).astype(np.uint32)
+    return values.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -272,10 +271,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
     summaries = cut(_summaries(narrow, words))
-    counted = summaries.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).collect()
+    counted = summaries.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     times = np.zeros(CELLS, np.int64)
-    for r in counted:
-        times[r.cell] = r.times
+    times[np.asarray(counted.column("cell"))] = np.asarray(counted.column("times"))
     cells = spark.sparkContext.broadcast(times.tobytes())
     rows = summaries.where("cell is null").select("doc_id", "n", "a", "b", "vector")
     points = cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first_id"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))

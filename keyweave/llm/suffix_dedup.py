@@ -24,8 +24,10 @@ from keyweave.llm.textkit import _BYTE_VALUES, batch_of, gram_hashes, map_batche
 
 LENGTH = 200
 ANCHOR = 32
-#: Bytes of a shard; one anchor's spans stay together, whatever their size, and are sorted on disk.
+#: Bytes of a shard; one anchor's spans stay together up to HOT_BYTES, and are sorted on disk.
 SHARD_BYTES = 2 << 20
+#: The windows of an anchor with more are dealt out by their own content instead: no task gets them all.
+HOT_BYTES = 64 << 20
 _PIECE = 8 << 20
 _PLACE = 24
 
@@ -184,6 +186,22 @@ def _sorted_shards(bodies: DataFrame, shards: int, length: int) -> DataFrame:
     return map_batches(bodies.repartition(shards, "anchor"), sort, "id long, print long, start long, stop long")
 
 
+def _hot_windows(bodies: DataFrame, length: int) -> DataFrame:
+    """(id, print, start, stop) of repeated windows, counted by 128 bits of their content before anything is shuffled by it."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int64())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, p, f, body in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                values = _BYTE_VALUES[np.frombuffer(body, np.uint8)]
+                a, b = (gram_hashes(prefix_sums(v), length).view(np.int64) for v in (values, mix(values)))
+                yield batch_of(schema, a=a, b=b, id=np.full(len(a), i), print=np.full(len(a), p), start=f + np.arange(len(a)))
+
+    rows = map_batches(bodies, emit, "a long, b long, id long, print long, start long")
+    again = rows.groupBy("a", "b").count().where("count > 1").select("a", "b")
+    return rows.join(again, ["a", "b"], "left_semi").select("id", "print", "start", (F.col("start") + length).alias("stop"))
+
+
 def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, print, ranges): byte ranges that strings of ``length`` bytes cover which also start elsewhere."""
     if length <= ANCHOR:
@@ -196,12 +214,21 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     mixed = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("anchor")
     wanted = cut(contents.join(mixed, "anchor").select("anchor", "one.*"))
     windows = F.col("place").bitwiseAND(F.lit((1 << _PLACE) - 1))
-    size = wanted.agg(F.sum(windows + length)).first()[0] or 0
+    sizes = wanted.groupBy("anchor").agg(F.sum(windows + length).alias("bytes"))
+    hot = sizes.where(F.col("bytes") > HOT_BYTES).select("anchor")
+    size = sizes.where(F.col("bytes") <= HOT_BYTES).agg(F.sum("bytes")).first()[0] or 0
     shards = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     whole = spans.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
     start = F.shiftright("place", _PLACE)
     same = whole.select("id", "print", start.alias("start"), (start + windows + length - 1).alias("stop"))
-    covered = same.unionByName(_sorted_shards(_contents(keyed, wanted, length), shards, length)) if size else same
+    covered = same
+    if hot.isEmpty():
+        if size:
+            covered = covered.unionByName(_sorted_shards(_contents(keyed, wanted, length), shards, length))
+    else:
+        covered = covered.unionByName(_hot_windows(_contents(keyed, wanted.join(hot, "anchor", "left_semi"), length), length))
+        if size:
+            covered = covered.unionByName(_sorted_shards(_contents(keyed, wanted.join(hot, "anchor", "left_anti"), length), shards, length))
     return covered.groupBy("id", "print").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 

@@ -192,7 +192,9 @@ def test_induced_sorting(data):
         assert [bool(found[s + i]) for i in range(len(p) - depth + 1)] == [seen[p[i : i + depth]] > 1 for i in range(len(p) - depth + 1)]
 
 
-def test_suffix_dedup(spark, odd):
+@pytest.mark.parametrize("hot", [64 << 20, 500, 0])
+def test_suffix_dedup(spark, odd, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
     rng = random.Random(5)
     shared = passage(rng, 90)
     rows = odd + [(100 + i, passage(rng, 20) + shared[rng.randrange(200) : rng.randrange(250, 500)] + passage(rng, 20)) for i in range(25)] + [(200, "ab" * 400), (201, "é" * 300), (202, shared[:199]), (203, shared[:200])]
