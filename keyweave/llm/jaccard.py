@@ -7,10 +7,13 @@ hold a partner are passed over; pairs that survive are verified on the sets them
 
 Texts of equal sets are one class.  Classes meet in blocks: of the n members of a set, the
 n - ceil(0.8 n) + 1 rarest ones (by a fixed-size count over the whole corpus, then by hash) must hold
-one that a partner also has among its own.  Blocks with the same classes are looked at once.  In each
-block all classes are first held against the one that shares most, its middle; what that links is one
-component.  Blocks with the same middle make one cluster, and only classes of different components
-are then searched for in the R-trees of a cluster, which is cut into tiles of bounded size.
+one that a partner also has among its own.  Blocks with the same classes are looked at once.  The class
+that shares most is the middle of its block.  Blocks with the same middle make one cluster, which is
+cut into tiles of bounded size.  R-trees search every tile for all pairs of classes that can be linked;
+those are verified, and a tile gives the links of each class and what joins its components.
+
+Where only the components are asked for, all classes of a cluster are first held against its middle,
+and only classes that this leaves in different components are searched for in the R-trees.
 """
 
 from __future__ import annotations
@@ -115,8 +118,8 @@ class RTree:
 
 
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document row (n, 128 bits, point), and this task's counts of shingle cells as more rows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()), ("times", pa.int64())])
+    """One row per document row (128 bits of the text, n, 128 bits of the set, point), and this task's counts of shingle cells as more rows."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("l", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()), ("times", pa.int64())])
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
@@ -125,12 +128,12 @@ def _summaries(docs: DataFrame, words: int) -> DataFrame:
                 cells += np.bincount((members & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
                 a, b = _fingerprints(at, members)
                 edges = at.tolist()
-                yield batch_of(schema, doc_id=batch.column(0).slice(low, high - low), n=np.diff(at), a=a, b=b, vector=[count_vector(members[i:j]) for i, j in zip(edges, edges[1:], strict=False)], cell=pa.nulls(high - low, pa.int32()), times=pa.nulls(high - low, pa.int64()))
+                yield batch_of(schema, doc_id=batch.column(0).slice(low, high - low), k=batch.column(2).slice(low, high - low), l=batch.column(3).slice(low, high - low), n=np.diff(at), a=a, b=b, vector=[count_vector(members[i:j]) for i, j in zip(edges, edges[1:], strict=False)], cell=pa.nulls(high - low, pa.int32()), times=pa.nulls(high - low, pa.int64()))
         seen = np.flatnonzero(cells)
-        none = {c: pa.nulls(len(seen), t) for c, t in (("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("vector", pa.binary()))}
+        none = {c: pa.nulls(len(seen), t) for c, t in (("doc_id", pa.int64()), ("k", pa.int64()), ("l", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("vector", pa.binary()))}
         yield batch_of(schema, cell=seen.astype(np.int32), times=cells[seen], **none)
 
-    return map_batches(docs, summarise, "doc_id long, n long, a long, b long, vector binary, cell int, times long")
+    return map_batches(docs, summarise, "doc_id long, k long, l long, n long, a long, b long, vector binary, cell int, times long")
 
 
 def _prefixes(docs: DataFrame, cells, words: int, percent: int) -> DataFrame:
@@ -166,10 +169,11 @@ def _bit_filter(values: DataFrame):
     return values.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, members) of the ``wanted`` (node, a, b), from the texts again."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, packed: bool = False) -> DataFrame:
+    """(node, members) of the ``wanted`` (node, a, b), from the texts again; members as an array, or ``packed`` as bytes."""
     bitmap = _bit_filter(wanted.select("a"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.list_(pa.int64()))])
+    kind = pa.binary() if packed else pa.list_(pa.int64())
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", kind)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sent = np.frombuffer(bitmap.value, np.uint32), set()
@@ -186,9 +190,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if len(sent) > 200_000:
                     sent.clear()
                 if rows:
-                    yield batch_of(schema, a=a[rows], b=b[rows], members=pa.array([members[at[r] : at[r + 1]].view(np.int64) for r in rows], pa.list_(pa.int64())))
+                    yield batch_of(schema, a=a[rows], b=b[rows], members=pa.array([s.tobytes() if packed else s.view(np.int64) for s in (members[at[r] : at[r + 1]] for r in rows)], kind))
 
-    rows = map_batches(docs, emit, "a long, b long, members array<long>")
+    rows = map_batches(docs, emit, f"a long, b long, members {'binary' if packed else 'array<long>'}")
     return rows.join(wanted, ["a", "b"]).dropDuplicates(["a", "b"]).select("node", "members")
 
 
@@ -219,22 +223,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int,
     return joined.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("u", "v")
 
 
-def _searched(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels that R-trees can't rule out; rows: middle, i, j, chunk, node, label, n, vector."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share."""
+    _, slot, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    kept = times[slot] > 1
+    rows, columns = rows[kept], (np.cumsum(times > 1) - 1)[slot[kept]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(columns[-1]) + 1 if len(columns) else 0, 4096):
+        a, b = np.searchsorted(columns, (low, low + 4096))
+        held = np.zeros((len(sets), int(columns[b - 1]) - low + 1), np.float32)
+        held[rows[a:b], columns[a:b] - low] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
+def _tiled(met: DataFrame, points: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``met`` (middle, node, ..) in each tile of their cluster: two classes of it meet in one tile."""
+    chunks = met.groupBy("middle").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    tiles = met.join(chunks, "middle").join(points.select("node", "n", "vector", *more), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
+    return other.withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with")).drop("with", "chunks")
 
-    def tile(node, label, n, chunk, vectors) -> list[tuple[int, int]]:
-        full = [np.frombuffer(v, "<u2").astype(np.int64) for v in vectors]
-        points = np.stack([folded(v, GROUPS) for v in full])
-        left = np.flatnonzero(chunk == chunk.min())
-        right = left if chunk.min() == chunk.max() else np.flatnonzero(chunk != chunk.min())
-        tree = RTree(points[right], n[right])
-        out = []
-        for q in left.tolist():
-            for r in right[tree.search(points[q], int(n[q]), percent)].tolist():
-                if label[q] != label[r] and (left is not right or q < r) and bound(full[q], full[r]) >= _need(n[q], n[r], percent):
-                    out.append((int(node[q]), int(node[r])))
-        return out
+
+def _by_tile(tiles: DataFrame, schema: pa.Schema, ddl: str, work) -> DataFrame:
+    """Rows that ``work`` makes of the columns of each tile, whose rows stand together whatever the batches."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -243,41 +258,114 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
             keys = np.stack([np.asarray(whole.column(c)) for c in ("middle", "i", "j")], 1)
             starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1))
             rest = whole.slice(int(starts[-1]))
-            yield from found(whole, starts)
+            yield from found(whole.slice(0, int(starts[-1])), starts)
         if rest is not None and rest.num_rows:
             yield from found(rest, np.array([0, rest.num_rows]))
 
     def found(whole: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, label, n, chunk = (np.asarray(whole.column(c)) for c in ("node", "label", "n", "chunk"))
-        vectors = whole.column("vector").to_pylist()
-        pairs = []
+        columns = {f.name: np.asarray(whole.column(f.name)) if pa.types.is_integer(f.type) else whole.column(f.name).to_pylist() for f in whole.schema}
+        out = []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             if b - a > 1:
-                pairs += tile(node[a:b], label[a:b], n[a:b], chunk[a:b], vectors[a:b])
-        if pairs:
-            yield batch_of(schema, u=[max(p) for p in pairs], v=[min(p) for p in pairs])
+                out += work({c: x[a:b] for c, x in columns.items()})
+        if out:
+            yield batch_of(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
 
-    dealt = rows.repartition("middle", "i", "j").sortWithinPartitions("middle", "i", "j")
-    return map_batches(dealt, search, "u long, v long").distinct()
+    return map_batches(tiles.repartition("middle", "i", "j").sortWithinPartitions("middle", "i", "j"), search, ddl)
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+def _near(tile: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a tile whose points an R-tree can't tell apart, each pair once."""
+    n, i, j = tile["n"], tile["i"][0], tile["j"][0]
+    left, right = (np.flatnonzero(tile["chunk"] == c) for c in (i, j))
+    if not len(left) or not len(right):
+        return
+    points = np.stack([folded(np.frombuffer(v, "<u2").astype(np.int64), GROUPS) for v in tile["vector"]])
+    tree = RTree(points[right], n[right])
+    for q in left.tolist():
+        near = right[tree.search(points[q], int(n[q]), percent)]
+        yield q, near[near > q] if i == j else near
 
-    Null and empty texts have no shingles and are their own component; a text of fewer words than a
-    shingle has one; repeated rows and equal texts are linked; rows without an id take part and get
-    the smallest id of their component, or null.
+
+def _searched(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels that R-trees can't rule out."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def work(tile: dict) -> list[tuple[int, int]]:
+        node, label, n = tile["node"], tile["label"], tile["n"]
+        full = [np.frombuffer(v, "<u2").astype(np.int64) for v in tile["vector"]]
+        out = []
+        for q, near in _near(tile, percent):
+            for r in near[label[near] != label[q]].tolist():
+                if bound(full[q], full[r]) >= _need(n[q], n[r], percent):
+                    out.append((max(int(node[q]), int(node[r])), min(int(node[q]), int(node[r]))))
+        return out
+
+    return _by_tile(tiles, schema, "u long, v long", work).distinct()
+
+
+def _able(tiles: DataFrame, percent: int) -> DataFrame:
+    """(middle, node) of the classes that R-trees leave a partner in their cluster."""
+    schema = pa.schema([("middle", pa.int64()), ("node", pa.int64())])
+
+    def work(tile: dict) -> list[tuple[int, int]]:
+        n, able = tile["n"], np.zeros(len(tile["n"]), bool)
+        full = [np.frombuffer(v, "<u2").astype(np.int64) for v in tile["vector"]]
+        for q, near in _near(tile, percent):
+            for r in (near[~able[near]] if able[q] else near).tolist():
+                if not (able[q] and able[r]) and bound(full[q], full[r]) >= _need(n[q], n[r], percent):
+                    able[q] = able[r] = True
+        return [(int(tile["middle"][0]), x) for x in tile["node"][able].tolist()]
+
+    return _by_tile(tiles, schema, "middle long, node long", work).distinct()
+
+
+def _counted(tiles: DataFrame, percent: int) -> DataFrame:
+    """(u, null, links) of each class and tile, links by the rows that they lead to; and (u, v, null), what joins the tile's components.
+
+    All that the R-trees leave is verified on the sets.  A pair that meets in more than one cluster
+    counts in that of the smallest middle.
     """
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spark = docs.sparkSession
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+
+    def work(tile: dict) -> list[tuple]:
+        node, n = tile["node"], tile["n"]
+        link = np.zeros((len(n), len(n)), bool)
+        for q, near in _near(tile, percent):
+            link[q, near] = True
+        at = np.flatnonzero(link.any(0) | link.any(1))
+        if not len(at):
+            return []
+        node, n, link = node[at], n[at], link[np.ix_(at, at)]
+        shared = _common([np.frombuffer(tile["members"][k], np.int64) for k in at.tolist()])
+        link &= 100 * shared >= percent * (n[:, None] + n - shared)
+        link |= link.T
+        earlier = [np.array([m for m in tile["middles"][k] if m < tile["middle"][0]], np.int64) for k in at.tolist()]
+        links = (link & (_common(earlier) == 0)) @ tile["copies"][at]
+        out = [(int(node[k]), None, int(links[k])) for k in np.flatnonzero(links).tolist()]
+        reached = np.zeros(len(n), bool)
+        for k in np.flatnonzero(link.any(0)).tolist():
+            front = np.array([] if reached[k] else [k], np.int64)
+            while len(front):
+                reached[front] = True
+                out += [(x, int(node[k]), None) for x in node[front].tolist() if x != node[k]]
+                front = np.flatnonzero(link[front].any(0) & ~reached)
+        return out
+
+    return _by_tile(tiles, schema, "u long, v long, links long", work)
+
+
+def _met(narrow: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, points, clusters): the document rows, their classes, and by middle which of these can be linked."""
+    spark = narrow.sparkSession
     summaries = cut(_summaries(narrow, words))
     counted = summaries.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
     times = np.zeros(CELLS, np.int64)
     times[np.asarray(counted.column("cell"))] = np.asarray(counted.column("times"))
     cells = spark.sparkContext.broadcast(times.tobytes())
-    rows = summaries.where("cell is null").select("doc_id", "n", "a", "b", "vector")
-    points = cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first_id"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
-    tokens = cut(_prefixes(narrow, cells, words, percent)).select("a", F.explode("tokens").alias("token"))
+    rows = summaries.where("cell is null").select("doc_id", "k", "l", "n", "a", "b", "vector")
+    points = cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
+    tokens = cut(_prefixes(narrow.select("doc_id", "text"), cells, words, percent)).select("a", F.explode("tokens").alias("token"))
     repeated = tokens.groupBy("token").count().where("count > 1").select("token")
     members = cut(tokens.join(repeated, "token").join(points.select("a", "node"), "a").select("token", "node").distinct())
     blocks = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
@@ -288,24 +376,57 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     weighted = held.join(weight, "node")
     middle = weighted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("m")).select("token", F.col("m.node").alias("v"))
     # all that meets in blocks with one middle is one cluster, in which each pair stands once
-    clusters = cut(held.join(middle, "token").select(F.col("v").alias("middle"), "node").distinct())
+    return rows, points, cut(held.join(middle, "token").select(F.col("v").alias("middle"), "node").distinct())
+
+
+def _labels(narrow: DataFrame, points: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, label) of the linked classes; links within a component that is known aren't looked for."""
+    narrow = narrow.select("doc_id", "text")
     stars = clusters.where("node <> middle").select(F.col("node").alias("u"), F.col("middle").alias("v"))
     links = cut(_verified(cut(_likely(stars, points, percent)), narrow, points, words, percent))
     labels = cut(components(links))
     labelled = clusters.join(labels, "node", "left").select("middle", "node", F.coalesce("label", "node").alias("label"))
-    open_clusters = labelled.groupBy("middle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high").select("middle", F.ceil(F.col("c") / TILE).cast("int").alias("chunks"))
-    tiles = labelled.join(open_clusters, "middle").join(points.select("node", "n", "vector"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
-    spread = other.select("middle", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "label", "n", "vector")
-    more = cut(_searched(spread, percent))
+    open_clusters = labelled.groupBy("middle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("middle")
+    more = cut(_searched(_tiled(labelled.join(open_clusters, "middle"), points), percent))
     if not more.isEmpty():
         links = links.unionByName(_verified(more, narrow, points, words, percent))
         labels = cut(components(links))
-    named = points.select("a", "b", "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return labels
+
+
+def _links(narrow: DataFrame, points: DataFrame, clusters: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of the linked classes, and (node, links): the rows of other classes that each is linked to."""
+    able = cut(_able(_tiled(clusters, points), percent))
+    places = able.groupBy("node").agg(F.collect_list("middle").alias("middles"))
+    sets = _sets(narrow.select("doc_id", "text"), points.join(places, "node", "left_semi").select("node", "a", "b"), words, packed=True)
+    whole = cut(points.select("node", "n", "vector", "copies").join(places, "node").join(sets, "node"))
+    found = cut(_counted(_tiled(able, whole, "copies", "middles", "members"), percent))
+    links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    return cut(components(found.where("v is not null").select("u", "v"))), links
+
+
+def _narrow(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(doc_id, text, k, l) with 128 bits of the text."""
+    body = F.col(text).cast("string")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("k"), F.xxhash64(F.lit(1), body).alias("l"))
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links.
+
+    ``n_links`` is the number of other rows that the row is linked to, copies included.  Null and empty
+    texts have no shingles and no links and are their own component; a text of fewer words than a
+    shingle has one; repeated rows and equal texts are linked; rows without an id take part and get
+    the smallest id of their component, or null.
+    """
+    narrow = _narrow(docs, id_column, text)
+    rows, points, clusters = _met(narrow, words, percent)
+    labels, links = _links(narrow, points, clusters, words, percent)
+    named = points.select("a", "b", "node", "first_id", "copies").join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(smallest, "label").select("a", "b", "component_id", F.lit(True).alias("found"))
+    classes = named.join(smallest, "label").select("a", "b", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("doc_id", "n", "a", "b").join(classes, ["a", "b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
