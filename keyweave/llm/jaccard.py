@@ -430,13 +430,20 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, repeated rows of it once.
+    """``docs`` with one row of each component: that of the smallest id, rows without an id last.
 
-    Texts without words stay, each as it is.  All columns stay.
+    Among rows of one id it is the first by the marks of its set and its text, then by a hash of the
+    row.  Texts without words stay, each as it is.  All columns stay.
     """
-    found = jaccard_components(docs, id_column, text, words, percent)
-    first = found.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.col(id_column).cast("long"))
-    worded = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
-    kept = keyed.where(worded).join(first, keyed["__id"].eqNullSafe(first["__id"]), "left_semi").dropDuplicates(["__id"])
-    return kept.unionByName(keyed.where(~worded)).select(*docs.columns)
+    narrow = _narrow(docs, id_column, text)
+    rows, points, clusters = _met(narrow, words, percent)
+    labels = points.select("a", "b", "node").join(_labels(narrow, points, clusters, words, percent), "node", "left").select("a", "b", F.coalesce("label", "node").alias("label"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "k", "l")
+    first = rows.where("n > 0").join(labels, ["a", "b"]).groupBy("label").agg(F.min(place).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.k").alias("__k"), F.col("m.l").alias("__l"))
+    body = F.col(text).cast("string")
+    keyed = docs.withColumns({"__id": F.col(id_column).cast("long"), "__k": F.xxhash64(body), "__l": F.xxhash64(F.lit(1), body)})
+    worded = F.coalesce(body, F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
+    same = keyed["__id"].eqNullSafe(first["__id"]) & (keyed["__k"] == first["__k"]) & (keyed["__l"] == first["__l"])
+    plain = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    kept = keyed.where(worded).join(first, same, "left_semi").groupBy("__id", "__k", "__l").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("row")).select("row.*")
+    return kept.unionByName(docs.where(~worded))

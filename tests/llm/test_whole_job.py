@@ -42,3 +42,11 @@ def test_all_links_are_counted(spark, monkeypatch, tile):
     assert max(expected) > 9
     found = {r.doc_id: r.n_links for r in jaccard.jaccard_components(table(spark, list(enumerate(texts)))).collect()}
     assert found == dict(enumerate(expected))
+
+
+def test_unlinked_rows_without_or_with_one_id_stay(spark):
+    rng = random.Random(22)
+    a, b, c, d, e, f = (passage(rng, 40) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b + " tail"), (5, c), (5, d), (5, d), (1, e), (2, e + " tail"), (1, f), (0, f + " tail")]
+    kept = [r.text for r in jaccard.one_of_each(table(spark, rows)).collect()]
+    assert len(kept) == 6 and {a, c, d, e, f + " tail"} < set(kept) and len({b, b + " tail"} & set(kept)) == 1
