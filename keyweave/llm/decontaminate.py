@@ -33,7 +33,7 @@ def _length_windows(words: Words, length: int, sums: np.ndarray) -> tuple[np.nda
 
 
 def benchmark_windows(benchmark: DataFrame, length: int = WINDOW_WORDS, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(window, words, hash, item): distinct windows of the items, their words joined by blanks."""
+    """(window, words, hash, item): distinct windows of the items, their words joined by blanks; item is null where it has no id."""
     schema = pa.schema([("window", pa.string()), ("words", pa.int32()), ("hash", pa.int64()), ("item", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +52,7 @@ def benchmark_windows(benchmark: DataFrame, length: int = WINDOW_WORDS, item: st
                 at, rows = np.concatenate((at, words.of[short])), np.concatenate((rows, short))
                 yield batch_of(schema, window=[words.text(i, i + n) for i, n in zip(at.tolist(), sizes.tolist(), strict=True)], words=sizes.astype(np.int32), hash=hashes.view(np.int64), item=[items[a + r] for r in rows.tolist()])
 
-    return map_batches(benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")), cut, "window string, words int, hash long, item string").distinct()
+    return map_batches(benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")), cut, "window string, words int, hash long, item string").distinct()
 
 
 class WindowSet:
@@ -60,8 +60,8 @@ class WindowSet:
 
     BITS = 22
 
-    def __init__(self, rows: list[tuple[str, int, int, str]]):
-        self.items: dict[str, list[str]] = {}
+    def __init__(self, rows: list[tuple[str, int, int, str | None]]):
+        self.items: dict[str, list[str | None]] = {}
         hashes = set()
         for window, words, h, item in rows:
             self.items.setdefault(window, []).append(item)
@@ -72,7 +72,7 @@ class WindowSet:
         for n in self.lengths:
             self.front[n][(self.hashes[n] & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
-    def find(self, words: Words) -> Iterator[tuple[int, int, list[str]]]:
+    def find(self, words: Words) -> Iterator[tuple[int, int, list[str | None]]]:
         """(first word, words, items) of each window that occurs."""
         sums = prefix_sums(words.hash)
         for n in self.lengths:
@@ -85,11 +85,11 @@ class WindowSet:
                     yield i, n, found
 
 
-def _judge(windows: WindowSet, words: Words) -> tuple[np.ndarray, np.ndarray, list[set[str]], np.ndarray]:
+def _judge(windows: WindowSet, words: Words) -> tuple[np.ndarray, np.ndarray, list[set[str | None]], np.ndarray]:
     """(words, hit words, items) of each text and the hit words themselves."""
     counts = np.diff(words.of)
     edge = np.zeros(len(words.start) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in counts]
+    items: list[set[str | None]] = [set() for _ in counts]
     for i, n, found in windows.find(words):
         edge[i] += 1
         edge[i + n] -= 1
@@ -100,7 +100,7 @@ def _judge(windows: WindowSet, words: Words) -> tuple[np.ndarray, np.ndarray, li
 
 
 def _digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(x for x in items if x is not None)).encode()).hexdigest()
 
 
 def contaminated(n_words, n_hit):
@@ -120,7 +120,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, broa
     """One row per document row: words, hit words, items that occur, and the verdict.
 
     Null and empty texts have no words and are clean; so are all documents where the benchmark is
-    empty or its texts are null.  Equal items count each; repeated rows are judged one by one.
+    empty or its texts are null.  Equal items count each; repeated rows are judged one by one.  Items
+    without an id hit like all others; together they count as one item, which the digest leaves out.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     windows = benchmark_windows(benchmark, length)
@@ -164,10 +165,10 @@ def _scan_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     rows = map_batches(keyed, explode, "row long, doc_id long, n_words long, at long, words int, hash long, window string")
     hits = rows.where("at is not null").join(windows, ["words", "hash", "window"]).select("row", "at", "words", "item")
     covered = hits.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("words") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    items = hits.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = hits.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"), F.count("*").alias("n_items"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     found = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.where("at is null").select("row", "doc_id", "n_words").join(covered, "row", "left").join(items, "row", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return rows.where("at is null").select("row", "doc_id", "n_words").join(covered, "row", "left").join(items, "row", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", length: int = WINDOW_WORDS, broadcast_windows: int = BROADCAST_WINDOWS, text: str = "text") -> DataFrame:

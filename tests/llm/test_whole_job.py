@@ -1,10 +1,11 @@
 """Each test fails where an operator does less than the whole job."""
 
+import hashlib
 import random
 
 import pytest
 from brute import shingles
-from keyweave.llm import jaccard
+from keyweave.llm import decontaminate, jaccard
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,3 +51,16 @@ def test_unlinked_rows_without_or_with_one_id_stay(spark):
     rows = [(None, a), (None, b), (None, b + " tail"), (5, c), (5, d), (5, d), (1, e), (2, e + " tail"), (1, f), (0, f + " tail")]
     kept = [r.text for r in jaccard.one_of_each(table(spark, rows)).collect()]
     assert len(kept) == 6 and {a, c, d, e, f + " tail"} < set(kept) and len({b, b + " tail"} & set(kept)) == 1
+
+
+# --- 6: decontamination ---
+
+
+@pytest.mark.parametrize("room", [500_000, 0])
+def test_items_without_id_hit(spark, room):
+    benchmark = spark.createDataFrame([(None, "four five"), (None, "six seven"), (3, "eight nine")], "item_id long, text string")
+    docs = table(spark, [(1, "a four five"), (2, "six seven, four five; eight nine"), (3, "five four")])
+    out = {r.doc_id: tuple(r)[1:] for r in decontaminate.scan(docs, benchmark, broadcast_windows=room).collect()}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert out == {1: (3, 2, 1, digest(""), True), 2: (6, 6, 2, digest("3"), True), 3: (2, 0, 0, digest(""), False)}
+    assert [r.doc_id for r in decontaminate.remove(docs, benchmark, broadcast_windows=room).collect()] == [3]
