@@ -1,7 +1,8 @@
 """License scans: exact containment join of license templates with blocks of text.
 
-A text's blocks are runs of ``BLOCK_WORDS`` words, one every ``BLOCK_STEP`` words, the last to the
-end.  A template with n distinct words is found in a block that holds at least ``threshold`` * n of
+A text's blocks are all runs of ``BLOCK_WORDS`` words, or of twice a template's words if that is more
+(``every_offset``, as the registered query has it); else those of a grid, one every ``BLOCK_STEP``
+words, the last to the end.  A template with n distinct words is found in a block that holds at least ``threshold`` * n of
 them.  Words are ordered by how rare they are in the corpus; a block is looked at only if it holds
 one of the template's n - ceil(threshold * n) + 1 rarest words (prefix filter), has as many distinct
 template words as needed (length filter), and has enough of them left behind the first match
@@ -36,6 +37,11 @@ TEMPLATES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software",
     "mpl-2.0": "subject to the terms of the mozilla public license version 2 0",
 }
+#: Whole texts of short licenses.
+FULL_TEMPLATES = {
+    "isc-full": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+}
 THRESHOLD = 0.8
 BLOCK_WORDS, BLOCK_STEP = 32, 16
 
@@ -88,7 +94,8 @@ def word_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tex
 
 
 class Scanner:
-    def __init__(self, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, every_offset: bool = False):
+        self.every_offset = every_offset
         self.vocabulary = _Vocabulary(templates)
         number = {w: i for i, w in enumerate(self.vocabulary.words)}
         #: rank of each word, the rarest first
@@ -103,7 +110,7 @@ class Scanner:
             need = math.ceil(threshold * len(tokens) - 1e-9)
             for r in tokens[: len(tokens) - need + 1]:
                 self.prefixes.setdefault(r, []).append(len(self.templates))
-            self.templates.append((label, tokens, need))
+            self.templates.append((label, tokens, need, max(BLOCK_WORDS, 2 * len(body.split()))))
         self.phrases = []
         for body, label in PHRASES.items():
             tokens = body.split()
@@ -126,6 +133,9 @@ class Scanner:
                     x["base"].add(label)
                     x["score"] = 1.0
         wanted = np.isin(ranks, list(self.prefixes))
+        if self.every_offset:
+            self._slide(at, ranks, doc, wanted, out)
+            return out
         blocks: dict[tuple[int, int], set[int]] = {}
         for i, r, d in zip(at[wanted].tolist(), ranks[wanted].tolist(), doc[wanted].tolist(), strict=True):
             place = i - int(of[d])
@@ -136,7 +146,7 @@ class Scanner:
             i, j = np.searchsorted(at, (low, min(low + BLOCK_WORDS, int(of[d + 1]))))
             held = np.unique(ranks[i:j]).tolist()
             for t in templates:
-                label, tokens, need = self.templates[t]
+                label, tokens, need, _ = self.templates[t]
                 if len(held) < need:
                     continue
                 shared = _overlap(tokens, held, need)
@@ -145,6 +155,37 @@ class Scanner:
                     out[d]["score"] = max(out[d]["score"], shared / len(tokens))
         return out
 
+    def _slide(self, at: np.ndarray, ranks: np.ndarray, doc: np.ndarray, wanted: np.ndarray, out: list[dict]) -> None:
+        """Labels and scores by the best of all runs of words around the prefix hits of each text and template."""
+        hits: dict[tuple[int, int], list[int]] = {}
+        for i, r, d in zip(at[wanted].tolist(), ranks[wanted].tolist(), doc[wanted].tolist(), strict=True):
+            for t in self.prefixes[r]:
+                hits.setdefault((d, t), []).append(i)
+        for (d, t), places in hits.items():
+            label, tokens, need, length = self.templates[t]
+            low, high = np.searchsorted(doc, (d, d + 1))
+            spot, rank = at[low:high], ranks[low:high]
+            # what shares a run with a prefix hit lies within a run's length of it
+            slot = np.searchsorted(places, spot)
+            gap = np.minimum(np.abs(np.take(places, slot, mode="clip") - spot), np.abs(np.take(places, slot - 1, mode="clip") - spot))
+            kept = np.isin(rank, tokens) & (gap < length)
+            spot, rank = spot[kept].tolist(), rank[kept].tolist()
+            if len(set(rank)) < need:
+                continue
+            held: dict[int, int] = {}
+            first = best = 0
+            for i, r in zip(spot, rank, strict=True):
+                held[r] = held.get(r, 0) + 1
+                while spot[first] <= i - length:
+                    held[rank[first]] -= 1
+                    if not held[rank[first]]:
+                        del held[rank[first]]
+                    first += 1
+                best = max(best, len(held))
+            if best >= need:
+                out[d]["labels"].add(label)
+                out[d]["score"] = max(out[d]["score"], best / len(tokens))
+
 
 def _overlap(tokens: list[int], held: list[int], need: int) -> int:
     """Words in common of two ordered sets; given up as soon as what is left can't reach ``need``."""
@@ -161,15 +202,16 @@ def _overlap(tokens: list[int], held: list[int], need: int) -> int:
     return n
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text", every_offset: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is 1 with a base phrase, else the largest containment of a template found, else 0.
-    Null and empty texts have no words and empty labels; other columns aren't read.
+    With ``every_offset`` a template of any length is held against all runs of words, else against the
+    blocks of the grid.  Null and empty texts have no words and empty labels; other columns aren't read.
     """
-    if not 0 < threshold <= 1 or any(len(set(t.split())) > BLOCK_STEP for t in templates.values()):
-        raise ValueError("threshold must be over 0 and at most 1, and templates of at most BLOCK_STEP distinct words")
-    scanner = Scanner(word_frequencies(docs, templates, text), templates, threshold)
+    if not 0 < threshold <= 1 or not every_offset and any(len(set(t.split())) > BLOCK_STEP for t in templates.values()):
+        raise ValueError("threshold must be over 0 and at most 1, and templates of a grid of at most BLOCK_STEP distinct words")
+    scanner = Scanner(word_frequencies(docs, templates, text), templates, threshold, every_offset)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

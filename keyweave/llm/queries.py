@@ -57,9 +57,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from keyweave.llm.licenses import scan_licenses
+    from keyweave.llm.licenses import FULL_TEMPLATES, scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES | FULL_TEMPLATES, every_offset=True)
 
 
 def _license_sql() -> str:

@@ -4,8 +4,8 @@ import hashlib
 import random
 
 import pytest
-from brute import shingles
-from keyweave.llm import decontaminate, jaccard
+from brute import shingles, words
+from keyweave.llm import decontaminate, jaccard, licenses
 
 SCHEMA = "doc_id long, text string"
 
@@ -64,3 +64,29 @@ def test_items_without_id_hit(spark, room):
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert out == {1: (3, 2, 1, digest(""), True), 2: (6, 6, 2, digest("3"), True), 3: (2, 0, 0, digest(""), False)}
     assert [r.doc_id for r in decontaminate.remove(docs, benchmark, broadcast_windows=room).collect()] == [3]
+
+
+# --- 5: licenses ---
+
+
+def test_notices_at_every_offset(spark):
+    rng = random.Random(23)
+    body = licenses.TEMPLATES["bsd"].split()
+    notice = body[:11] + [f"name{i}" for i in range(11)] + body[-3:]
+    texts = [" ".join(["pad"] * k + notice + ["end"] * 9) for k in range(40)]
+    texts += [" ".join(["pad"] * k + ["NAME", *licenses.FULL_TEMPLATES["mit-full"].split()]) for k in (0, 7, 50)]
+    templates = licenses.TEMPLATES | licenses.FULL_TEMPLATES
+    pool = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    texts += [" ".join(rng.choice(pool) if rng.random() < 0.8 else f"n{rng.randrange(99)}" for _ in range(rng.randrange(90))) for _ in range(40)]
+    out = {r.doc_id: r for r in licenses.scan_licenses(table(spark, list(enumerate(texts))), templates, every_offset=True).collect()}
+    assert all("bsd" in out[k].labels.split(",") for k in range(40)) and all("mit-full" in out[k].labels.split(",") for k in range(40, 43))
+    for i, text in enumerate(texts):
+        w, labels, score = [x.decode() for x in words(text)], set(out[i].base_labels.split(",")) - {""}, 0.0
+        for label, body in templates.items():
+            tokens, length = set(body.split()), max(32, 2 * len(body.split()))
+            best = max((len(tokens & set(w[b : b + length])) / len(tokens) for b in range(len(w))), default=0)
+            if best >= 0.8:
+                labels.add(label)
+                score = max(score, best)
+        assert out[i].labels == ",".join(sorted(labels))
+        assert out[i].score == (1.0 if out[i].n_base else score)
