@@ -23,9 +23,6 @@ from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, text
 
 #: The training sample: so many texts of each language, the first by a hash of the id, and so many bytes of them.
 TRAINING_TEXTS, DICTIONARY_BYTES = 64, 48 << 10
-#: All dictionaries are cut to the shortest, but not below this.
-SHORTEST_DICTIONARY = 8 << 10
-MAX_LANGUAGES = 64
 PIECE_BYTES = 4096
 #: Texts below this are compressed with more effort.
 SHORT_BYTES = 512
@@ -47,25 +44,26 @@ def held_out(id_column, modulus: int = 4, remainder: int = 2):
 
 
 def training_sample(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TRAINING_TEXTS) -> dict[str, bytes]:
-    """Dictionary content by language: bounded by languages, texts and bytes, whatever the corpus.
+    """Dictionary content by language: bounded by texts and bytes for each language, which none of them loses to another.
 
     Ids are chosen without their texts: for each language the first by hash among texts of 200 to
     8,192 characters, then among the others.
     """
     usable = docs.where(F.coalesce(~held_out(id_column), F.lit(False)) & F.col(lang).isNotNull() & (F.length(text) > 0))
     size = F.length(text)
-    keyed = usable.select(F.col(id_column).alias("id"), F.col(lang).alias("lang"), (~size.between(200, 8192)).cast("int").alias("odd"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
-    first = Window.partitionBy("lang").orderBy("odd", "h", "id")
-    chosen = [r.id for r in keyed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts).limit(texts * MAX_LANGUAGES).select("id").collect()]
-    rows = usable.where(F.col(id_column).isin(chosen)).select(F.col(lang).alias("lang"), F.substring(text, 1, 8192).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("h")).limit(2 * texts * MAX_LANGUAGES).collect() if chosen else []
+    keyed = usable.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.col(lang).alias("lang"), (~size.between(200, 8192)).cast("int").alias("odd"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
+    first = Window.partitionBy("lang").orderBy("odd", "h", "id", "t")
+    # one row of each id and text, so that copies of one don't use up a language's texts
+    chosen = keyed.groupBy("lang", "id", "t", "h").agg(F.min("odd").alias("odd")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts).select("lang", "id", "t")
+    rows = usable.select(F.col(lang).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.substring(text, 1, 8192).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("h")).join(F.broadcast(chosen), ["lang", "id", "t"]).groupBy("lang", "id", "t", "h").agg(F.min("text").alias("text")).collect()
     content: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         have = content.get(r.lang, b"")
         if len(have) < DICTIONARY_BYTES:
             content[r.lang] = (have + plain(r.text).encode() + b"\n")[:DICTIONARY_BYTES]
-    # a longer dictionary would win by its length alone
-    room = max(SHORTEST_DICTIONARY, min(map(len, content.values()), default=0))
-    content = {k: v[:room] for k, v in content.items()}
+    # a longer dictionary would win by its length alone: shorter ones are repeated up to the longest
+    room = max(map(len, content.values()), default=0)
+    content = {k: (v * -(-room // len(v)))[:room] for k, v in content.items()}
     shares = {r.lang: r.n for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()} if content else {}
     return dict(sorted(content.items(), key=lambda x: (-shares[x[0]], x[0])))
 

@@ -1,11 +1,12 @@
 """Each test fails where an operator does less than the whole job."""
 
+import binascii
 import hashlib
 import random
 
 import pytest
 from brute import shingles, words
-from keyweave.llm import decontaminate, jaccard, licenses
+from keyweave.llm import decontaminate, jaccard, language, licenses
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,3 +91,17 @@ def test_notices_at_every_offset(spark):
                 score = max(score, best)
         assert out[i].labels == ",".join(sorted(labels))
         assert out[i].score == (1.0 if out[i].n_base else score)
+
+
+# --- 8: language ---
+
+
+def test_no_language_is_dropped_or_cut_by_a_rare_one(spark):
+    rng = random.Random(24)
+    learned = [i for i in range(900) if binascii.crc32(str(i).encode()) % 4 != 2]
+    long = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(700)) for _ in range(6)]
+    rows = [(learned[i], x, "en") for i, x in enumerate(long)] + [(learned[10], "stray", "xx")]
+    content = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {len(x) for x in content.values()} == {len(content["en"])} and len(content["en"]) > 20_000
+    many = [(learned[100 + i], f"some text {i}", f"l{i}") for i in range(80)] + [(learned[100], f"copy {k}", "l0") for k in range(300)]
+    assert len(language.training_sample(spark.createDataFrame(many, "doc_id long, text string, lang string"), texts=1)) == 80
