@@ -2,8 +2,8 @@
 
 The lexicon is learned: words and word beginnings that stand in toxic documents far more often than
 in others.  Features are its densities, how near its words stand to words of the second person,
-capitals, punctuation and obfuscated words.  The labelled sample is bounded by ``SAMPLE_ROWS``; the
-lexicon, the trees and the calibration each have a part of it to themselves.
+capitals, punctuation and obfuscated words.  The labelled sample is bounded by ``SAMPLE_ROWS``: of
+repeated ids one row stays, the first by a hash of its text.  The lexicon, the trees and the calibration each have a part of it to themselves.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyweave.cluster import cut
 from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, texts_of
 
 #: Labelled rows that are learned from at most, the first by a hash of the id.
@@ -245,7 +246,9 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``rows`` labelled documents; its sample alone is broadcast, with ids and labels only."""
     sample = labelled_sample(labels, id_column, label, rows)
-    chosen = docs.select(F.col(id_column).alias("sample_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "sample_id")
+    rows_of = docs.select(F.col(id_column).alias("sample_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "sample_id")
+    # one row of each id, so that the sample is bounded whatever the ids
+    chosen = cut(rows_of.groupBy("sample_id", "toxic", "part").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     lexicon = learn_lexicon(chosen.where("part < 5").select("text", "toxic"))
     schema = pa.schema([("x", pa.list_(pa.float64())), ("toxic", pa.int32()), ("part", pa.int64())])
 
@@ -255,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
             x = features([t or "" for t in batch.column(0).to_pylist()])
             yield batch_of(schema, x=list(x), toxic=batch.column(1), part=batch.column(2))
 
-    found = map_batches(chosen.where("part >= 5").select("text", "toxic", "part"), describe, "x array<double>, toxic int, part long").orderBy("x", "toxic", "part").limit(4 * rows).collect()
+    found = map_batches(chosen.where("part >= 5").select("text", "toxic", "part"), describe, "x array<double>, toxic int, part long").orderBy("x", "toxic", "part").collect()
     x = np.array([r.x for r in found]).reshape(-1, len(FEATURES))
     y = np.array([r.toxic for r in found], float)
     fit = np.array([r.part < 9 for r in found], bool)

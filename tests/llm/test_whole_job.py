@@ -6,7 +6,7 @@ import random
 
 import pytest
 from brute import shingles, words
-from keyweave.llm import decontaminate, jaccard, language, licenses
+from keyweave.llm import decontaminate, jaccard, language, licenses, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -105,3 +105,16 @@ def test_no_language_is_dropped_or_cut_by_a_rare_one(spark):
     assert {len(x) for x in content.values()} == {len(content["en"])} and len(content["en"]) > 20_000
     many = [(learned[100 + i], f"some text {i}", f"l{i}") for i in range(80)] + [(learned[100], f"copy {k}", "l0") for k in range(300)]
     assert len(language.training_sample(spark.createDataFrame(many, "doc_id long, text string, lang string"), texts=1)) == 80
+
+
+# --- 9: toxicity ---
+
+
+def test_copies_of_a_labelled_row_teach_nothing_more(spark):
+    rng = random.Random(25)
+    rows = [(i, passage(rng, 40, 900) + (" dimwit blockhead" if i % 4 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    copies = [rows[i] for i in range(300) if i % 4] * 8
+    one, other = (toxicity.train(table(spark, x), labels, rows=400) for x in (rows, rows + copies))
+    assert one.lexicon == other.lexicon and one.trees.start == other.trees.start and len(one.trees.trees) == len(other.trees.trees) > 0
+    assert one.calibration.y.tolist() == other.calibration.y.tolist()
