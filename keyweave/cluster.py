@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,10 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh local one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a fresh local one only where that is unset and all runs in one process, as in tests."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="keyweave-checkpoints-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -145,9 +145,14 @@ def test_templates():
     fitted, problems = template.refit(config, template.expectations(old), now)
     assert not problems and fitted.dataset_a.key_columns == ["k2"] and fitted.duplicate_policy_a.representative_sort_column == "k2" and "k2" in fitted.dataset_a.key_mappings
     same, problems = template.refit(config, template.expectations(old), now[:1] * 2)
-    assert same is config and problems == ["ambiguous column reference: k", "stale column reference: value"]
+    assert same is config and problems == [("UNDECIDED", "k"), ("GONE", "value")]
     with pytest.raises(ConfigError):
         template.remap(config, {}, problems)
+    saved = {"a": {"name": "Price", "occurrence": 0}, "b": {"name": "Price", "occurrence": 1}}
+    now = [{"id": "x", "name": " price", "occurrence": 1}, {"id": "y", "name": "PRICE", "occurrence": 0}]
+    assert template.match_columns(saved, now) == ({"a": "y", "b": "x"}, [])
+    now = [{"id": "x", "fingerprint": "f", "name": "p"}]
+    assert template.match_columns([{"name": "p"}, {"id": "a", "fingerprint": "f"}, {"id": "b", "name": "p"}], now) == ({"a": "x"}, [("NO_ID", ""), ("TAKEN", "b")])
     for bad in ("[]", "{", '{"template_version": 3}', '{"dataset_a": {"nope": 1}}'):
         with pytest.raises(ConfigError):
             template.load(bad)
