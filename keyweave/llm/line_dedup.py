@@ -9,23 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from keyweave.llm.textkit import map_batches
+from keyweave.cluster import cut
+from keyweave.llm.textkit import Filter, fresh, map_batches
 
 WINDOW_LINES = 3
 
 
-def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Rows that share id and text are one document; a null id is one of its own."""
-    return docs.withColumn("__id", F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 62)))).withColumn("__body", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("__print", F.xxhash64("__body"))
+def _marks(id_column: str, text: str) -> tuple:
+    """(id, print) of a row: rows that share id and text are one document; a null id is one of its own."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 62))), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def line_windows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: int = WINDOW_LINES) -> DataFrame:
     """(__id, __print, first, last, a, b): each window with its first and last line and 128 bits of hash."""
-    rows = _keyed(docs, id_column, text).select("__id", "__print", F.split("__body", "\n", -1).alias("lines"))
+    row_id, mark = _marks(id_column, text)
+    rows = docs.select(row_id.alias("__id"), mark.alias("__print"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1).alias("lines"))
     full = F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda x: x.line.rlike(r"[^ \t\r\f\x0B]"))
     rows = rows.select("__id", "__print", full.alias("full")).where(F.size("full") >= lines)
 
@@ -41,7 +45,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """(__id, __print, __spans): the line ranges of each document that later windows cover."""
     windows = line_windows(docs, id_column, text, lines)
     place = F.struct("__id", "__print", "first")
-    firsts = windows.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("a", "b", "kept")
+    # cut, so that the join is of two plain shuffles: the places of a common window can then be split
+    firsts = cut(windows.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("a", "b", "kept"))
     later = windows.join(firsts, ["a", "b"]).where(place != F.col("kept"))
     return later.groupBy("__id", "__print").agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
 
@@ -61,28 +66,48 @@ def _without(body: str, spans: list[dict]) -> tuple[str, int]:
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lines: int = WINDOW_LINES) -> DataFrame:
-    """All columns of ``docs``, ``text`` without repeated lines, and ``n_lines`` and ``n_removed`` at the end.
+    """All columns of ``docs``, ``text`` without repeated lines, and at the end ``n_lines`` and ``n_removed``.
 
-    Null and empty texts and those of fewer than three lines stay as they are.  Rows that share id and
-    text are one document and keep the same lines.  An empty table gives an empty result.
+    Where ``docs`` has columns of these names they stay, and the new ones are called ``n_lines_1`` and
+    ``n_removed_1`` (or the next number).  Null and empty texts and those of fewer than three lines stay
+    as they are.  Rows that share id and text are one document and keep the same lines.  An empty table
+    gives an empty result.  Only the texts of documents that lose lines are shuffled, as far as the
+    filter tells them apart.
     """
-    keyed = _keyed(docs, id_column, text)
-    joined = keyed.join(repeated_spans(docs, id_column, text, lines), ["__id", "__print"], "left")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = joined.select(*[F.col(c) for c in kept], "__spans")
-    schema = docs.select(*kept).schema.add("n_lines", "long").add("n_removed", "long")
-    at = kept.index(text)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = cut(repeated_spans(docs, id_column, text, lines))
+    touched = Filter(spans, "__print")
+    names = docs.columns
+    key, mark, ranges = fresh(names, "__id", "__print", "__spans")
+    n_lines, n_removed = fresh(names, "n_lines", "n_removed")
+    row_id, row_mark = _marks(id_column, text)
+    marked = docs.select(*[F.col(f"`{c}`") for c in names], row_id.alias(key), row_mark.alias(mark))
+    schema = StructType([*docs.schema.fields, StructField(n_lines, LongType()), StructField(n_removed, LongType())])
+    at, width = names.index(text), len(names)
+
+    def done(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+        bodies = batch.column(at).to_pylist()
+        counts, removed = [(x or "").count("\n") + 1 for x in bodies], [0] * len(bodies)
+        columns = [batch.column(i) for i in range(width)]
+        for i, s in enumerate(spans):
+            if s:
+                bodies[i], removed[i] = _without(bodies[i] or "", s)
+        if any(removed):
+            columns[at] = pa.array(bodies, columns[at].type)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, n_lines, n_removed])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, spans = batch.column(at).to_pylist(), batch.column(len(kept)).to_pylist()
-            removed = [0] * len(bodies)
-            counts = [(x or "").count("\n") + 1 for x in bodies]
-            for i, s in enumerate(spans):
-                if s:
-                    bodies[i], removed[i] = _without(bodies[i] or "", s)
-            columns = [batch.column(i) for i in range(len(kept))]
-            columns[at] = pa.array(bodies, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "n_lines", "n_removed"])
-
-    return map_batches(rows, cut, schema)
+            rest = batch.filter(pa.array(~touched.passes(np.asarray(batch.column(width + 1)))))
+            yield done(rest, [])
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(touched.passes(np.asarray(batch.column(width + 1)))))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield done(batch, batch.column(width).to_pylist())
+
+    found = spans.select(F.col("__id").alias(key), F.col("__print").alias(mark), F.col("__spans").alias(ranges))
+    rows = map_batches(marked, maybe, marked.schema).join(found, [key, mark], "left").select(*[F.col(f"`{c}`") for c in names], ranges)
+    return map_batches(marked, untouched, schema).unionByName(map_batches(rows, reduced, schema))

@@ -7,11 +7,13 @@ that the memory of a worker follows the longest single text and not the number o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keyweave.cluster import ship
 
@@ -43,6 +45,43 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     return df.mapInArrow(function, schema)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, with a number behind each that a column already has: no column of a caller is lost to one of ours."""
+    have, out = {x.lower() for x in taken}, []
+    for name in names:
+        free = name
+        for n in count(1):
+            if free.lower() not in have:
+                break
+            free = f"{name}_{n}"
+        have.add(free.lower())
+        out.append(free)
+    return out
+
+
+#: A filter of values has about 16 bits for each, between these powers of two (2 KB to 16 MB); beyond that more pass it than need to.
+FILTER_BITS = (14, 27)
+
+
+class Filter:
+    """Which 64-bit values may be among those of a table: a bitmap sized by their number and made by tasks; a value in it always passes."""
+
+    def __init__(self, values: DataFrame, column: str):
+        rows = values.select(F.col(column).alias("v"))
+        n = rows.count()
+        bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * n).bit_length()))
+        slot = F.col("v").bitwiseAND(F.lit((1 << bits) - 1))
+        words = rows.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toArrow()
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        table[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).view(np.uint64)
+        self.shared = values.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        table = np.frombuffer(self.shared.value, np.uint64)
+        slot = values & (64 * len(table) - 1)
+        return table[slot >> 6] >> (slot & 63).astype(np.uint64) & _U(1) > 0
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; null reads as empty."""
     column = pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
