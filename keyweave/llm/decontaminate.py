@@ -2,12 +2,14 @@
 
 A window is ``length`` consecutive words of a benchmark item; an item of fewer words is one window.
 The hash set is broadcast only while it has at most ``BROADCAST_WINDOWS`` windows; beyond that the
-windows of the documents meet those of the benchmark in a join.  Hits are verified by their words.
+windows of the documents meet those of the benchmark in a join.  Hits are verified by their words, and
+both ways give the same rows and can remove documents or spans alike.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.llm.textkit import ALNUM, Words, batch_of, map_batches, prefix_sums, slices, spans_hash, texts_of
+from keyweave.cluster import cut
+from keyweave.llm.textkit import ALNUM, Filter, Words, batch_of, fresh, map_batches, prefix_sums, slices, spans_hash, texts_of
 
 WINDOW_WORDS = 13
 #: About 200 bytes each on the driver and on each worker.
@@ -108,12 +111,36 @@ def contaminated(n_words, n_hit):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def _set_of(windows: DataFrame, limit: int):
+_built: dict[str, WindowSet] = {}
+
+
+class _Shared:
+    """The broadcast windows; a worker builds their set once, whatever the number of its tasks."""
+
+    def __init__(self, spark, table: pa.Table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.key, self.packed = uuid.uuid4().hex, spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def windows(self) -> WindowSet:
+        if self.key not in _built:
+            _built.clear()
+            columns = pa.ipc.open_stream(self.packed.value).read_all().to_pydict()
+            _built[self.key] = WindowSet(list(zip(*(columns[c] for c in ("window", "words", "hash", "item")), strict=True)))
+        return _built[self.key]
+
+
+def _set_of(windows: DataFrame, limit: int) -> _Shared | None:
     """The broadcast set, or None if it has too many windows for that."""
-    rows = windows.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return windows.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    table = windows.limit(limit + 1).toArrow()
+    return _Shared(windows.sparkSession, table) if table.num_rows <= limit else None
+
+
+def _parts(batch: pa.RecordBatch, text: str, limit: int = 1 << 17) -> Iterator[tuple[int, int, Words]]:
+    offsets, data = texts_of(batch, text)
+    for a, b in slices(offsets, limit):
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, broadcast_windows: int = BROADCAST_WINDOWS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,6 +149,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, broa
     Null and empty texts have no words and are clean; so are all documents where the benchmark is
     empty or its texts are null.  Equal items count each; repeated rows are judged one by one.  Items
     without an id hit like all others; together they count as one item, which the digest leaves out.
+    Other columns aren't read, so their names can't clash.
     """
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     windows = benchmark_windows(benchmark, length)
@@ -129,99 +157,151 @@ def scan(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW_WORDS, broa
         return _scan_by_join(narrow, windows)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WindowSet(shared.value)
+        known = shared.windows()
         for batch in batches:
-            offsets, data = texts_of(batch)
-            for a, b in slices(offsets):
-                n_words, n_hit, items, _ = _judge(known, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM))
+            for a, b, words in _parts(batch, "text"):
+                n_words, n_hit, items, _ = _judge(known, words)
                 yield batch_of(_RESULT, doc_id=batch.column(0).slice(a, b - a), n_words=n_words, n_hit=n_hit, n_items=[len(x) for x in items], items_sha256=[_digest(x) for x in items], contaminated=contaminated(n_words, n_hit))
 
     return map_batches(narrow, judge, _DDL)
 
 
-def _scan_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: the documents' windows meet it by hash and words.
+def _mark(text: str) -> tuple:
+    """128 bits of a text: its windows are known by them, so that a task that runs again finds the same."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.xxhash64(body), F.xxhash64(F.lit(1), body)
+
+
+def _merged(spans) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
 
-    Windows of equal hash are counted in the join, so that a frequent window costs a row for each place.
+def _hits_by_join(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+    """(k, l, n_words, n_hit, n_items, items, spans) of each different text that holds a window, for a benchmark of any size.
+
+    Only windows that the filter lets pass are shuffled; they meet the benchmark's by hash and words.
     """
-    lengths = [r.words for r in windows.select("words").distinct().collect()]  # 13 at most
-    keyed = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("at", pa.int64()), ("words", pa.int32()), ("hash", pa.int64()), ("window", pa.string())])
+    windows = cut(windows)
+    lengths = [r.words for r in windows.select("words").distinct().collect()]  # ``length`` at most
+    near = Filter(windows, "hash")
+    k, l = _mark(text)  # noqa: E741
+    schema = pa.schema([("k", pa.int64()), ("l", pa.int64()), ("n_words", pa.int64()), ("at", pa.int64()), ("words", pa.int32()), ("hash", pa.int64()), ("window", pa.string())])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = texts_of(batch)
-            for a, b in slices(offsets, 1 << 16):
-                words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
+            for a, b, words in _parts(batch, "text", 1 << 16):
                 sums, counts = prefix_sums(words.hash), np.diff(words.of)
-                ids, rows = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)
-                none = pa.nulls(b - a)
-                yield batch_of(schema, row=rows, doc_id=ids, n_words=counts, at=none.cast(pa.int64()), words=none.cast(pa.int32()), hash=none.cast(pa.int64()), window=none.cast(pa.string()))
+                ks, ls = (np.asarray(batch.column(i))[a:b] for i in (0, 1))
                 for n in lengths:
                     at, h = _length_windows(words, n, sums)
+                    kept = near.passes(h.view(np.int64))
+                    at, h = at[kept], h[kept]
                     of = np.searchsorted(words.of, at, side="right") - 1
-                    yield batch_of(schema, row=rows.take(pa.array(of)), doc_id=ids.take(pa.array(of)), n_words=counts[of], at=at - words.of[of], words=np.full(len(at), n, np.int32), hash=h.view(np.int64), window=[words.text(i, i + n) for i in at.tolist()])
+                    if len(at):
+                        yield batch_of(schema, k=ks[of], l=ls[of], n_words=counts[of], at=at - words.of[of], words=np.full(len(at), n, np.int32), hash=h.view(np.int64), window=[words.text(i, i + n) for i in at.tolist()])
+
+    rows = map_batches(docs.select(k.alias("k"), l.alias("l"), F.col(text).cast("string").alias("text")), explode, "k long, l long, n_words long, at long, words int, hash long, window string")
+    hits = rows.join(windows, ["words", "hash", "window"]).select("k", "l", "n_words", "at", "words", "item")
+    places = hits.groupBy("k", "l").agg(F.first("n_words").alias("n_words"), F.collect_set(F.struct("at", "words")).alias("spans"))
+    merged_schema = pa.schema([("k", pa.int64()), ("l", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
-    rows = map_batches(keyed, explode, "row long, doc_id long, n_words long, at long, words int, hash long, window string")
-    hits = rows.where("at is not null").join(windows, ["words", "hash", "window"]).select("row", "at", "words", "item")
-    covered = hits.select("row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("words") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    items = hits.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"), F.count("*").alias("n_items"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_merged((s["at"], s["at"] + s["words"]) for s in x) for x in batch.column(3).to_pylist()]
+            yield batch_of(merged_schema, k=batch.column(0), l=batch.column(1), n_words=batch.column(2), n_hit=[sum(b - a for a, b in x) for x in spans], spans=[[{"start": a, "stop": b} for a, b in x] for x in spans])
+
+    merged = map_batches(places, merge, "k long, l long, n_words long, n_hit long, spans array<struct<start: long, stop: long>>")
+    items = hits.select("k", "l", "item").distinct().groupBy("k", "l").agg(F.array_sort(F.collect_list("item")).alias("items"), F.count("*").alias("n_items"))
+    return cut(merged.join(items, ["k", "l"]).select("k", "l", "n_words", "n_hit", "n_items", "items", "spans"))
+
+
+def _scan_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("l", pa.int64()), ("n_words", pa.int64())])
+    hits = _hits_by_join(docs, windows, "text").drop("n_words", "spans")
+    k, l = _mark("text")  # noqa: E741
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in _parts(batch, "text"):
+                yield batch_of(schema, n_words=np.diff(words.of), **{c: batch.column(i).slice(a, b - a) for i, c in enumerate(("doc_id", "k", "l"))})
+
+    rows = map_batches(docs.select("doc_id", k.alias("k"), l.alias("l"), "text"), count, "doc_id long, k long, l long, n_words long").join(hits, ["k", "l"], "left")
+    n_hit, n_items = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_items"))
     found = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.where("at is null").select("row", "doc_id", "n_words").join(covered, "row", "left").join(items, "row", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), contaminated(F.col("n_words"), n_hit).alias("contaminated"))
+
+
+def _without(text: str, words: Words, spans) -> str:
+    """``text``, which is all that ``words`` holds, without the words in ``spans``; what stands between words stays."""
+    raw = text.encode()
+    keep = np.ones(len(raw), bool)
+    for start, stop in spans:
+        for a, b in zip(words.start[start:stop].tolist(), words.stop[start:stop].tolist(), strict=True):
+            keep[a:b] = False
+    return np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "replace")
+
+
+def _words_of(text: str) -> Words:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return Words(raw, np.array([0, len(raw)]), ALNUM, hashed=False)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", length: int = WINDOW_WORDS, broadcast_windows: int = BROADCAST_WINDOWS, text: str = "text") -> DataFrame:
     """``docs`` without contaminated documents, or (``what="spans"``) with the hit words of those cut out of their texts.
 
-    Documents under the rule's bound keep their texts as they are.  All columns stay.
+    Documents under the rule's bound keep their texts as they are, null and empty ones too.  Repeated
+    rows share their fate.  All columns stay, whatever their names.
     """
     if what not in ("documents", "spans"):
         raise ValueError(f"what is {what!r}, not documents or spans")
     windows = benchmark_windows(benchmark, length)
     if (shared := _set_of(windows, broadcast_windows)) is None:
-        if what == "spans":
-            raise ValueError("spans are cut only while the benchmark fits a broadcast")
-        return _remove_by_join(docs, windows, text)
+        return _remove_by_join(docs, windows, what, text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WindowSet(shared.value)
+        known = shared.windows()
         for batch in batches:
-            offsets, data = texts_of(batch, text)
-            for a, b in slices(offsets):
-                base = offsets[a : b + 1] - offsets[a]
-                words = Words(data[offsets[a] : offsets[b]], base, ALNUM)
+            for a, b, words in _parts(batch, text):
                 n_words, n_hit, _, hit = _judge(known, words)
                 bad = contaminated(n_words, n_hit)
                 part = batch.slice(a, b - a)
-                if what == "documents":
+                if what == "documents" or not bad.any():
                     yield part.filter(pa.array(~bad))
                     continue
                 at = part.schema.get_field_index(text)
                 texts = part.column(at).to_pylist()
-                raw = data[offsets[a] : offsets[b]]
                 for r in np.flatnonzero(bad).tolist():
-                    keep = np.ones(base[r + 1] - base[r], bool)
-                    for w in range(words.of[r], words.of[r + 1]):
-                        if hit[w]:
-                            keep[words.start[w] - base[r] : words.stop[w] - base[r]] = False
-                    texts[r] = bytes(raw[base[r] : base[r + 1]][keep]).decode("utf-8", "replace")
+                    mine = np.flatnonzero(np.diff(np.concatenate(([False], hit[words.of[r] : words.of[r + 1]], [False])).astype(np.int8)))
+                    texts[r] = _without(texts[r], _words_of(texts[r]), zip(mine[::2].tolist(), mine[1::2].tolist(), strict=True))
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     return map_batches(docs, clean, docs.schema)
 
 
-def _remove_by_join(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
-    keyed = docs.withColumn("__text_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    bodies = keyed.select("__text_key", F.col(text).alias("text")).dropDuplicates(["__text_key"])
-    numbered = bodies.select(F.lit(0).cast("long").alias("doc_id"), "text", "__text_key")
-    bad = _scan_keys(numbered, windows)
-    return keyed.join(bad, "__text_key", "left_anti").select(*docs.columns)
+def _remove_by_join(docs: DataFrame, windows: DataFrame, what: str, text: str) -> DataFrame:
+    names = docs.columns
+    key, other, spans = fresh(names, "__k", "__l", "__spans")
+    k, l = _mark(text)  # noqa: E741
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], k.alias(key), l.alias(other))
+    bad = _hits_by_join(docs, windows, text).where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("k").alias(key), F.col("l").alias(other), F.col("spans").alias(spans))
+    if what == "documents":
+        return keyed.join(bad, [key, other], "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    at = names.index(text)
 
-
-def _scan_keys(bodies: DataFrame, windows: DataFrame) -> DataFrame:
-    from keyweave.cluster import cut
-
-    numbered = cut(bodies.withColumn("doc_id", F.monotonically_increasing_id()))
-    bad = _scan_by_join(numbered.select("doc_id", "text"), windows).where("contaminated").select("doc_id")
-    return numbered.join(bad, "doc_id", "left_semi").select("__text_key")
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            for i, ranges in enumerate(found):
+                if ranges:
+                    texts[i] = _without(texts[i], _words_of(texts[i]), [(r["start"], r["stop"]) for r in ranges])
+            columns = [batch.column(i) for i in range(len(names))]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_batches(keyed.join(bad, [key, other], "left").select(*[F.col(f"`{c}`") for c in names], spans), clean, docs.schema)

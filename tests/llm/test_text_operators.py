@@ -97,13 +97,16 @@ def test_line_dedup(spark, odd):
     rng = random.Random(1)
     pool = [f"line {i}" for i in range(12)] + ["", "  "]
     rows = odd + [(100 + i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(14)))) for i in range(60)]
-    docs = table(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("other", F.lit(1))
+    clashing = ("n_lines", "N_REMOVED", "__id", "__print", "__spans", "__body", "first", "a")
+    docs = table(spark, rows).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clashing})
     out = lines.dedup_lines(docs)
-    assert out.columns == ["doc_id", "text", "other", "n_lines", "n_removed"]
+    assert out.columns == ["doc_id", "text", *clashing, "n_lines_1", "n_removed_1"]
     expected = line_dedup(rows)
     for r in out.collect():
-        assert (r.text or "") == expected[r.doc_id]
+        assert (r.text or "") == expected[r.doc_id] and all(r[c] == f"{c}{r.doc_id}" for c in clashing)
+        assert r.n_removed_1 == (0 if r.text == dict(rows)[r.doc_id] else r.n_lines_1 - len(r.text.split("\n")) if r.text else r.n_removed_1)
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+    assert lines.dedup_lines(docs.select("doc_id", "text")).columns == ["doc_id", "text", "n_lines", "n_removed"]
 
 
 def test_line_dedup_without_ids(spark):
@@ -271,10 +274,41 @@ def test_decontamination(spark, odd, room):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, x in enumerate(expected) if not x[4]}
 
 
-def test_decontamination_spans_and_empty(spark):
+@pytest.mark.parametrize("room", [500_000, 0])
+def test_decontamination_spans(spark, odd, room):
+    rng = random.Random(10)
+    items = [(1, "b c"), (1, "b c"), (2, passage(rng, 30)), (None, "tail end")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*odd, (50, "A, b C. d"), (50, "A, b C. d"), (51, "b"), (52, passage(rng, 200) + " b c"), (53, "é " + items[2][1] + " tail, END b"), (None, items[2][1] * 2)]
+    clashing = ("__k", "__l", "__spans", "k", "n_words", "__text_key")
+    docs = table(spark, rows).withColumns({c: F.lit(c) for c in clashing})
+    out = decontaminate.remove(docs, benchmark, what="spans", broadcast_windows=room)
+    assert out.columns == docs.columns
+    windows = {tuple(w[i : i + 13]) for _, t in items for w in [words(t)] for i in range(max(len(w) - 13, 0) + 1)}
+    expected = []
+    for i, text in rows:
+        w, hit = words(text), set()
+        for n in {len(x) for x in windows}:
+            for at in range(len(w) - n + 1):
+                if tuple(w[at : at + n]) in windows:
+                    hit.update(range(at, at + n))
+        if hit and 20 * len(hit) >= len(w):
+            from brute import ALNUM as WORD
+            from brute import LOWER
+
+            raw, kept, last = text.encode(), b"", 0
+            for number, m in enumerate(WORD.finditer(raw.translate(LOWER))):
+                if number in hit:
+                    kept, last = kept + raw[last : m.start()], m.end()
+            text = (kept + raw[last:]).decode("utf-8", "replace")
+        expected.append((str(i), str(text)))
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted(expected)
+    assert ("50", "A,  . d") in expected and all(r[c] == c for r in out.limit(3).collect() for c in clashing)
+
+
+def test_decontamination_empty(spark):
     benchmark = spark.createDataFrame([(1, "b c")], "item_id long, text string")
     docs = table(spark, [(1, "A, b C. d")])
-    assert decontaminate.remove(docs, benchmark, what="spans").first().text == "A,  . d"
     assert decontaminate.scan(docs, benchmark.limit(0)).first().contaminated is False
     assert decontaminate.scan(docs.limit(0), benchmark).count() == 0
 
