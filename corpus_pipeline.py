@@ -20,9 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated windows go, and documents of which nothing is left; ``n_chars`` follows the text."""
     rows = line_dedup.dedup_lines(docs)
-    rows = rows.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    removed = F.col(rows.columns[-1])
+    rows = rows.where((removed == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(removed == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 
