@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, texts_of
 
-#: The training sample: so many texts of each language, the first by a hash of the id, and so many bytes of them.
-TRAINING_TEXTS, DICTIONARY_BYTES = 64, 48 << 10
+#: The training sample, for each language: so many texts, the first by a hash of the id; so many characters of each; so many bytes in all.
+TRAINING_TEXTS, TRAINING_CHARS, DICTIONARY_BYTES = 64, 8192, 48 << 10
 PIECE_BYTES = 4096
 #: Texts below this are compressed with more effort.
 SHORT_BYTES = 512
@@ -47,15 +47,16 @@ def training_sample(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """Dictionary content by language: bounded by texts and bytes for each language, which none of them loses to another.
 
     Ids are chosen without their texts: for each language the first by hash among texts of 200 to
-    8,192 characters, then among the others.
+    TRAINING_CHARS characters, then among the others.  Of a longer text the first TRAINING_CHARS
+    characters are learned; predictions read whole texts.
     """
     usable = docs.where(F.coalesce(~held_out(id_column), F.lit(False)) & F.col(lang).isNotNull() & (F.length(text) > 0))
     size = F.length(text)
-    keyed = usable.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.col(lang).alias("lang"), (~size.between(200, 8192)).cast("int").alias("odd"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
+    keyed = usable.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.col(lang).alias("lang"), (~size.between(200, TRAINING_CHARS)).cast("int").alias("odd"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
     first = Window.partitionBy("lang").orderBy("odd", "h", "id", "t")
     # one row of each id and text, so that copies of one don't use up a language's texts
     chosen = keyed.groupBy("lang", "id", "t", "h").agg(F.min("odd").alias("odd")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts).select("lang", "id", "t")
-    rows = usable.select(F.col(lang).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.substring(text, 1, 8192).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("h")).join(F.broadcast(chosen), ["lang", "id", "t"]).groupBy("lang", "id", "t", "h").agg(F.min("text").alias("text")).collect()
+    rows = usable.select(F.col(lang).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.substring(text, 1, TRAINING_CHARS).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("h")).join(F.broadcast(chosen), ["lang", "id", "t"]).groupBy("lang", "id", "t", "h").agg(F.min("text").alias("text")).collect()
     content: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         have = content.get(r.lang, b"")
@@ -103,7 +104,9 @@ def identify(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lan
     """One row per document row: doc_id, held_out, lang_pred, score, rejected.
 
     Null texts and those without a letter are ``und`` with score 0, as are all where nothing can be
-    learned; a null id is not held out and not learned from.
+    learned; a null id is not held out and not learned from.  Repeated rows get one answer each, the
+    same; of equal sizes the language wins that is more frequent among learned rows, then the first by
+    name.  An empty table gives an empty result; other columns aren't read.
     """
     content = training_sample(docs, id_column, text, lang, texts)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])

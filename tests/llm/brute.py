@@ -86,3 +86,31 @@ def contamination(texts, items, size=13):
                     found |= items_here
         out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def languages(content, texts, short, piece):
+    """(language, score, rejected) of each text: plain zstandard sizes under each raw dictionary."""
+    import re
+    from itertools import groupby
+
+    import zstandard
+
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0, True))
+            continue
+        raw = (" " + " ".join(k for k, _ in groupby(re.sub(r"[\W\d_]+", " ", text.lower()).split())) + " ").encode()
+        sizes = []
+        for rank, (lang, body) in enumerate(content.items()):
+            n = 0
+            for i in range(0, len(raw), piece):
+                words = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                made = zstandard.ZstdCompressor(level=19 if len(raw) < short else 3, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[i : i + piece])
+                assert zstandard.ZstdDecompressor(dict_data=words).decompress(made, max_output_size=piece) == raw[i : i + piece]
+                n += len(made)
+            sizes.append((n, rank, lang))
+        best, second = sorted(sizes)[:2]
+        margin = (second[0] - best[0]) / max(second[0], 1)
+        out.append((best[2], min(1.0, 0.5 + 5 * margin), margin < 0.01))
+    return out

@@ -383,6 +383,65 @@ def test_language(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_language_like_plain_sizes(spark):
+    """Ties, repeats, very long and one-word texts, null ids and clashing columns, against sizes taken one by one."""
+    import brute
+
+    rng = random.Random(13)
+    rows = corpus(rng)
+    twin = [(7000 + i, rows[i][1], f"copy-{rows[i][2]}") for i in range(len(rows))]
+    texts = [rows[0][1], rows[0][1], rows[70][1] * 400, "a", "th er", "x " * 20_000, "日本 語", "1 2", "", None, rows[5][1][:60]]
+    docs = spark.createDataFrame([*rows, *twin, *((9000 + i, t, None) for i, t in enumerate(texts)), (None, rows[3][1], "en")], "doc_id long, text string, lang string")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("lang_pred", "held_out", "id", "h", "t", "n")})
+    content = language.training_sample(docs)
+    assert content == language.training_sample(docs.repartition(5)) and len(content) == 6
+    out = sorted(((r.doc_id, r.lang_pred, r.score, r.rejected) for r in language.identify(docs).collect() if r.doc_id is not None and r.doc_id >= 9000))
+    assert out == [(9000 + i, *x) for i, x in enumerate(brute.languages(content, texts, language.SHORT_BYTES, language.PIECE_BYTES))]
+    assert len([r for r in language.identify(docs).collect() if r.doc_id is None]) == 1
+
+
+def test_toxicity_like_plain_walk(spark):
+    """Scores of odd rows against features, trees and calibration taken one text and one node at a time."""
+    rng = random.Random(14)
+    rows = [(i, passage(rng, 40, 300) + (" you dimwit BLOCKHEAD!" if i % 4 == 0 else " you are fine.")) for i in range(400)]
+    odd = [(1000, None), (1001, ""), (1002, "DIMWIT " * 30_000), (1003, rows[0][1]), (1003, rows[0][1]), (None, "d1mw1t you"), (1004, "¡tú! " * 3)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    docs = table(spark, [*rows, *odd]).withColumns({c: F.lit("clash") for c in ("score", "toxic", "sample_id", "part", "held_out")})
+    model = toxicity.train(docs, labels)
+    features = toxicity.Features(model.lexicon)
+
+    def plain(text):
+        x = features([text or ""])[0]
+        raw = model.trees.start
+        for feature, cuts, leaf in model.trees.trees:
+            node = 0
+            for level in range(model.trees.depth):
+                at = (1 << level) - 1 + node
+                node = 2 * node + int(feature[at] >= 0 and x[feature[at]] > cuts[at])
+            raw += leaf[node]
+        knots = list(zip(model.calibration.x.tolist(), model.calibration.y.tolist(), strict=True))
+        if raw <= knots[0][0]:
+            return knots[0][1]
+        for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False):
+            if raw <= x1:
+                return y0 + (raw - x0) / (x1 - x0) * (y1 - y0)
+        return knots[-1][1]
+
+    def counted(text):
+        """Three features said plainly: density of learned words, share of capitals, exclamation marks a word."""
+        parts = (text or "").split()
+        hits = sum(any(k in model.lexicon for k in toxicity.keys_of(toxicity.bare(w))) for w in parts)
+        return [hits / max(len(parts), 1), sum("A" <= c <= "Z" for c in text or "") / max(len((text or "").encode()), 1), (text or "").count("!") / max(len(parts), 1)]
+
+    texts = [t for _, t in odd]
+    names = [toxicity.FEATURES.index(x) for x in ("density", "capitals", "exclamations")]
+    assert np.allclose(features([t or "" for t in texts])[:, names], [counted(t) for t in texts])
+    out = toxicity.score_documents(docs, labels).collect()
+    found = sorted(((str(r.doc_id), round(r.score, 9), r.predicted) for r in out if r.doc_id is None or r.doc_id >= 1000))
+    assert found == sorted((str(i), round(plain(t), 9), int(plain(t) >= 0.5)) for i, t in odd)
+    assert model.lexicon and len(out) == len(rows) + len(odd) and toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(12)
     insults = ["jerkface", "dimwit", "blockhead", "numbskull"]
