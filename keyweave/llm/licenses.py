@@ -1,12 +1,17 @@
-"""License scans: exact containment join of license templates with blocks of text.
+"""License scans: exact containment join of license texts with blocks of documents.
 
-A text's blocks are all runs of ``BLOCK_WORDS`` words, or of twice a template's words if that is more
-(``every_offset``, as the registered query has it); else those of a grid, one every ``BLOCK_STEP``
-words, the last to the end.  A template with n distinct words is found in a block that holds at least ``threshold`` * n of
-them.  Words are ordered by how rare they are in the corpus; a block is looked at only if it holds
-one of the template's n - ceil(threshold * n) + 1 rarest words (prefix filter), has as many distinct
-template words as needed (length filter), and has enough of them left behind the first match
-(positional filter).  Nothing else can meet the threshold, so the join is exact.
+A template's blocks are all runs of words of a text that are half as long again as the template (room
+for names, bullets and comment signs), or the whole text where that is shorter.  A template with n
+distinct words is found in a block that holds at least ``threshold`` * n of them, and as large a share
+of its telling words, which stand in no other template: so that a text alike in wording alone, or
+under another license's name, isn't taken for it.
+
+Words are ordered by how rare they are in the corpus.  A run can only meet the threshold if it holds
+one of the n - ceil(threshold * n) + 1 rarest words of the template (prefix filter).  Around each of
+these places as many distinct template words as needed must stand within a run's length (length
+filter), and as many of them as are still needed must come behind the place's own word in the order,
+since each block is looked at from its rarest word (positional filter).  What is left is verified by
+sliding over every run, so the join is exact.
 
 Base labels come from fixed phrases whose words must stand one after the other; they are found by
 their rarest word and verified in place.
@@ -26,24 +31,40 @@ from keyweave.llm.textkit import ALNUM, Words, batch_of, map_batches, slices, te
 
 #: Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Own short forms of common notices.
+#: Published license texts, and the notices that the longer ones tell authors to use, as words.
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc0": "to the extent possible under law the author has waived all copyright and related rights",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "mit": "released under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    "mpl-2.0": "subject to the terms of the mozilla public license version 2 0",
-}
-#: Whole texts of short licenses.
-FULL_TEMPLATES = {
-    "isc-full": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
-    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "cc-by-nc-4.0": "this work is licensed under the creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc 4 0 or send a letter to creative commons po box 1866 mountain view ca 94042 usa",
+    "cc-by-sa-4.0": "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0 or send a letter to creative commons po box 1866 mountain view ca 94042 usa",
+    "cc0": "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
 }
 THRESHOLD = 0.8
-BLOCK_WORDS, BLOCK_STEP = 32, 16
+#: A block's words for each word of its template.
+ROOM = 1.5
+
+
+def needed(n: int, threshold: float) -> int:
+    """Words that a block must hold of n."""
+    return math.ceil(threshold * n - 1e-9)
+
+
+def run_words(template: str) -> int:
+    """Words of a template's blocks."""
+    return math.ceil(ROOM * len(template.split()))
+
+
+def telling_words(templates: dict[str, str]) -> dict[str, set[str]]:
+    """The words of each template that stand in no other."""
+    sets = {label: set(body.split()) for label, body in templates.items()}
+    return {label: words - set().union(*(other for name, other in sets.items() if name != label)) for label, words in sets.items()}
 
 
 def _hash_of(word: str) -> int:
@@ -93,29 +114,66 @@ def word_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tex
     return {w: found.get(i, 0) for i, w in enumerate(vocabulary.words)}
 
 
+class _Template:
+    """A template's words by rank: ``position`` of each rank in its own order (-1: not its word), the rarest first."""
+
+    def __init__(self, label: str, body: str, telling: set[str], rank_of: dict[str, int], threshold: float):
+        tokens = sorted({rank_of[w] for w in body.split()})
+        self.label, self.size, self.need, self.run = label, len(tokens), needed(len(tokens), threshold), run_words(body)
+        self.position = np.full(len(rank_of), -1)
+        self.position[tokens] = np.arange(len(tokens))
+        self.prefix = tokens[: self.size - self.need + 1]
+        self.telling = np.zeros(len(tokens), bool)
+        self.telling[self.position[[rank_of[w] for w in telling]] if telling else []] = True
+        self.need_telling = needed(int(self.telling.sum()), threshold)
+
+    def best(self, at: np.ndarray, position: np.ndarray) -> int:
+        """The most distinct words that any run holds, 0 under what is needed; ``at``: places of its words in one text."""
+        if len(np.unique(position)) < self.need:
+            return 0
+        first = np.searchsorted(at, at - self.run, side="right")
+        last = np.searchsorted(at, at + self.run)
+        near = np.zeros(len(at), bool)
+        for i in np.flatnonzero(position <= self.size - self.need).tolist():
+            around = position[first[i] : last[i]]
+            # of the blocks that have their rarest word here
+            if len(np.unique(around[around >= position[i]])) >= self.need:
+                near[first[i] : last[i]] = True
+        held = np.zeros(self.size, np.int64)
+        n = telling = start = best = 0
+        for i, p in zip(np.flatnonzero(near).tolist(), position[near].tolist(), strict=True):
+            held[p] += 1
+            if held[p] == 1:
+                n, telling = n + 1, telling + int(self.telling[p])
+            while at[start] <= at[i] - self.run:
+                if near[start]:
+                    q = position[start]
+                    held[q] -= 1
+                    if not held[q]:
+                        n, telling = n - 1, telling - int(self.telling[q])
+                start += 1
+            if n > best and n >= self.need and telling >= self.need_telling:
+                best = n
+        return best
+
+
 class Scanner:
-    def __init__(self, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, every_offset: bool = False):
-        self.every_offset = every_offset
+    def __init__(self, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
         self.vocabulary = _Vocabulary(templates)
-        number = {w: i for i, w in enumerate(self.vocabulary.words)}
-        #: rank of each word, the rarest first
-        order = sorted(number, key=lambda w: (frequencies.get(w, 0), w))
-        self.rank = np.zeros(len(order), np.int64)
-        for r, w in enumerate(order):
-            self.rank[number[w]] = r
-        self.templates = []
-        self.prefixes: dict[int, list[int]] = {}
-        for label, body in sorted(templates.items()):
-            tokens = sorted({int(self.rank[number[w]]) for w in body.split()})
-            need = math.ceil(threshold * len(tokens) - 1e-9)
-            for r in tokens[: len(tokens) - need + 1]:
-                self.prefixes.setdefault(r, []).append(len(self.templates))
-            self.templates.append((label, tokens, need, max(BLOCK_WORDS, 2 * len(body.split()))))
+        order = sorted(self.vocabulary.words, key=lambda w: (frequencies.get(w, 0), w))
+        rank_of = {w: r for r, w in enumerate(order)}
+        self.rank = np.array([rank_of[w] for w in self.vocabulary.words])
+        telling = telling_words(templates)
+        self.templates = [_Template(label, body, telling[label], rank_of, threshold) for label, body in sorted(templates.items())]
+        self.wanted = np.zeros((len(self.templates), len(order)), bool)
+        for t, template in enumerate(self.templates):
+            self.wanted[t, template.prefix] = True
+        self.any_wanted = self.wanted.any(0)
         self.phrases = []
         for body, label in PHRASES.items():
             tokens = body.split()
-            key = min(range(len(tokens)), key=lambda i: self.rank[number[tokens[i]]])
-            self.phrases.append((int(self.rank[number[tokens[key]]]), key, len(tokens), body, label))
+            key = min(range(len(tokens)), key=lambda i: rank_of[tokens[i]])
+            self.phrases.append((rank_of[tokens[key]], key, len(tokens), body, label))
 
     def scan(self, words: Words) -> list[dict]:
         at, number = self.vocabulary.find(words.hash)
@@ -132,86 +190,36 @@ class Scanner:
                     x["last"] = place if x["last"] is None else max(x["last"], place)
                     x["base"].add(label)
                     x["score"] = 1.0
-        wanted = np.isin(ranks, list(self.prefixes))
-        if self.every_offset:
-            self._slide(at, ranks, doc, wanted, out)
-            return out
-        blocks: dict[tuple[int, int], set[int]] = {}
-        for i, r, d in zip(at[wanted].tolist(), ranks[wanted].tolist(), doc[wanted].tolist(), strict=True):
-            place = i - int(of[d])
-            for b in range(max(0, (place - BLOCK_WORDS) // BLOCK_STEP + 1), place // BLOCK_STEP + 1):
-                blocks.setdefault((d, b), set()).update(self.prefixes[r])
-        for (d, b), templates in blocks.items():
-            low = int(of[d]) + b * BLOCK_STEP
-            i, j = np.searchsorted(at, (low, min(low + BLOCK_WORDS, int(of[d + 1]))))
-            held = np.unique(ranks[i:j]).tolist()
-            for t in templates:
-                label, tokens, need, _ = self.templates[t]
-                if len(held) < need:
+        hits = np.flatnonzero(self.any_wanted[ranks])
+        edges = np.searchsorted(doc, np.arange(len(out) + 1))
+        for d in np.unique(doc[hits]).tolist():
+            here, spots = ranks[edges[d] : edges[d + 1]], at[edges[d] : edges[d + 1]]
+            # a text with fewer template words than the smallest need, or none of a template's rare ones, has nothing to verify
+            present = np.zeros(len(self.any_wanted), bool)
+            present[here] = True
+            for t in np.flatnonzero((self.wanted & present).any(1)).tolist():
+                template = self.templates[t]
+                if int((present & (template.position >= 0)).sum()) < template.need:
                     continue
-                shared = _overlap(tokens, held, need)
-                if shared >= need:
-                    out[d]["labels"].add(label)
-                    out[d]["score"] = max(out[d]["score"], shared / len(tokens))
+                position = template.position[here]
+                mine = position >= 0
+                if best := template.best(spots[mine], position[mine]):
+                    out[d]["labels"].add(template.label)
+                    out[d]["score"] = max(out[d]["score"], best / template.size)
         return out
 
-    def _slide(self, at: np.ndarray, ranks: np.ndarray, doc: np.ndarray, wanted: np.ndarray, out: list[dict]) -> None:
-        """Labels and scores by the best of all runs of words around the prefix hits of each text and template."""
-        hits: dict[tuple[int, int], list[int]] = {}
-        for i, r, d in zip(at[wanted].tolist(), ranks[wanted].tolist(), doc[wanted].tolist(), strict=True):
-            for t in self.prefixes[r]:
-                hits.setdefault((d, t), []).append(i)
-        for (d, t), places in hits.items():
-            label, tokens, need, length = self.templates[t]
-            low, high = np.searchsorted(doc, (d, d + 1))
-            spot, rank = at[low:high], ranks[low:high]
-            # what shares a run with a prefix hit lies within a run's length of it
-            slot = np.searchsorted(places, spot)
-            gap = np.minimum(np.abs(np.take(places, slot, mode="clip") - spot), np.abs(np.take(places, slot - 1, mode="clip") - spot))
-            kept = np.isin(rank, tokens) & (gap < length)
-            spot, rank = spot[kept].tolist(), rank[kept].tolist()
-            if len(set(rank)) < need:
-                continue
-            held: dict[int, int] = {}
-            first = best = 0
-            for i, r in zip(spot, rank, strict=True):
-                held[r] = held.get(r, 0) + 1
-                while spot[first] <= i - length:
-                    held[rank[first]] -= 1
-                    if not held[rank[first]]:
-                        del held[rank[first]]
-                    first += 1
-                best = max(best, len(held))
-            if best >= need:
-                out[d]["labels"].add(label)
-                out[d]["score"] = max(out[d]["score"], best / len(tokens))
-
-
-def _overlap(tokens: list[int], held: list[int], need: int) -> int:
-    """Words in common of two ordered sets; given up as soon as what is left can't reach ``need``."""
-    i = j = n = 0
-    while i < len(tokens) and j < len(held):
-        if n + min(len(tokens) - i, len(held) - j) < need:
-            return 0
-        if tokens[i] == held[j]:
-            n, i, j = n + 1, i + 1, j + 1
-        elif tokens[i] < held[j]:
-            i += 1
-        else:
-            j += 1
-    return n
-
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text", every_offset: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is 1 with a base phrase, else the largest containment of a template found, else 0.
-    With ``every_offset`` a template of any length is held against all runs of words, else against the
-    blocks of the grid.  Null and empty texts have no words and empty labels; other columns aren't read.
+    Templates of any length are held against all runs of words.  Null and empty texts have no words and
+    empty labels; repeated rows are looked at one by one; an empty table gives an empty result; other
+    columns aren't read, so their names can't clash.
     """
-    if not 0 < threshold <= 1 or not every_offset and any(len(set(t.split())) > BLOCK_STEP for t in templates.values()):
-        raise ValueError("threshold must be over 0 and at most 1, and templates of a grid of at most BLOCK_STEP distinct words")
-    scanner = Scanner(word_frequencies(docs, templates, text), templates, threshold, every_offset)
+    if not 0 < threshold <= 1 or not all(t.split() for t in templates.values()):
+        raise ValueError("threshold must be over 0 and at most 1, and templates need words")
+    scanner = Scanner(word_frequencies(docs, templates, text), templates, threshold)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.llm.licenses import BLOCK_STEP, BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD
+from keyweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, needed, run_words, telling_words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,26 +57,30 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from keyweave.llm.licenses import FULL_TEMPLATES, scan_licenses
+    from keyweave.llm.licenses import scan_licenses
 
-    return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES | FULL_TEMPLATES, every_offset=True)
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def _license_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"('{label}', {quoted(body.split())})" for body, label in PHRASES.items())
-    templates = ", ".join(f"('{label}', {quoted(sorted(set(body.split())))})" for label, body in TEMPLATES.items())
+    telling = telling_words(TEMPLATES)
+    templates = ", ".join(
+        f"('{label}', {quoted(words)}, {needed(len(words), THRESHOLD)}, {quoted(sorted(telling[label]))}::VARCHAR[], {needed(len(telling[label]), THRESHOLD)}, {run_words(body)})" for label, body in TEMPLATES.items() if (words := sorted(set(body.split())))
+    )
     return rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-p AS (SELECT * FROM (VALUES {phrases}) t(label, words)), t AS (SELECT * FROM (VALUES {templates}) t(label, words)),
-places AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(words)] = words)) AS place FROM d, p),
-base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(w[b + 1 : b + {BLOCK_WORDS}]) AS held FROM (SELECT doc_id, w, unnest(range(0, len(w), {BLOCK_STEP})) AS b FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS share FROM blocks, t WHERE len(list_intersect(held, words)) >= ceil({THRESHOLD} * len(words) - 1e-9)),
-found AS (SELECT doc_id, label, true AS is_base, 1.0 AS share FROM places UNION ALL SELECT doc_id, label, false, share FROM met),
-named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT * FROM (VALUES {phrases}) t(label, words)), t AS (SELECT * FROM (VALUES {templates}) t(label, words, need, telling, need_telling, run)),
+places AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(words)] = words)) AS place FROM d, p),
+base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY r),
+likely AS (SELECT r, w, t.* FROM (SELECT r, w, list_distinct(w) AS all_words FROM d), t WHERE len(list_intersect(all_words, words)) >= need),
+blocks AS (SELECT r, label, words, need, telling, need_telling, list_distinct(w[b + 1 : b + run]) AS held FROM (SELECT *, unnest(range(len(w))) AS b FROM likely)),
+met AS (SELECT r, label, len(list_intersect(held, words)) / len(words) AS share FROM blocks WHERE len(list_intersect(held, words)) >= need AND len(list_intersect(held, telling)) >= need_telling),
+found AS (SELECT r, label, true AS is_base, 1.0 AS share FROM places UNION ALL SELECT r, label, false, share FROM met),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY r)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+FROM d LEFT JOIN base ON base.r = d.r LEFT JOIN named ON named.r = d.r
 """
 
 
