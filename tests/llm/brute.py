@@ -114,3 +114,206 @@ def languages(content, texts, short, piece):
         margin = (second[0] - best[0]) / max(second[0], 1)
         out.append((best[2], min(1.0, 0.5 + 5 * margin), margin < 0.01))
     return out
+
+
+# --- FLAC, one bit after the other, as its format is described ---
+
+
+class BitWriter:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, width):
+        self.bits += [value >> i & 1 for i in reversed(range(width))]
+
+    def bytes(self):
+        whole = self.bits + [0] * (-len(self.bits) % 8)
+        return bytes(int("".join(map(str, whole[i : i + 8])), 2) for i in range(0, len(whole), 8))
+
+
+class BitReader:
+    def __init__(self, data, at=0):
+        self.data, self.at = data, at * 8
+
+    def take(self, width):
+        value = 0
+        for _ in range(width):
+            value = value << 1 | self.data[self.at >> 3] >> (7 - self.at % 8) & 1
+            self.at += 1
+        return value
+
+    def signed(self, width):
+        value = self.take(width)
+        return value - (1 << width) if width and value >> (width - 1) else value
+
+    def unary(self):
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def crc(data, polynomial, width):
+    value = 0
+    for byte in data:
+        for i in reversed(range(8)):
+            top = (value >> (width - 1) ^ byte >> i) & 1
+            value = (value << 1 & (1 << width) - 1) ^ (polynomial if top else 0)
+    return value
+
+
+SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096}
+WIDTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24}
+
+
+def utf8_number(n):
+    if n < 128:
+        return [n]
+    tail = []
+    while n >= 1 << (6 - len(tail)):
+        tail.insert(0, 128 | n & 63)
+        n >>= 6
+    return [(0xFF << (7 - len(tail))) & 0xFF | n, *tail]
+
+
+def write_subframe(w, x, width, how):
+    """how: ('verbatim',) | ('constant',) | (order or weights, shift, partition order, wide, wasted, raw partitions)."""
+    if how[0] in ("constant", "verbatim"):
+        w.put(int(how[0] == "verbatim") << 1, 8)
+        for v in x[:1] if how[0] == "constant" else x:
+            w.put(v & (1 << width) - 1, width)
+        return
+    weights, shift, po, wide, wasted, raw = how
+    fixed = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
+    lpc = not isinstance(weights, int)
+    order = len(weights) if lpc else weights
+    w.put(((31 + order if lpc else 8 + order) << 1) | (wasted > 0), 8)
+    if wasted:
+        w.put(1, wasted)
+    x, width = [v >> wasted for v in x], width - wasted
+    for v in x[:order]:
+        w.put(v & (1 << width) - 1, width)
+    if lpc:
+        w.put(14, 4)
+        w.put(shift, 5)
+        for c in weights:
+            w.put(c & (1 << 15) - 1, 15)
+    coefficients, down = (weights, shift) if lpc else (fixed[order], 0)
+    e = [x[i] - (sum(c * x[i - 1 - j] for j, c in enumerate(coefficients)) >> down) for i in range(order, len(x))]
+    w.put(int(wide), 2)
+    w.put(po, 4)
+    size, at = len(x) >> po, 0
+    for part in range(1 << po):
+        n = size - (order if part == 0 else 0)
+        mine, at = e[at : at + n], at + n
+        folded = [v << 1 if v >= 0 else (-v << 1) - 1 for v in mine]
+        if part in raw:
+            bits = max((v.bit_length() for v in folded), default=0)
+            w.put(31 if wide else 15, 5 if wide else 4)
+            w.put(bits, 5)
+            for v in mine:
+                w.put(v & (1 << bits) - 1, bits)
+            continue
+        k = min(max(0, (sum(folded) // max(len(folded), 1)).bit_length() - 1), 30 if wide else 14)
+        w.put(k, 5 if wide else 4)
+        for v in folded:
+            w.put(0, v >> k)
+            w.put(1, 1)
+            w.put(v & (1 << k) - 1, k)
+
+
+def write_flac(frames, width, channels, rate=8000, variable=False, seek=(), md5=True):
+    """frames: (samples by channel, stereo code, ways of each channel); seek: numbers of the frames in the table."""
+    bodies, first, total = [], [], 0
+    for number, (samples, code, ways) in enumerate(frames):
+        n = len(samples[0])
+        size_code = next((c for c, v in SIZES.items() if v == n), 6 if n <= 256 else 7)
+        head = bytes([0xFF, 0xF8 | variable, size_code << 4, code << 4 | {v: c for c, v in WIDTHS.items()}.get(width, 0) << 1, *utf8_number(total if variable else number)])
+        head += (n - 1).to_bytes(1 if size_code == 6 else 2, "big") if size_code in (6, 7) else b""
+        w = BitWriter()
+        left, right = samples[0], samples[-1]
+        sent = {8: [left, [a - b for a, b in zip(left, right)]], 9: [[a - b for a, b in zip(left, right)], right], 10: [[(a + b) >> 1 for a, b in zip(left, right)], [a - b for a, b in zip(left, right)]]}.get(code, samples)
+        for c, (x, how) in enumerate(zip(sent, ways)):
+            write_subframe(w, x, width + (c == {8: 1, 9: 0, 10: 1}.get(code)), how)
+        body = head + bytes([crc(head, 7, 8)]) + w.bytes()
+        bodies.append(body + crc(body, 0x8005, 16).to_bytes(2, "big"))
+        first.append(total)
+        total += n
+    pcm = b"".join((v).to_bytes((width + 7) // 8, "little", signed=True) for samples, _, _ in frames for row in zip(*samples) for v in row)
+    block = len(frames[0][0][0])
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + (rate << 44 | (channels - 1) << 41 | (width - 1) << 36 | total).to_bytes(8, "big") + (hashlib.md5(pcm).digest() if md5 else bytes(16))
+    points = b"".join(first[i].to_bytes(8, "big") + sum(map(len, bodies[:i])).to_bytes(8, "big") + len(frames[i][0][0]).to_bytes(2, "big") for i in seek)
+    table = b"\x03" + len(points).to_bytes(3, "big") + points if points else b""
+    comment = b"\x84" + (4).to_bytes(3, "big") + b"note"
+    return b"fLaC\x00" + len(info).to_bytes(3, "big") + info + table + comment + b"".join(bodies)
+
+
+def read_flac(data):
+    """(samples by channel, bits a sample), read bit by bit with every checksum."""
+    assert data[:4] == b"fLaC"
+    at, last = 4, False
+    while not last:
+        last, kind, n = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind == 0:
+            packed, digest = int.from_bytes(data[at + 14 : at + 22], "big"), data[at + 22 : at + 38]
+        at += 4 + n
+    default = (packed >> 36 & 31) + 1
+    out = [[] for _ in range((packed >> 41 & 7) + 1)]
+    while at < len(data):
+        r = BitReader(data, at)
+        assert r.take(15) == 0x7FFC
+        r.take(1)
+        size_code, rate_code, code, width_code = r.take(4), r.take(4), r.take(4), r.take(3)
+        r.take(1)
+        extra = r.take(8)
+        for _ in range(next((i for i in range(8) if not extra >> (7 - i) & 1), 7) - 1 if extra & 128 else 0):
+            r.take(8)
+        size = r.take(8) + 1 if size_code == 6 else r.take(16) + 1 if size_code == 7 else SIZES[size_code]
+        r.take({12: 8, 13: 16, 14: 16}.get(rate_code, 0))
+        assert crc(data[at : r.at // 8], 7, 8) == r.take(8)
+        width, got = WIDTHS.get(width_code, default), []
+        for c in range(code + 1 if code < 8 else 2):
+            got.append(read_subframe(r, size, width + (c == {8: 1, 9: 0, 10: 1}.get(code))))
+        r.at = -(-r.at // 8) * 8
+        assert crc(data[at : r.at // 8], 0x8005, 16) == r.take(16)
+        at = r.at // 8
+        if code == 8:
+            got[1] = [a - b for a, b in zip(*got)]
+        elif code == 9:
+            got[0] = [a + b for a, b in zip(*got)]
+        elif code == 10:
+            got = [[((m << 1 | s & 1) + s) >> 1 for m, s in zip(*got)], [((m << 1 | s & 1) - s) >> 1 for m, s in zip(*got)]]
+        for have, more in zip(out, got):
+            have += more
+    pcm = b"".join(v.to_bytes((default + 7) // 8, "little", signed=True) for row in zip(*out) for v in row)
+    assert digest in (bytes(16), hashlib.md5(pcm).digest())
+    return out, default
+
+
+def read_subframe(r, size, width):
+    assert r.take(1) == 0
+    kind = r.take(6)
+    wasted = r.unary() + 1 if r.take(1) else 0
+    width -= wasted
+    if kind == 0:
+        return [r.signed(width) << wasted] * size
+    if kind == 1:
+        return [r.signed(width) << wasted for _ in range(size)]
+    order = kind - 31 if kind >= 32 else kind - 8
+    x = [r.signed(width) for _ in range(order)]
+    weights, shift = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}.get(order) if kind < 32 else None, 0
+    if kind >= 32:
+        precision, shift = r.take(4) + 1, r.take(5)
+        weights = [r.signed(precision) for _ in range(order)]
+    wide, po = r.take(2), r.take(4)
+    for part in range(1 << po):
+        k = r.take(5 if wide else 4)
+        raw = r.take(5) if k == (31 if wide else 15) else None
+        for _ in range((size >> po) - (order if part == 0 else 0)):
+            if raw is not None:
+                e = r.signed(raw)
+            else:
+                u = r.unary() << k | r.take(k)
+                e = u >> 1 if not u & 1 else -(u + 1 >> 1)
+            x.append(e + (sum(c * x[-1 - j] for j, c in enumerate(weights)) >> shift))
+    return [v << wasted for v in x]
