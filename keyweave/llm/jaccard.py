@@ -6,14 +6,18 @@ coordinates.  An R-tree over these points bounds a whole node by its upper corne
 hold a partner are passed over; pairs that survive are verified on the sets themselves.
 
 Texts of equal sets are one class.  Classes meet in blocks: of the n members of a set, the
-n - ceil(0.8 n) + 1 rarest ones (by a fixed-size count over the whole corpus, then by hash) must hold
-one that a partner also has among its own.  Blocks with the same classes are looked at once.  The class
-that shares most is the middle of its block.  Blocks with the same middle make one cluster, which is
-cut into tiles of bounded size.  R-trees search every tile for all pairs of classes that can be linked;
-those are verified, and a tile gives the links of each class and what joins its components.
-
-Where only the components are asked for, all classes of a cluster are first held against its middle,
-and only classes that this leaves in different components are searched for in the R-trees.
+n - ceil(0.8 n) + 1 rarest ones (by a count over the whole corpus, then by hash) must hold one that a
+partner also has among its own.  Blocks with the same classes are looked at once.  The class that
+shares most is the middle of its block, and blocks with the same middle make one cluster.
+
+The points of a cluster are sorted by size and place and packed into tiles of TILE, the lower nodes of
+its R-tree; the sort is a range partitioning, so no task holds a cluster.  Tiles whose corners can't
+share enough are never opened together, and only those that can be are copied to each other.  In a
+pair of tiles the tree goes on to single points, and what it leaves is verified on the sets.
+
+Where only the components are asked for, a pair of one component needn't be verified: tiles are first
+held against themselves and the first tile of their cluster, then only pairs of tiles with more than
+one component between them are opened.
 """
 
 from __future__ import annotations
@@ -27,13 +31,13 @@ from pyspark.sql import functions as F
 
 from keyweave.cluster import cut
 from keyweave.llm.graph import components
-from keyweave.llm.textkit import NOT_SPACE, Words, batch_of, map_batches, mix, shingle_sets, slices, texts_of
+from keyweave.llm.textkit import NOT_SPACE, Filter, Words, batch_of, fresh, map_batches, mix, shingle_sets, slices, texts_of
 
 SHINGLE_WORDS = 5
 #: The threshold is PERCENT / 100 of the union.
 PERCENT = 80
-#: Cells of the corpus-wide count that orders shingles: 2 MB, whatever the corpus.
-CELLS = 1 << 18
+#: Cells of the corpus-wide count that orders shingles, as powers of two: about one for each document, 2 to 32 MB.
+CELL_BITS = (18, 22)
 GROUPS, MOST_GROUPS = 64, 4096
 TILE = 256
 LEAF, FANOUT = 16, 8
@@ -117,15 +121,15 @@ class RTree:
         return (best >= _need(low, size, percent)) & (percent * low <= 100 * size) & (percent * size <= 100 * high)
 
 
-def _summaries(docs: DataFrame, words: int) -> DataFrame:
+def _summaries(docs: DataFrame, words: int, size: int) -> DataFrame:
     """One row per document row (128 bits of the text, n, 128 bits of the set, point), and this task's counts of shingle cells as more rows."""
     schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("l", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()), ("times", pa.int64())])
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(size, np.int64)
         for batch in batches:
             for low, high, at, members in _parts(batch, words):
-                cells += np.bincount((members & _U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                cells += np.bincount((members & _U(size - 1)).astype(np.int64), minlength=size)
                 a, b = _fingerprints(at, members)
                 edges = at.tolist()
                 yield batch_of(schema, doc_id=batch.column(0).slice(low, high - low), k=batch.column(2).slice(low, high - low), l=batch.column(3).slice(low, high - low), n=np.diff(at), a=a, b=b, vector=[count_vector(members[i:j]) for i, j in zip(edges, edges[1:], strict=False)], cell=pa.nulls(high - low, pa.int32()), times=pa.nulls(high - low, pa.int64()))
@@ -146,7 +150,7 @@ def _prefixes(docs: DataFrame, cells, words: int, percent: int) -> DataFrame:
             for _, _, at, members in _parts(batch, words):
                 n = np.diff(at)
                 rows = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((members, times[(members & _U(CELLS - 1)).astype(np.int64)], rows))
+                order = np.lexsort((members, times[(members & _U(len(times) - 1)).astype(np.int64)], rows))
                 rank = np.arange(len(members)) - np.repeat(at[:-1], n)
                 kept = rank < np.repeat(n + (-percent * n) // 100 + 1, n)
                 a, _ = _fingerprints(at, members)
@@ -157,31 +161,17 @@ def _prefixes(docs: DataFrame, cells, words: int, percent: int) -> DataFrame:
     return map_batches(docs, emit, "a long, tokens array<long>")
 
 
-BITS = 1 << 24
-
-
-def _bit_filter(values: DataFrame):
-    """A bitmap of 2 MB of the column ``a``, made in tables: what isn't in it needn't be shuffled."""
-    slot = F.col("a").bitwiseAND(F.lit(BITS - 1))
-    words = values.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITS // 32, np.uint32)
-    bitmap[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).astype(np.uint32)
-    return values.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, packed: bool = False) -> DataFrame:
-    """(node, members) of the ``wanted`` (node, a, b), from the texts again; members as an array, or ``packed`` as bytes."""
-    bitmap = _bit_filter(wanted.select("a"))
-    kind = pa.binary() if packed else pa.list_(pa.int64())
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", kind)])
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, members) of the ``wanted`` (node, a, b), from the texts again; members as bytes."""
+    filtered = Filter(wanted, "a")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sent = np.frombuffer(bitmap.value, np.uint32), set()
+        sent = set()
         for batch in batches:
             for _, _, at, members in _parts(batch, words):
                 a, b = _fingerprints(at, members)
-                slot = a & (BITS - 1)
-                maybe = np.flatnonzero((np.diff(at) > 0) & (bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1 > 0))
+                maybe = np.flatnonzero((np.diff(at) > 0) & filtered.passes(a))
                 rows = []
                 for r in maybe.tolist():  # copies within a task go out once
                     if (key := (int(a[r]), int(b[r]))) not in sent:
@@ -190,39 +180,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, packed: bool = False)
                 if len(sent) > 200_000:
                     sent.clear()
                 if rows:
-                    yield batch_of(schema, a=a[rows], b=b[rows], members=pa.array([s.tobytes() if packed else s.view(np.int64) for s in (members[at[r] : at[r + 1]] for r in rows)], kind))
+                    yield batch_of(schema, a=a[rows], b=b[rows], members=[members[at[r] : at[r + 1]].tobytes() for r in rows])
 
-    rows = map_batches(docs, emit, f"a long, b long, members {'binary' if packed else 'array<long>'}")
+    rows = map_batches(docs, emit, "a long, b long, members binary")
     return rows.join(wanted, ["a", "b"]).dropDuplicates(["a", "b"]).select("node", "members")
 
 
-def _likely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (u, v) whose sizes and points allow a link."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (4, 5))
-            nx, ny = (np.asarray(batch.column(i)) for i in (2, 3))
-            best = np.array([bound(np.frombuffer(p, "<u2").astype(np.int64), np.frombuffer(q, "<u2").astype(np.int64)) for p, q in zip(x, y, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(best >= _need(nx, ny, percent)))
-
-    side = lambda name: points.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("vector").alias(f"p{name}"))
-    sized = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-    return map_batches(sized.select("u", "v", "nu", "nv", "pu", "pv"), keep, "u long, v long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs`` (u, v) whose sets are alike enough, held against each other member by member."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = _sets(docs, points.join(nodes, "node", "left_semi").select("node", "a", "b"), words)
-    left = sets.select(F.col("node").alias("u"), F.col("members").alias("mu"))
-    right = sets.select(F.col("node").alias("v"), F.col("members").alias("mv"))
-    shared = F.size(F.array_intersect("mu", "mv"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", shared.alias("shared"), (F.size("mu") + F.size("mv")).alias("total"))
-    return joined.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("u", "v")
-
-
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """How many members each two of the sets share."""
     _, slot, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -240,12 +203,67 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tiled(met: DataFrame, points: DataFrame, *more: str) -> DataFrame:
-    """The rows of ``met`` (middle, node, ..) in each tile of their cluster: two classes of it meet in one tile."""
-    chunks = met.groupBy("middle").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
-    tiles = met.join(chunks, "middle").join(points.select("node", "n", "vector", *more), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = tiles.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with"))
-    return other.withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with")).drop("with", "chunks")
+def _tiles(clusters: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(placed, corners): the classes of each cluster with their tile, and the upper corner and sizes of each tile.
+
+    Neighbours in the order are alike in size, then in four coarse coordinates.
+    """
+    held = clusters.join(clusters.groupBy("middle").count().where("count > 1").select("middle"), "middle").join(points.select("node", "n", "vector"), "node")
+    # the hottest cluster is dealt out like any other rows
+    rows = held.withColumn("step", F.floor(F.log("n") * 9).cast("int")).repartitionByRange(int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions")), "middle", "step", F.substring("vector", 1, 8), "node")
+    rows = rows.withColumn("place", F.spark_partition_id()).select("middle", "node", "n", "vector", "place", "step")
+    schema = pa.schema([("middle", pa.int64()), ("tile", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("high", pa.int64())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, now, count = 0, None, 0
+        corner, low, high = np.zeros(GROUPS, np.int64), 0, 0
+
+        def done() -> pa.RecordBatch:
+            return batch_of(schema, middle=[now[0]], tile=[now[1]], node=[None], n=[low], vector=[np.minimum(corner, _FULL).astype("<u2").tobytes()], high=[high])
+
+        for batch in batches:
+            middle, n, place = (np.asarray(batch.column(i)) for i in (0, 2, 4))
+            tile = np.zeros(len(middle), np.int64)
+            for i, (m, size, p, v) in enumerate(zip(middle.tolist(), n.tolist(), place.tolist(), batch.column(3).to_pylist(), strict=True)):
+                if now is None or m != now[0] or count == TILE:
+                    if now is not None:
+                        yield done()
+                    now, number, count = (m, p << 32 | number), number + 1, 0
+                    corner, low, high = np.zeros(GROUPS, np.int64), size, size
+                count += 1
+                corner = np.maximum(corner, folded(np.frombuffer(v, "<u2").astype(np.int64), GROUPS))
+                low, high = min(low, size), max(high, size)
+                tile[i] = now[1]
+            yield batch_of(schema, middle=batch.column(0), tile=tile, node=batch.column(1), n=batch.column(2), vector=batch.column(3), high=pa.nulls(len(tile), pa.int64()))
+        if now is not None:
+            yield done()
+
+    packed = cut(map_batches(rows.sortWithinPartitions("middle", "step", F.substring("vector", 1, 8), "node"), pack, "middle long, tile long, node long, n long, vector binary, high long"))
+    return packed.where("node is not null").drop("high"), packed.where("node is null").select("middle", "tile", F.col("n").alias("low"), "high", F.col("vector").alias("corner"))
+
+
+def _tile_pairs(corners: DataFrame, percent: int) -> DataFrame:
+    """(middle, i, j, near): pairs of tiles, also of one with itself, whose corners and sizes allow a link; near: with itself or the first of the cluster."""
+    first = corners.groupBy("middle").agg(F.min("tile").alias("first"))
+    left, right = (corners.select("middle", F.col("tile").alias(t), F.col("low").alias(f"low_{t}"), F.col("high").alias(f"high_{t}"), F.col("corner").alias(f"corner_{t}")) for t in ("i", "j"))
+    sized = left.join(right, "middle").where((F.col("i") <= F.col("j")) & (100 * F.col("high_i") >= percent * F.col("low_j")) & (100 * F.col("high_j") >= percent * F.col("low_i"))).join(first, "middle")
+    schema = pa.schema([("middle", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("near", pa.bool_())])
+
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int64) for c in ("corner_i", "corner_j"))
+            least = np.minimum(x, y)
+            low = _need(np.asarray(batch.column("low_i")), np.asarray(batch.column("low_j")), percent)
+            i, j, first = (np.asarray(batch.column(c)) for c in ("i", "j", "first"))
+            yield batch_of(schema, middle=batch.column("middle"), i=i, j=j, near=(i == j) | (i == first)).filter(pa.array((least >= _FULL).any(1) | (least.sum(1) >= low)))
+
+    return cut(map_batches(sized, able, "middle long, i long, j long, near boolean"))
+
+
+def _opened(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (middle, tile, node, ..) in each of the tile pairs (middle, i, j) that their tile is in."""
+    both = pairs.select("middle", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    return placed.join(both, ["middle", "tile"])
 
 
 def _by_tile(tiles: DataFrame, schema: pa.Schema, ddl: str, work) -> DataFrame:
@@ -277,7 +295,7 @@ def _by_tile(tiles: DataFrame, schema: pa.Schema, ddl: str, work) -> DataFrame:
 def _near(tile: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows) of a tile whose points an R-tree can't tell apart, each pair once."""
     n, i, j = tile["n"], tile["i"][0], tile["j"][0]
-    left, right = (np.flatnonzero(tile["chunk"] == c) for c in (i, j))
+    left, right = (np.flatnonzero(tile["tile"] == c) for c in (i, j))
     if not len(left) or not len(right):
         return
     points = np.stack([folded(np.frombuffer(v, "<u2").astype(np.int64), GROUPS) for v in tile["vector"]])
@@ -287,37 +305,50 @@ def _near(tile: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
         yield q, near[near > q] if i == j else near
 
 
-def _searched(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels that R-trees can't rule out."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _able(placed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(middle, tile, node) of the classes that the R-trees leave a partner in their cluster.
 
-    def work(tile: dict) -> list[tuple[int, int]]:
-        node, label, n = tile["node"], tile["label"], tile["n"]
+    Tiles are looked at by themselves first; others are opened only for classes that have none there.
+    """
+    schema = pa.schema([("middle", pa.int64()), ("tile", pa.int64()), ("node", pa.int64())])
+
+    def work(tile: dict) -> list[tuple[int, int, int]]:
+        n, able = tile["n"], np.zeros(len(tile["n"]), bool)
         full = [np.frombuffer(v, "<u2").astype(np.int64) for v in tile["vector"]]
-        out = []
         for q, near in _near(tile, percent):
-            for r in near[label[near] != label[q]].tolist():
-                if bound(full[q], full[r]) >= _need(n[q], n[r], percent):
-                    out.append((max(int(node[q]), int(node[r])), min(int(node[q]), int(node[r]))))
-        return out
+            for r in (near[~able[near]] if able[q] else near).tolist():
+                if not (able[q] and able[r]) and bound(full[q], full[r]) >= _need(n[q], n[r], percent):
+                    able[q] = able[r] = True
+        return [(int(tile["middle"][0]), t, x) for t, x in zip(tile["tile"][able].tolist(), tile["node"][able].tolist(), strict=True)]
 
-    return _by_tile(tiles, schema, "u long, v long", work).distinct()
+    ddl = "middle long, tile long, node long"
+    alone = cut(_by_tile(_opened(placed, pairs.where("i = j")), schema, ddl, work))
+    # a tile with a class that has no partner yet is opened with all that its corner allows
+    rest = placed.join(alone, ["middle", "tile", "node"], "left_anti").select("middle", "tile").distinct()
+    others = pairs.where("i <> j").join(rest.withColumnRenamed("tile", "i"), ["middle", "i"], "left_semi").unionByName(pairs.where("i <> j").join(rest.withColumnRenamed("tile", "j"), ["middle", "j"], "left_semi")).distinct()
+    return cut(alone.unionByName(_by_tile(_opened(placed, others), schema, ddl, work)).distinct())
 
 
-def _able(tiles: DataFrame, percent: int) -> DataFrame:
-    """(middle, node) of the classes that R-trees leave a partner in their cluster."""
-    schema = pa.schema([("middle", pa.int64()), ("node", pa.int64())])
+def _linked(tiles: DataFrame, percent: int) -> DataFrame:
+    """(u, v) that join the components of each tile pair: what the R-trees leave is verified unless it is of one component already."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def work(tile: dict) -> list[tuple[int, int]]:
-        n, able = tile["n"], np.zeros(len(tile["n"]), bool)
-        full = [np.frombuffer(v, "<u2").astype(np.int64) for v in tile["vector"]]
+        node, n = tile["node"].tolist(), tile["n"]
+        sets: list = [None] * len(node)
+        root = tile["label"].copy()
+        out = []
         for q, near in _near(tile, percent):
-            for r in (near[~able[near]] if able[q] else near).tolist():
-                if not (able[q] and able[r]) and bound(full[q], full[r]) >= _need(n[q], n[r], percent):
-                    able[q] = able[r] = True
-        return [(int(tile["middle"][0]), x) for x in tile["node"][able].tolist()]
+            while len(near := near[root[near] != root[q]]):
+                r, near = int(near[0]), near[1:]
+                x, y = (sets[k] if sets[k] is not None else sets.__setitem__(k, np.frombuffer(tile["members"][k], np.int64)) or sets[k] for k in (q, r))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (int(n[q]) + int(n[r]) - shared):
+                    out.append((node[q], node[r]))
+                    root[root == root[r]] = root[q]
+        return out
 
-    return _by_tile(tiles, schema, "middle long, node long", work).distinct()
+    return _by_tile(tiles, schema, "u long, v long", work)
 
 
 def _counted(tiles: DataFrame, percent: int) -> DataFrame:
@@ -358,49 +389,57 @@ def _counted(tiles: DataFrame, percent: int) -> DataFrame:
 def _met(narrow: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, points, clusters): the document rows, their classes, and by middle which of these can be linked."""
     spark = narrow.sparkSession
-    summaries = cut(_summaries(narrow, words))
+    size = 1 << min(CELL_BITS[1], max(CELL_BITS[0], narrow.count().bit_length()))
+    summaries = cut(_summaries(narrow, words, size))
     counted = summaries.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
-    times = np.zeros(CELLS, np.int64)
+    times = np.zeros(size, np.int64)
     times[np.asarray(counted.column("cell"))] = np.asarray(counted.column("times"))
     cells = spark.sparkContext.broadcast(times.tobytes())
     rows = summaries.where("cell is null").select("doc_id", "k", "l", "n", "a", "b", "vector")
     points = cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
     tokens = cut(_prefixes(narrow.select("doc_id", "text"), cells, words, percent)).select("a", F.explode("tokens").alias("token"))
-    repeated = tokens.groupBy("token").count().where("count > 1").select("token")
+    # what is joined is cut before, so that the join is of two plain shuffles and a frequent token can be split
+    repeated = cut(tokens.groupBy("token").count().where("count > 1").select("token"))
     members = cut(tokens.join(repeated, "token").join(points.select("a", "node"), "a").select("token", "node").distinct())
     blocks = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
-    kept = blocks.groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "c", "times")
+    kept = cut(blocks.groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "c", "times"))
     held = cut(members.join(kept, "token"))
     # the class that shares most with others, for its size, stands in the middle of its block
     weight = held.groupBy("node").agg(F.sum(F.col("c") * F.col("times")).alias("shared")).join(points.select("node", "n"), "node").select("node", (F.col("shared") / F.col("n")).alias("weight"))
     weighted = held.join(weight, "node")
-    middle = weighted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("m")).select("token", F.col("m.node").alias("v"))
+    middle = cut(weighted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("m")).select("token", F.col("m.node").alias("v")))
     # all that meets in blocks with one middle is one cluster, in which each pair stands once
     return rows, points, cut(held.join(middle, "token").select(F.col("v").alias("middle"), "node").distinct())
 
 
+def _searchable(narrow: DataFrame, points: DataFrame, clusters: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(able, pairs, whole): the placed classes that may be linked, the tile pairs, and those classes with their sets."""
+    placed, corners = _tiles(clusters, points)
+    pairs = _tile_pairs(corners, percent)
+    able = _able(placed, pairs, percent)
+    places = able.groupBy("node").agg(F.collect_list("middle").alias("middles"))
+    sets = _sets(narrow.select("doc_id", "text"), cut(points.join(places, "node", "left_semi").select("node", "a", "b")), words)
+    return able, pairs, cut(points.select("node", "n", "vector", "copies").join(places, "node").join(sets, "node"))
+
+
 def _labels(narrow: DataFrame, points: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, label) of the linked classes; links within a component that is known aren't looked for."""
-    narrow = narrow.select("doc_id", "text")
-    stars = clusters.where("node <> middle").select(F.col("node").alias("u"), F.col("middle").alias("v"))
-    links = cut(_verified(cut(_likely(stars, points, percent)), narrow, points, words, percent))
+    able, pairs, whole = _searchable(narrow, points, clusters, words, percent)
+    rows = able.join(whole.select("node", "n", "vector", "members"), "node")
+    links = cut(_linked(_opened(rows.withColumn("label", F.col("node")), pairs.where("near")), percent))
     labels = cut(components(links))
-    labelled = clusters.join(labels, "node", "left").select("middle", "node", F.coalesce("label", "node").alias("label"))
-    open_clusters = labelled.groupBy("middle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("middle")
-    more = cut(_searched(_tiled(labelled.join(open_clusters, "middle"), points), percent))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, narrow, points, words, percent))
-        labels = cut(components(links))
-    return labels
+    labelled = cut(able.join(labels, "node", "left").select("middle", "tile", "node", F.coalesce("label", "node").alias("label")))
+    spans = labelled.groupBy("middle", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    side = lambda t: spans.select("middle", F.col("tile").alias(t), F.col("low").alias(f"low_{t}"), F.col("high").alias(f"high_{t}"))
+    open_pairs = pairs.where("not near").join(side("i"), ["middle", "i"]).join(side("j"), ["middle", "j"]).where(F.least("low_i", "low_j") != F.greatest("high_i", "high_j")).select("middle", "i", "j")
+    more = cut(_linked(_opened(labelled.join(whole.select("node", "n", "vector", "members"), "node"), open_pairs), percent))
+    return labels if more.isEmpty() else cut(components(links.unionByName(more)))
 
 
 def _links(narrow: DataFrame, points: DataFrame, clusters: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(node, label) of the linked classes, and (node, links): the rows of other classes that each is linked to."""
-    able = cut(_able(_tiled(clusters, points), percent))
-    places = able.groupBy("node").agg(F.collect_list("middle").alias("middles"))
-    sets = _sets(narrow.select("doc_id", "text"), points.join(places, "node", "left_semi").select("node", "a", "b"), words, packed=True)
-    whole = cut(points.select("node", "n", "vector", "copies").join(places, "node").join(sets, "node"))
-    found = cut(_counted(_tiled(able, whole, "copies", "middles", "members"), percent))
+    able, pairs, whole = _searchable(narrow, points, clusters, words, percent)
+    found = cut(_counted(_opened(able.join(whole, "node"), pairs), percent))
     links = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     return cut(components(found.where("v is not null").select("u", "v"))), links
 
@@ -439,11 +478,14 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     rows, points, clusters = _met(narrow, words, percent)
     labels = points.select("a", "b", "node").join(_labels(narrow, points, clusters, words, percent), "node", "left").select("a", "b", F.coalesce("label", "node").alias("label"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "k", "l")
-    first = rows.where("n > 0").join(labels, ["a", "b"]).groupBy("label").agg(F.min(place).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.k").alias("__k"), F.col("m.l").alias("__l"))
+    names = docs.columns
+    id_name, k_name, l_name, row_name = fresh(names, "__id", "__k", "__l", "__row")
+    first = rows.where("n > 0").join(labels, ["a", "b"]).groupBy("label").agg(F.min(place).alias("m")).select(F.col("m.doc_id").alias(id_name), F.col("m.k").alias(k_name), F.col("m.l").alias(l_name))
     body = F.col(text).cast("string")
-    keyed = docs.withColumns({"__id": F.col(id_column).cast("long"), "__k": F.xxhash64(body), "__l": F.xxhash64(F.lit(1), body)})
+    own = [F.col(f"`{c}`") for c in names]
+    keyed = docs.select(*own, F.col(id_column).cast("long").alias(id_name), F.xxhash64(body).alias(k_name), F.xxhash64(F.lit(1), body).alias(l_name))
     worded = F.coalesce(body, F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
-    same = keyed["__id"].eqNullSafe(first["__id"]) & (keyed["__k"] == first["__k"]) & (keyed["__l"] == first["__l"])
-    plain = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    kept = keyed.where(worded).join(first, same, "left_semi").groupBy("__id", "__k", "__l").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("row")).select("row.*")
+    same = keyed[id_name].eqNullSafe(first[id_name]) & (keyed[k_name] == first[k_name]) & (keyed[l_name] == first[l_name])
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    kept = keyed.where(worded).join(first, same, "left_semi").groupBy(id_name, k_name, l_name).agg(F.min_by(F.struct(*own), F.xxhash64(*plain)).alias(row_name)).select(f"`{row_name}`.*")
     return kept.unionByName(docs.where(~worded))

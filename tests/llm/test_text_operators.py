@@ -177,6 +177,29 @@ def test_large_blocks_are_tiled(spark, monkeypatch):
     assert found == dict(zip(range(40), components(rows), strict=True))
 
 
+def test_tiles_that_cannot_link_are_not_opened(spark, monkeypatch):
+    """Of 40 tiles, 20 of one size and apart in their coordinates and 20 of growing sizes, only a few pairs are left, all with partners among them."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rows = []
+    for family in range(40):
+        for k in range(4):
+            vector = np.zeros(jaccard.GROUPS, np.int64)
+            if family < 20:
+                vector[3 * family : 3 * family + 3] = 16
+            else:
+                vector[:] = 2 * int(1.3 ** (family - 20)) + 10
+            rows.append((family * 4 + k, int(vector.sum()), vector.astype("<u2").tobytes()))
+    points = spark.createDataFrame(rows, "node long, n long, vector binary")
+    placed, corners = jaccard._tiles(points.select(F.lit(7).cast("long").alias("middle"), "node"), points)
+    assert corners.count() >= 40 and placed.count() == 160
+    where = {r.node: r.tile for r in placed.collect()}
+    pairs = {(r.i, r.j) for r in jaccard._tile_pairs(corners, 80).collect()}
+    assert len(pairs) < 150 < 40 * 41 // 2
+    for family in range(40):
+        tiles = {where[family * 4 + k] for k in range(4)}
+        assert all((min(a, b), max(a, b)) in pairs for a in tiles for b in tiles)
+
+
 # --- 4: substrings ---
 
 
@@ -306,6 +329,89 @@ def test_flac_round_trip(streams):
     assert [b"".join(p for _, p in flac.blocks(m, 500)) for m in media] == payloads
 
 
+def test_flac_of_ours_by_plain_reader():
+    import brute
+
+    rng = random.Random(15)
+    payloads = [bytes(rng.randrange(spread) for _ in range(192 * n)) for n, spread in ((1, 256), (4, 3), (7, 60), (3, 1))] + [("plain words " * 64).encode()]
+    for payload, media in zip(payloads, flac.encode(payloads), strict=True):
+        samples, bits = brute.read_flac(media)
+        assert bits == 8 and bytes(v + 128 for v in samples[0]) == payload
+
+
+WAYS = {
+    "fixed 2, 8 partitions": (2, 0, 3, False, 0, ()), "fixed 4, wide": (4, 0, 2, True, 0, ()), "raw partitions": (1, 0, 2, False, 0, (1, 3)), "raw, wide": (0, 0, 1, True, 0, (0,)), "wasted": (1, 0, 1, False, 2, ()),
+    "linear 3": ([9000, -3000, 200], 13, 3, False, 0, ()), "linear 12": ([700 * (-1) ** i for i in range(12)], 14, 0, True, 1, ()), "fixed 0": (0, 0, 4, False, 0, ()), "verbatim": ("verbatim",), "constant": ("constant",), "order fills a partition": (3, 0, 6, False, 0, ()),
+}
+
+
+def wave(rng, n, width, wasted=0, constant=False):
+    top = 1 << (width - 1)
+    x, v = [], rng.randrange(-top // 2, top // 2)
+    for _ in range(n):
+        v = v if constant else max(-top, min(top - 1, v + rng.randrange(-top // 50 - 2, top // 50 + 2))) if rng.random() > 0.02 else rng.randrange(-top, top)
+        x.append(v >> wasted << wasted)
+    return x
+
+
+@pytest.mark.parametrize(("width", "seek"), [(8, ()), (16, (0, 3)), (24, ())])
+def test_flac_of_others(width, seek):
+    """Streams by the plain writer, without a seek table or with a sparse one, are read as by the plain reader."""
+    import brute
+
+    rng = random.Random(width)
+    streams = []
+    for channels, variable in ((1, True), (2, False), (3, False)):
+        frames = []
+        for i, (name, how) in enumerate(WAYS.items()):
+            n = 192 if not variable else rng.choice([192, 576, 384, 320])
+            wasted = how[4] if len(how) > 4 else 0
+            samples = [wave(rng, n, width, wasted, name == "constant") for _ in range(channels)]
+            code = rng.choice([1, 8, 9, 10]) if channels == 2 and name != "wasted" and "12" not in name else channels - 1
+            side = code >= 8 and name == "constant"
+            frames.append((samples, channels - 1 if side else code, [how] * channels))
+        streams.append(brute.write_flac(frames, width, channels, variable=variable, seek=seek, md5=channels < 3))
+    for stream, pcm in zip(streams, flac.decode(streams), strict=True):
+        samples, bits = brute.read_flac(stream)
+        plain = b"".join((v + 128).to_bytes(1, "big") if bits == 8 else v.to_bytes(bits + 7 >> 3, "little", signed=True) for row in zip(*samples, strict=True) for v in row)
+        assert pcm == plain and flac.decode([stream]) == [plain]
+        step = len(samples) * (bits + 7 >> 3)
+        for start, stop in ((0, 50), (700, 1300), (577, 578), (1700, None)):
+            parts = list(flac.blocks(stream, 100, start, stop))
+            whole = plain[start * step :] if stop is None else plain[start * step : stop * step]
+            assert b"".join(p for _, p in parts) == whole and [a for a, _ in parts] == list(range(start, start + len(whole) // step, 100))
+
+
+def test_blocks_touch_only_their_frames():
+    import brute
+
+    rng = random.Random(17)
+    payload = bytes(rng.randrange(90) for _ in range(192 * 60))
+    for media in (flac.encode([payload])[0], brute.write_flac([([[b - 128 for b in payload[i : i + 192]]], 0, [WAYS["fixed 2, 8 partitions"]]) for i in range(0, len(payload), 192)], 8, 1, seek=tuple(range(0, 60, 6)))):
+        info = flac.info_of(media)
+        low = max(p for p in info.points if p[0] <= 3000)[1]
+        high = min(p for p in info.points if p[0] >= 3600)[1]
+        broken = bytearray(media)
+        for at in [*range(info.audio, info.audio + low), *range(info.audio + high, len(media))]:
+            broken[at] ^= 0x55
+        assert b"".join(p for _, p in flac.blocks(bytes(broken), 250, 3000, 3600)) == payload[3000:3600]
+        with pytest.raises(ValueError):
+            flac.decode([bytes(broken)])
+
+
+def test_headers_inside_frames():
+    """A frame that holds a whole frame of the next number as samples is read as one frame."""
+    import brute
+
+    rng = random.Random(18)
+    inner = brute.write_flac([([wave(rng, 16, 8)], 0, [("verbatim",)])] * 2, 8, 1)
+    hidden = next(inner[i:] for i in range(50, len(inner)) if inner[i : i + 2] == b"\xff\xf8" and inner[i + 4] == 1)
+    samples = [b - 256 if b > 127 else b for b in hidden] + wave(rng, 192 - len(hidden), 8)
+    outer = brute.write_flac([([samples], 0, [("verbatim",)]), ([wave(rng, 192, 8)], 0, [("verbatim",)])], 8, 1)
+    found = brute.read_flac(outer)[0][0]
+    assert flac.decode([outer]) == [bytes(v + 128 for v in found)] and found[:192] == samples
+
+
 def test_flac_checks_sums():
     (media,) = flac.encode([bytes(range(192)) * 4])
     for at in (len(media) - 1, len(media) - 40, 60, 30):
