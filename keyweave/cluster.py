@@ -48,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the shared folder and read back, so a lost executor costs nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums by a key, dealt out by more than that key before they are joined on it.
+
+    The join then has to shuffle them by themselves, and not together with what they were summed from:
+    so both its sides are plain shuffles, of which Spark splits the partition of a frequent key.
+    """
+    return df.repartition(*columns)
