@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.cluster import cut
+from keyweave.cluster import cut, dealt
 from keyweave.llm.graph import components
 from keyweave.llm.textkit import NOT_SPACE, Filter, Words, batch_of, fresh, map_batches, mix, shingle_sets, slices, texts_of
 
@@ -263,6 +263,7 @@ def _tile_pairs(corners: DataFrame, percent: int) -> DataFrame:
 def _opened(placed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``placed`` (middle, tile, node, ..) in each of the tile pairs (middle, i, j) that their tile is in."""
     both = pairs.select("middle", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    # of the first tile, which meets all others, Spark splits the pairs
     return placed.join(both, ["middle", "tile"])
 
 
@@ -398,16 +399,15 @@ def _met(narrow: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     rows = summaries.where("cell is null").select("doc_id", "k", "l", "n", "a", "b", "vector")
     points = cut(rows.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("node", F.monotonically_increasing_id()))
     tokens = cut(_prefixes(narrow.select("doc_id", "text"), cells, words, percent)).select("a", F.explode("tokens").alias("token"))
-    # what is joined is cut before, so that the join is of two plain shuffles and a frequent token can be split
-    repeated = cut(tokens.groupBy("token").count().where("count > 1").select("token"))
+    repeated = dealt(tokens.groupBy("token").count().where("count > 1"), "token", "count").select("token")
     members = cut(tokens.join(repeated, "token").join(points.select("a", "node"), "a").select("token", "node").distinct())
     blocks = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
-    kept = cut(blocks.groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "c", "times"))
+    kept = blocks.groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "c", "times")
     held = cut(members.join(kept, "token"))
     # the class that shares most with others, for its size, stands in the middle of its block
     weight = held.groupBy("node").agg(F.sum(F.col("c") * F.col("times")).alias("shared")).join(points.select("node", "n"), "node").select("node", (F.col("shared") / F.col("n")).alias("weight"))
     weighted = held.join(weight, "node")
-    middle = cut(weighted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("m")).select("token", F.col("m.node").alias("v")))
+    middle = dealt(weighted.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("m")).select("token", F.col("m.node").alias("v")), "token", "v")
     # all that meets in blocks with one middle is one cluster, in which each pair stands once
     return rows, points, cut(held.join(middle, "token").select(F.col("v").alias("middle"), "node").distinct())
 

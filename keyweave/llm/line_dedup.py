@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from keyweave.cluster import cut
+from keyweave.cluster import cut, dealt
 from keyweave.llm.textkit import Filter, fresh, map_batches
 
 WINDOW_LINES = 3
@@ -45,8 +45,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """(__id, __print, __spans): the line ranges of each document that later windows cover."""
     windows = line_windows(docs, id_column, text, lines)
     place = F.struct("__id", "__print", "first")
-    # cut, so that the join is of two plain shuffles: the places of a common window can then be split
-    firsts = cut(windows.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("a", "b", "kept"))
+    firsts = dealt(windows.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1"), "a", "b", "n").select("a", "b", "kept")
     later = windows.join(firsts, ["a", "b"]).where(place != F.col("kept"))
     return later.groupBy("__id", "__print").agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
 

@@ -3,36 +3,44 @@
 Only places that can matter reach the suffix sort.  The least of the 32-byte hashes in a 200-byte
 window is its anchor; equal windows have equal anchors at equal distances, so a window can only be
 repeated if its anchor is.  The windows of one anchor are one stretch of text, its span.  Spans of
-equal content repeat all their windows.  Of the other spans with a repeated anchor, one of each
-content goes to the shard of its anchor, where the suffixes are sorted by external induced sorting and
-neighbours with 200 bytes in common are the repeated windows.
+equal content are added up before they are shuffled by it: where one stands twice, all its windows are
+repeated.  The contents of an anchor that has more than one go to the shard of that anchor, one place
+of each, where the suffixes are sorted by external induced sorting and neighbours with 200 bytes in
+common are the repeated windows.
+
+A task is given a range of anchors and sorts them shard by shard.  An anchor whose contents are more
+than SPLIT_BYTES is cut first: each of its spans by a second anchor, the least by another hash, and so
+on for LEVELS; what is then still too large is sorted as it is, on disk.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.cluster import cut
-from keyweave.llm.induced import Suffixes, joined
-from keyweave.llm.textkit import _BYTE_VALUES, batch_of, gram_hashes, map_batches, mix, prefix_sums, slices, spans_hash, texts_of
+from keyweave.cluster import cut, dealt
+from keyweave.llm.induced import Suffixes, chunks, joined
+from keyweave.llm.textkit import _BYTE_VALUES, Filter, batch_of, gram_hashes, map_batches, mix, prefix_sums, slices, spans_hash, texts_of
 
 LENGTH = 200
 ANCHOR = 32
-#: Bytes of a shard; one anchor's spans stay together up to HOT_BYTES, and are sorted on disk.
-SHARD_BYTES = 2 << 20
-#: The windows of an anchor with more are dealt out by their own content instead: no task gets them all.
-HOT_BYTES = 64 << 20
+#: Bytes of a shard, of all shards of a task, and of an anchor that is not cut further.
+SHARD_BYTES, TASK_BYTES, SPLIT_BYTES = 8 << 20, 256 << 20, 32 << 20
+LEVELS = 4
+#: Tuples that the queues and sorts of a shard hold in memory; shards have more, and the rest is on disk.
+MEMORY = 1 << 19
 _PIECE = 8 << 20
 _PLACE = 24
 
 
-def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """(row, first window, last window, anchor hash, content hash) of the spans of texts; places within each text."""
     n = len(data)
     width = length - ANCHOR + 1
@@ -41,6 +49,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     sums = prefix_sums(_BYTE_VALUES[data])
     hashes = gram_hashes(sums, ANCHOR)
+    if level:
+        hashes = mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * level % (1 << 64)))
     low = np.uint64((1 << _PLACE) - 1)
     key = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     # the least of each run of ``width``: the least to the end of one block and from the start of the next
@@ -91,9 +101,12 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 62))).alias("id"), F.xxhash64(body).alias("print"), body.alias("text"))
 
 
+_SPANS = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("place", pa.int64()), ("times", pa.int64())])
+_SPANS_DDL = "id long, print long, anchor long, content long, place long, times long"
+
+
 def spans_of(keyed: DataFrame, length: int) -> DataFrame:
-    """(id, print, anchor, content, place): the spans of each text; place holds first window * 2**24 + windows."""
-    schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("place", pa.int64())])
+    """(id, print, anchor, content, place, times): the spans of each text; place holds first window * 2**24 + windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,40 +115,38 @@ def spans_of(keyed: DataFrame, length: int) -> DataFrame:
             for a, _, shift, base, raw in _pieces(offsets, data, length):
                 rows, first, last, anchor, content = _anchors(raw, base, length)
                 place = (first + shift) << _PLACE | (last - first + 1)
-                yield batch_of(schema, id=ids[a + rows], print=prints[a + rows], anchor=anchor.view(np.int64), content=content.view(np.int64), place=place)
+                yield batch_of(_SPANS, id=ids[a + rows], print=prints[a + rows], anchor=anchor.view(np.int64), content=content.view(np.int64), place=place, times=np.ones(len(rows), np.int64))
+
+    return map_batches(keyed, find, _SPANS_DDL)
 
-    return map_batches(keyed, find, "id long, print long, anchor long, content long, place long")
 
+def _finer(bodies: DataFrame, length: int, level: int) -> DataFrame:
+    """The spans of ``bodies`` (anchor, id, print, first, times, body) cut by one anchor more."""
 
-def _bitmap(values: DataFrame, bits: int = 1 << 24):
-    """A bitmap of fixed size over ``print``: texts that aren't in it needn't be shuffled."""
-    slot = F.col("print").bitwiseAND(F.lit(bits - 1))
-    words = values.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toArrow()
-    table = np.zeros(bits // 32, np.uint32)
-    table[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).astype(np.uint32)
-    return values.sparkSession.sparkContext.broadcast(table.tobytes())
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, ids, prints, starts, times = (np.asarray(batch.column(i)) for i in range(5))
+            offsets, data = texts_of(batch.select(["body"]), "body")
+            for a, b in slices(offsets):
+                rows, first, last, anchor, content = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, level)
+                own = a + rows
+                yield batch_of(_SPANS, id=ids[own], print=prints[own], anchor=mix(anchors[own].view(np.uint64) ^ anchor).view(np.int64), content=content.view(np.int64), place=(starts[own] + first) << _PLACE | (last - first + 1), times=times[own])
 
+    return map_batches(bodies, find, _SPANS_DDL)
 
-def _in_bitmap(bitmap, prints: np.ndarray) -> np.ndarray:
-    table = np.frombuffer(bitmap.value, np.uint32)
-    slot = prints & (len(table) * 32 - 1)
-    return table[slot >> 5] >> (slot & 31).astype(np.uint32) & 1 > 0
 
+def _contents(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(anchor, id, print, first, times, body): the bytes of ``wanted`` spans (id, print, anchor, place, times)."""
+    perdoc = wanted.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "place", "times")).alias("spans"))
+    held = Filter(wanted, "print")
 
-def _passed(keyed: DataFrame, bitmap) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(bitmap, np.asarray(batch.column(1)))))
+            yield batch.filter(pa.array(held.passes(np.asarray(batch.column(1)))))
 
-    return map_batches(keyed, keep, "id long, print long, text string")
-
-
-def _contents(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, id, print, first, body): the bytes of ``wanted`` spans (id, print, anchor, place), one row for each document and anchor."""
-    perdoc = wanted.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "place")).alias("spans"))
-    texts = _passed(keyed, _bitmap(wanted)).dropDuplicates(["id", "print"])
+    texts = map_batches(keyed, keep, "id long, print long, text string").dropDuplicates(["id", "print"])
     rows = texts.join(perdoc, ["id", "print"]).select("id", "print", "text", "spans")
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("first", pa.int64()), ("body", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("first", pa.int64()), ("times", pa.int64()), ("body", pa.binary())])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,93 +154,102 @@ def _contents(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 raw = text.encode()
                 first = [s["place"] >> _PLACE for s in spans]
                 stop = [f + (s["place"] & ((1 << _PLACE) - 1)) + length - 1 for f, s in zip(first, spans, strict=True)]
-                yield batch_of(schema, anchor=[s["anchor"] for s in spans], id=[i] * len(spans), print=[p] * len(spans), first=first, body=[raw[a:b] for a, b in zip(first, stop, strict=True)])
+                yield batch_of(schema, anchor=[s["anchor"] for s in spans], id=[i] * len(spans), print=[p] * len(spans), first=first, times=[s["times"] for s in spans], body=[raw[a:b] for a, b in zip(first, stop, strict=True)])
+
+    return map_batches(rows, cut_out, "anchor long, id long, print long, first long, times long, body binary")
+
 
-    return map_batches(rows, cut_out, "anchor long, id long, print long, first long, body binary")
+_RANGES = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+_RANGES_DDL = "id long, print long, start long, stop long"
 
 
-def _sorted_shards(bodies: DataFrame, shards: int, length: int) -> DataFrame:
-    """(id, print, start, stop): what repeated windows cover, from the suffixes of each shard."""
-    schema = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+class _Shard:
+    """Pieces of text that are sorted together; their bytes go to a file as they come."""
+
+    def __init__(self, length: int):
+        self.length, self.bytes = length, 0
+        self.ids, self.prints, self.firsts, self.sizes = (array("q") for _ in range(4))
+
+    def add(self, i: int, p: int, first: int, body: bytes) -> np.ndarray:
+        for column, value in ((self.ids, i), (self.prints, p), (self.firsts, first), (self.sizes, len(body))):
+            column.append(value)
+        self.bytes += len(body)
+        return np.frombuffer(body, np.uint8)
+
+    def ranges(self, text: np.ndarray, starts: np.ndarray, memory: int) -> Iterator[pa.RecordBatch]:
+        """What repeated windows cover; a run may come in parts, which overlap."""
+        repeated = Suffixes(text, self.length, memory).repeated()
+        ids, prints, firsts, sizes = (np.array(x) for x in (self.ids, self.prints, self.firsts, self.sizes))
+        for low, high in chunks(len(repeated)):
+            at = np.flatnonzero(repeated[low:high]) + low
+            piece = np.searchsorted(starts, at, side="right") - 1
+            kept = starts[piece] + sizes[piece] - at >= self.length
+            at, piece = at[kept], piece[kept]
+            if not len(at):
+                continue
+            # runs of repeated windows of one piece
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])
+            heads = np.flatnonzero(new)
+            first, last = at[heads], at[np.append(heads[1:], len(at)) - 1]
+            who = piece[heads]
+            shift = firsts[who] - starts[who]
+            yield batch_of(_RANGES, id=ids[who], print=prints[who], start=first + shift, stop=last + shift + self.length)
+
+
+def _sorted_shards(bodies: DataFrame, tasks: int, length: int, shard_bytes: int, memory: int) -> DataFrame:
+    """(id, print, start, stop): what repeated windows cover, from the suffixes of each shard; an anchor is in one shard."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, prints, firsts, sizes = [], [], [], []
-
-        def pieces() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for i, p, f, body in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                    ids.append(i)
-                    prints.append(p)
-                    firsts.append(f)
-                    sizes.append(len(body))
-                    yield np.frombuffer(body, np.uint8)
-
-        text, starts = joined(pieces())
-        if not len(starts):
-            return
-        repeated = Suffixes(text, length).repeated()
-        size, first = np.array(sizes), np.array(firsts)
-        piece = np.repeat(np.arange(len(starts)), size + 1)
-        left = starts[piece] + size[piece] - np.arange(len(text))
-        at = np.flatnonzero(repeated & (left >= length))
-        if not len(at):
-            return
-        # runs of repeated windows of one piece
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (piece[at[1:]] != piece[at[:-1]])
-        heads = np.flatnonzero(new)
-        low, high = at[heads], at[np.append(heads[1:], len(at)) - 1]
-        who = piece[low]
-        shift = first[who] - starts[who]
-        yield batch_of(schema, id=np.array(ids)[who], print=np.array(prints)[who], start=low + shift, stop=high + shift + length)
-
-    return map_batches(bodies.repartition(shards, "anchor"), sort, "id long, print long, start long, stop long")
-
-
-def _hot_windows(bodies: DataFrame, length: int) -> DataFrame:
-    """(id, print, start, stop) of repeated windows, counted by 128 bits of their content before anything is shuffled by it."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("start", pa.int64())])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, p, f, body in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                values = _BYTE_VALUES[np.frombuffer(body, np.uint8)]
-                a, b = (gram_hashes(prefix_sums(v), length).view(np.int64) for v in (values, mix(values)))
-                yield batch_of(schema, a=a, b=b, id=np.full(len(a), i), print=np.full(len(a), p), start=f + np.arange(len(a)))
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            shard = _Shard(length)
 
-    rows = map_batches(bodies, emit, "a long, b long, id long, print long, start long")
-    again = rows.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    return rows.join(again, ["a", "b"], "left_semi").select("id", "print", "start", (F.col("start") + length).alias("stop"))
+            def pieces(shard: _Shard = shard) -> Iterator[np.ndarray]:
+                nonlocal row
+                while row is not None:
+                    anchor = row[0]
+                    yield shard.add(*row[1:])
+                    row = next(rows, None)
+                    if row is not None and row[0] != anchor and shard.bytes >= shard_bytes:
+                        return
 
+            yield from shard.ranges(*joined(pieces()), memory)
 
-def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    return map_batches(bodies.repartition(tasks, "anchor").sortWithinPartitions("anchor"), sort, _RANGES_DDL)
+
+
+def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, split_bytes: int = SPLIT_BYTES, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
     """(id, print, ranges): byte ranges that strings of ``length`` bytes cover which also start elsewhere."""
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
     keyed = _keyed(docs, id_column, text)
+    start, windows = F.shiftright("place", _PLACE), F.col("place").bitwiseAND(F.lit((1 << _PLACE) - 1))
     spans = spans_of(keyed, length)
-    again = spans.groupBy("anchor").count().where("count > 1").select("anchor")
-    spans = cut(spans.join(again, "anchor"))
-    contents = cut(spans.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("id", "print", "place")).alias("one")))
-    mixed = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    wanted = cut(contents.join(mixed, "anchor").select("anchor", "one.*"))
-    windows = F.col("place").bitwiseAND(F.lit((1 << _PLACE) - 1))
-    sizes = wanted.groupBy("anchor").agg(F.sum(windows + length).alias("bytes"))
-    hot = sizes.where(F.col("bytes") > HOT_BYTES).select("anchor")
-    size = sizes.where(F.col("bytes") <= HOT_BYTES).agg(F.sum("bytes")).first()[0] or 0
-    shards = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    whole = spans.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-    start = F.shiftright("place", _PLACE)
-    same = whole.select("id", "print", start.alias("start"), (start + windows + length - 1).alias("stop"))
-    covered = same
-    if hot.isEmpty():
-        if size:
-            covered = covered.unionByName(_sorted_shards(_contents(keyed, wanted, length), shards, length))
-    else:
-        covered = covered.unionByName(_hot_windows(_contents(keyed, wanted.join(hot, "anchor", "left_semi"), length), length))
-        if size:
-            covered = covered.unionByName(_sorted_shards(_contents(keyed, wanted.join(hot, "anchor", "left_anti"), length), shards, length))
-    return covered.groupBy("id", "print").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    again = dealt(spans.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"), "anchor", "times").select("anchor")
+    spans = cut(spans.join(again, "anchor").select(*_SPANS.names))
+    covered, sorted_, size = [], [], 0
+    for level in range(1, LEVELS + 1):
+        contents = cut(spans.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.min(F.struct("id", "print", "place")).alias("one")))
+        whole = spans.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+        covered.append(whole.select("id", "print", start.alias("start"), (start + windows + length - 1).alias("stop")))
+        # nothing new comes from an anchor of one content, or where all contents stand twice
+        place_windows = F.col("one.place").bitwiseAND(F.lit((1 << _PLACE) - 1))
+        anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least"), F.sum(place_windows + length).alias("bytes")).where("kinds > 1 and least = 1")
+        anchors = cut(anchors.select("anchor", "bytes", ((F.col("bytes") > split_bytes) & F.lit(level < LEVELS)).alias("hot")))
+        wanted = cut(contents.join(anchors, "anchor").select("anchor", "one.*", "times", "hot"))
+        totals = {r.hot: r.bytes for r in anchors.groupBy("hot").agg(F.sum("bytes").alias("bytes")).collect()}
+        if False in totals:
+            size += totals[False]
+            sorted_.append(wanted.where("not hot").drop("hot"))
+        if True not in totals:
+            break
+        spans = cut(_finer(_contents(keyed, wanted.where("hot").drop("hot"), length), length, level))
+    if sorted_:
+        tasks = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+        covered.append(_sorted_shards(_contents(keyed, reduce(DataFrame.unionByName, sorted_), length), tasks, length, shard_bytes, memory))
+    return reduce(DataFrame.unionByName, covered).groupBy("id", "print").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
 def _kept(raw: bytes, ranges: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -246,17 +266,19 @@ def _kept(raw: bytes, ranges: list[dict]) -> tuple[bytes, list[tuple[int, int]]]
     return b"".join([*out, raw[at:]]), merged
 
 
-def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, with_spans: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, with_spans: bool = False, **limits: int) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``spans`` and ``kept`` if asked.
 
+    ``limits`` are those of ``repeated_ranges``; they change nothing in the result.
+
     Strings are judged on the input as it is, every place of a repeated one goes, and matches never
     cross documents.  Null and empty texts have no bytes; repeated rows remove each other where they
     have ``length`` bytes; rows without an id take part.  What is kept may end inside a character, so
     it is binary.
     """
     keyed = _keyed(docs, id_column, text)
-    ranges = cut(repeated_ranges(docs, id_column, text, length))
-    bitmap = _bitmap(ranges)
+    ranges = cut(repeated_ranges(docs, id_column, text, length, **limits))
+    held = Filter(ranges, "print")
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_spans:
@@ -272,13 +294,17 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.filter(pa.array(~_in_bitmap(bitmap, np.asarray(batch.column(1)))))
+            rest = batch.filter(pa.array(~held.passes(np.asarray(batch.column(1)))))
             yield digest(rest.column(0), rest.column(2).to_pylist(), [None] * rest.num_rows)
 
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held.passes(np.asarray(batch.column(1)))))
+
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield digest(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
-    touched = _passed(keyed, bitmap).join(ranges, ["id", "print"], "left").select("id", "text", "ranges")
+    touched = map_batches(keyed, maybe, "id long, print long, text string").join(ranges, ["id", "print"], "left").select("id", "text", "ranges")
     rows = map_batches(keyed, untouched, ddl).unionByName(map_batches(touched, reduced, ddl))
     return rows.select(F.when(F.col("id") != -(1 << 62), F.col("id")).alias("doc_id"), *[c for c in rows.columns if c != "id"])

@@ -83,9 +83,10 @@ class Filter:
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, bytes) of a string column; null reads as empty."""
-    column = pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
-    column = column.cast(pa.large_string())
+    """(offsets, bytes) of a string or binary column; null reads as empty."""
+    column = batch.column(batch.schema.get_field_index(name))
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column, b"" if binary else "").cast(pa.large_binary() if binary else pa.large_string())
     size = len(column)
     if not size:
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)

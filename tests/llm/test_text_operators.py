@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyweave.llm import bpe, decontaminate, flac, jaccard, language, licenses, toxicity
+from keyweave.llm import bpe, decontaminate, flac, induced, jaccard, language, licenses, toxicity
 from keyweave.llm import line_dedup as lines
 from keyweave.llm import suffix_dedup as suffixes
 from keyweave.llm.induced import Suffixes, joined
@@ -206,11 +206,14 @@ def test_tiles_that_cannot_link_are_not_opened(spark, monkeypatch):
 @settings(max_examples=60, deadline=None)
 @given(st.data())
 def test_induced_sorting(data):
+    """With all in memory, and with queues, sorts, texts and orders on disk and every level of the recursion."""
     letters = data.draw(st.sampled_from([b"a", b"ab", b"abcd \n"]))
     pieces = data.draw(st.lists(st.lists(st.sampled_from(list(letters)), max_size=60).map(bytes), min_size=1, max_size=5))
     depth = data.draw(st.integers(1, 20))
     text, starts = joined(np.frombuffer(p, np.uint8) for p in pieces)
-    found = Suffixes(text, depth, memory=data.draw(st.sampled_from([8, 1 << 20]))).repeated()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(induced, "BASE", data.draw(st.sampled_from([0, 4, 1 << 13])))
+        found = Suffixes(text, depth, memory=data.draw(st.sampled_from([8, 100, 1 << 20]))).repeated()
     from collections import Counter
 
     seen = Counter(p[i : i + depth] for p in pieces for i in range(len(p) - depth + 1))
@@ -218,13 +221,57 @@ def test_induced_sorting(data):
         assert [bool(found[s + i]) for i in range(len(p) - depth + 1)] == [seen[p[i : i + depth]] > 1 for i in range(len(p) - depth + 1)]
 
 
-@pytest.mark.parametrize("hot", [64 << 20, 500, 0])
-def test_suffix_dedup(spark, odd, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT_BYTES", hot)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=200), st.sampled_from([4, 64, 1 << 20]), st.sampled_from([0, 3, 1 << 13]))
+def test_recursion_sorts_all_suffixes(values, memory, base):
+    import bisect
+
+    ordered = sorted(values)
+    names = np.array([bisect.bisect_left(ordered, x) for x in values])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(induced, "BASE", base)
+        assert induced.sorted_names(names, False, 10**6, memory).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
+
+
+def test_long_runs_and_periods():
+    pieces = [b"a" * 3000, b"ab" * 2000 + b"c", b"xyz" * 900, b"b" + b"a" * 700 + b"c", b"q" * 200, b"ab" * 60]
+    text, starts = joined(np.frombuffer(p, np.uint8) for p in pieces)
+    for memory in (64, 1 << 20):
+        found = Suffixes(text, 200, memory).repeated()
+        seen = {}
+        for p in pieces:
+            for i in range(len(p) - 199):
+                seen[p[i : i + 200]] = seen.get(p[i : i + 200], 0) + 1
+        for p, s in zip(pieces, starts.tolist(), strict=True):
+            assert [bool(found[s + i]) for i in range(len(p) - 199)] == [seen[p[i : i + 200]] > 1 for i in range(len(p) - 199)]
+
+
+def test_a_shard_larger_than_memory_stays_on_disk():
+    """Text, queues, runs, names, orders and marks are in files: in memory are under two bytes for each of the text, where one array of places alone has eight."""
+    import tracemalloc
+
+    rng = np.random.default_rng(19)
+    base = rng.integers(97, 123, 3_000_000, dtype=np.uint8)
+    text, starts = joined(iter([base, rng.integers(97, 123, 1_500_000, dtype=np.uint8), base[100_000:600_000]]))
+    del base
+    tracemalloc.start()
+    found = Suffixes(text, 200, memory=1 << 14).repeated()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(found, np.memmap) and int(found.sum()) == 2 * (500_000 - 199) and peak < 2 * len(text)
+
+
+LIMITS = [{}, {"split_bytes": 500}, {"split_bytes": 0, "shard_bytes": 1, "memory": 64}, {"shard_bytes": 3000, "memory": 500}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_suffix_dedup(spark, odd, monkeypatch, limits):
+    """Also where every anchor is cut further, and where next to nothing may stay in memory."""
+    monkeypatch.setattr(induced, "BASE", 16)
     rng = random.Random(5)
     shared = passage(rng, 90)
     rows = odd + [(100 + i, passage(rng, 20) + shared[rng.randrange(200) : rng.randrange(250, 500)] + passage(rng, 20)) for i in range(25)] + [(200, "ab" * 400), (201, "é" * 300), (202, shared[:199]), (203, shared[:200])]
-    out = suffixes.dedup_substrings(table(spark, rows).withColumn("n_bytes", F.lit("clash")), with_spans=True).collect()
+    out = suffixes.dedup_substrings(table(spark, rows).withColumn("n_bytes", F.lit("clash")), with_spans=True, **limits).collect()
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
     assert found == dict(zip((d for d, _ in rows), substring_dedup([t for _, t in rows]), strict=True))
     assert all(sum(s.stop - s.start for s in r.spans) == r.n_removed and len(r.kept) == r.n_bytes - r.n_removed for r in out)
