@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyweave.config import Rule
-from keyweave.functions.normalize import as_text, double_text, is_missing, normalize_text, parse_boolean, parse_date, parse_number, strip, to_float
+from keyweave.functions.normalize import as_text, double_text, is_missing, is_missing_typed, normalize_text, parse_boolean, parse_date, parse_number, strip, to_float
 
 RESULT = "struct<rule_id:string,display_name:string,original_a:string,original_b:string,normalized_a:string,normalized_b:string,status:string,reason:string,difference:double,absolute_difference:double,difference_rate:double,ok_a:boolean,ok_b:boolean,method:string,policy:string>"
 EQUAL, DIFFERENT, UNAVAILABLE, FAILED = "EQUAL", "DIFFERENT", "UNAVAILABLE", "CONVERSION_FAILED"
@@ -89,11 +89,14 @@ def rounded(rule: Rule, value: Column) -> Column:
 
 def slot(rule: Rule, column: Column, kind: T.DataType) -> Column:
     text = as_text(column, kind)
-    missing = is_missing(text, rule.null_policy.missing_tokens)
+    ascii_only = bool(rule.normalization_options.get("assume_ascii"))
+    missing = is_missing_typed(column, kind, rule.null_policy.missing_tokens)
+    if missing is None:
+        missing = is_missing(text, rule.null_policy.missing_tokens, ascii_only)
     value = typed_value(rule, column, kind)
     fields = [text.alias("original"), missing.alias("missing"), F.when(~missing, value).alias("value")]
     if rule.null_policy.empty_equals_zero or rule.null_policy.empty_equals_text is not None:
-        fields.append(strip(text).alias("stripped"))
+        fields.append(strip(text, ascii_only).alias("stripped"))
     # text always converts; what is missing isn't converted at all
     fields.append((F.lit(True) if family(rule) == "text" else missing | value.isNotNull()).alias("ok"))
     return F.struct(*fields)

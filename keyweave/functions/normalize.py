@@ -22,8 +22,10 @@ from keyweave.config import MISSING_TOKENS
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_FIRST_NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
+#: All of it that is ASCII.
+_ASCII_SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
 #: Fixed values.
+_FIRST_NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
 CURRENCY = r"(?i)[₩$€£원]|krw|usd|eur"
 TRUE_WORDS = ("y", "yes", "true", "1", "사용", "활성")
 FALSE_WORDS = ("n", "no", "false", "0", "미사용", "비활성")
@@ -32,8 +34,9 @@ _KOREAN_DATE = r"^(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일$"
 DATE_PATTERNS = ("yyyy-M-d", "yyyy-M-d H:m[:s[.SSSSSS][.SSS]]", "yyyy-M-d'T'H:m[:s[.SSSSSS][.SSS]][XXX]", "yyyy/M/d", "yyyy/M/d H:m[:s]", "yyyy.M.d", "yyyy.M.d H:m[:s]", "M/d/yyyy", "d/M/yyyy", "M/d/yyyy H:m[:s]", "yyyyMMdd", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy-M", "yyyy")
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+def strip(text: Column, ascii_only: bool = False) -> Column:
+    """``text`` without white space at its ends; a plain trim where no letter is beyond ASCII."""
+    return F.btrim(text, F.lit(_ASCII_SPACE)) if ascii_only else F.regexp_replace(text, _EDGES, "")
 
 
 def double_text(x: Column) -> Column:
@@ -62,9 +65,17 @@ def as_text(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
-def is_missing(text: Column, tokens: Sequence[str] | None = None) -> Column:
+def is_missing(text: Column, tokens: Sequence[str] | None = None, ascii_only: bool = False) -> Column:
     """Null, or one of the tokens after white space and case are gone; no tokens at all means the usual ones."""
-    return text.isNull() | F.lower(strip(text)).isin(*(tokens or MISSING_TOKENS))
+    return text.isNull() | F.lower(strip(text, ascii_only)).isin(*(tokens or MISSING_TOKENS))
+
+
+def is_missing_typed(column: Column, kind: T.DataType, tokens: Sequence[str] | None = None) -> Column | None:
+    """The same for a number, date or truth value, whose text no token can be; None where one might."""
+    typed = isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
+    if not typed or any(c.isdigit() for t in tokens or () for c in t) or {"true", "false", "infinity", "-infinity"} & {t.strip().lower() for t in tokens or ()}:
+        return None
+    return column.isNull() | F.isnan(column) if isinstance(kind, (T.DoubleType, T.FloatType)) else column.isNull()
 
 
 def _unicode(nfkc: bool, fold: bool):
@@ -90,13 +101,14 @@ def normalize_text(text: Column, options: dict | None = None) -> Column:
     """
     o = options or {}
     ascii_only = o.get("assume_ascii", False)
-    out = F.when(~is_missing(text, o.get("missing_tokens")), text)
+    out = F.when(~is_missing(text, o.get("missing_tokens"), ascii_only), text)
     if o.get("unicode_normalize", True) and not ascii_only:
         out = _unicode(True, False)(out)
-    if o.get("remove_special_spaces", True):
+    if o.get("remove_special_spaces", True) and not ascii_only:
         out = F.translate(out, "\u00a0\u3000", "  ")
     if o.get("remove_line_breaks", True):
-        out = F.regexp_replace(out, r"[\r\n]+", " ")
+        broken = out.contains("\n") | out.contains("\r")
+        out = F.when(broken, F.regexp_replace(out, r"[\r\n]+", " ")).otherwise(out)
     for old, new in (o.get("replacements") or {}).items():
         out = F.replace(out, F.lit(old), F.lit(new)) if old else out
     if o.get("collapse_spaces", False):
@@ -104,7 +116,7 @@ def normalize_text(text: Column, options: dict | None = None) -> Column:
     if o.get("remove_all_spaces", False):
         out = F.regexp_replace(out, _SPACE + "+", "")
     if o.get("trim", True):
-        out = strip(out)
+        out = strip(out, ascii_only)
     if o.get("case_insensitive", False):
         out = F.lower(out) if ascii_only else _unicode(False, True)(out)
     if o.get("remove_special_characters", False):
@@ -172,6 +184,11 @@ def parse_boolean(text: Column, vocabulary: dict | None = None) -> Column:
     return F.element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in words.items())), F.lower(strip(text)))
 
 
+def plain_key(kind: T.DataType, options) -> bool:
+    """Whether the digits of a whole number are its key as they are: no step of ``options`` can change them."""
+    return isinstance(kind, T.IntegralType) and not (options.replacements or options.date_format or options.coerce_numeric_string)
+
+
 def normalize_key(text: Column, options) -> Column:
     """One key component; ``options`` as attributes (KeyOptions) and ``assume_ascii`` if it has that."""
     o = dict(vars(options))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from keyweave.config import COLLECTION_POLICIES, PICK_POLICIES, Comparison, ConfigError, Dataset, DuplicatePolicy, Rule
 from keyweave.functions.compare import DIFFERENT, EQUAL, FAILED, UNAVAILABLE, compare_slots, constant, family, rounded, slot, value_text
-from keyweave.functions.normalize import as_text, normalize_key, to_float
+from keyweave.functions.normalize import as_text, normalize_key, plain_key, to_float
 from keyweave.operators.mapping import applied, build_mapping
 
 #: Bits of ``flags``.
@@ -48,7 +48,11 @@ def flags_of(status: Column) -> Column:
 
 
 def with_row_id(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """``__row_id``: the source's row number, or ``order_by``, or any unique number where rows have no order."""
+    """``__row_id``: the source's row number, or ``order_by``, or any unique number where rows have no order.
+
+    Such a number holds for one reading of the source alone: where the first or last row is asked for,
+    or values in their order, give ``order_by``.
+    """
     if ROW_NUMBER in df.columns:
         return df.withColumn("__row_id", F.col(ROW_NUMBER).cast("long"))
     if order_by:
@@ -64,8 +68,9 @@ def keyed(df: DataFrame, dataset: Dataset, order_by: str | None = None, assume_a
     parts, trace = [], []
     for i, name in enumerate(dataset.key_columns):
         mapping = dataset.key_mappings.get(name)
-        text = as_text(F.col(name), df.schema[name].dataType)
-        out = out.withColumn(f"__k{i}", normalize_key(text, options))
+        kind = df.schema[name].dataType
+        text = as_text(F.col(name), kind)
+        out = out.withColumn(f"__k{i}", text if plain_key(kind, options) else normalize_key(text, options))
         enabled = bool(mapping and mapping.enabled)
         if enabled:
             built = build_mapping(df.sparkSession, mapping.groups, dataset.key_normalization)
@@ -133,7 +138,7 @@ def _records(df: DataFrame, config: Comparison, side: str, order_by: str | None,
 
 
 def _ascii(rule: Rule, assume: bool) -> Rule:
-    if not assume or family(rule) != "text":
+    if not assume:
         return rule
     from dataclasses import replace
 
@@ -160,13 +165,14 @@ def _picked(side: str, policy: DuplicatePolicy, how: str, sorted_by: bool) -> Co
     return F.min_by(rec, by(row))
 
 
-def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False, nm_picks: bool = False, drop_nulls: bool = False) -> DataFrame:
+def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False, nm_picks: bool = False, drop_nulls: bool = False, with_values: bool = True) -> DataFrame:
     """One row per key: status, flags, counts, row ids and an array of rule results.
 
     ``assume_ascii`` leaves the Unicode step, which runs in Python, out of the plan.  ``with_trace``
     adds what each source row's key came from.  ``key_only`` allows a configuration without rules.
     ``nm_picks`` lets N:M keys pick the first or last row too, and ``drop_nulls`` leaves nulls out of
-    sets and multisets.
+    sets and multisets.  Without ``with_values`` the results of sets, multisets and aggregates don't show
+    what values each side has: a key with very many distinct ones then stays small.
     """
     config.validate(rules_required=not key_only)
     rules = [_ascii(r, assume_ascii) for r in config.comparison_rules]
@@ -197,7 +203,7 @@ def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | Non
     modes = {"ONE_TO_MANY": pb.policy_type, "MANY_TO_ONE": pa_.policy_type, "MANY_TO_MANY": config.nm_policy}
     modes = {k: v for k, v in modes.items() if v in COLLECTION_POLICIES}
     if modes and rules:
-        collected = _collections(rows, rules, sorted(set(modes.values())), drop_nulls)
+        collected = _collections(rows, rules, sorted(set(modes.values())), drop_nulls, with_values)
         grouped = grouped.join(collected, grouped["key"].eqNullSafe(collected["ckey"]), "left").drop("ckey")
     return _classified(grouped, config, rules, n_keys, modes, with_trace, picking)
 
@@ -284,21 +290,20 @@ def _classified(grouped: DataFrame, config: Comparison, rules: list[Rule], n_key
     )
 
 
-def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_nulls: bool) -> DataFrame:
+def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_nulls: bool, with_values: bool = True) -> DataFrame:
     """(ckey, c_<mode> arrays of RESULT, u_a, u_b): value counts first by original, then by value, then by key.
 
-    Each step sums before it shuffles, and no step holds a key's rows together.
+    Each step sums before it shuffles, and no step holds a key's rows together; ``with_values`` alone
+    puts a key's distinct values into its row, to be shown.
     """
-    long = None
+    parts = []
     for i, rule in enumerate(rules):
         rec = F.col(f"__rec.r{i}")
         value = rounded(rule, rec["value"])
         number = value.cast("double") if family(rule) in ("number", "boolean") else to_float(value) if family(rule) == "text" else F.lit(None).cast("double")
-        part = rows.select(
-            F.col("__key").alias("ckey"), F.lit(i).alias("rule"), rec["original"].alias("original"), F.when(~rec["missing"], value_text(rule, value)).alias("value"),
-            F.when(~rec["missing"], number).alias("number"), F.coalesce(rec["ok"], F.lit(False)).alias("ok"), "__row_id", (F.col("__side") == "A").cast("long").alias("a"), (F.col("__side") == "B").cast("long").alias("b"),
-        )
-        long = part if long is None else long.unionByName(part)
+        parts.append(F.struct(F.lit(i).alias("rule"), rec["original"].alias("original"), F.when(~rec["missing"], value_text(rule, value)).alias("value"), F.when(~rec["missing"], number).alias("number"), F.coalesce(rec["ok"], F.lit(False)).alias("ok")))
+    # all rules of a row in one pass, whatever their number
+    long = rows.select(F.col("__key").alias("ckey"), "__row_id", (F.col("__side") == "A").cast("long").alias("a"), (F.col("__side") == "B").cast("long").alias("b"), F.inline(F.array(*parts)))
     first = lambda side: F.min(F.when(F.col(side) > 0, F.col("__row_id")))
     originals = long.groupBy("ckey", "rule", "original").agg(F.first("value").alias("value"), F.first("number").alias("number"), F.bool_and("ok").alias("ok"), F.sum("a").alias("a"), F.sum("b").alias("b"), first("a").alias("first_a"), first("b").alias("first_b"))
     values = originals.groupBy("ckey", "rule", "value").agg(
@@ -310,8 +315,9 @@ def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_null
     aggregates = [
         F.sum("ua").alias("ua"), F.sum("ub").alias("ub"), F.bool_or("bad_a").alias("bad_a"), F.bool_or("bad_b").alias("bad_b"),
         *[F.coalesce(F.bool_and(F.when(has | F.lit(not drop_nulls), same)), F.lit(True)).alias(name) for name, same in (("same_set", (F.col("a") > 0) == (F.col("b") > 0)), ("same_multiset", F.col("a") == F.col("b")))],
-        F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("values"),
     ]
+    if with_values:
+        aggregates.append(F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("values"))
     for side in ("a", "b"):
         here = F.col(side) > 0
         for method in wanted:
@@ -328,6 +334,8 @@ def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_null
     bad = F.col("bad_a") | F.col("bad_b")
 
     def side_values(side: str) -> Column:
+        if not with_values:
+            return F.lit(None).cast("string")
         return F.to_json(F.transform(F.filter("values", lambda v: v[side] > 0), lambda v: F.struct(v.value.alias("value"), v[side].alias("count"))))
 
     out = []
