@@ -442,3 +442,88 @@ def parse_numbers(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_orderkey % 1000 AS INT) AS x")
     text = F.expr("CASE o_orderkey % 5 WHEN 0 THEN concat('(', x, ')') WHEN 1 THEN concat(' USD ', x, ' ') WHEN 2 THEN concat(x, ',000') WHEN 3 THEN concat(x, '%') ELSE '12abc' END")
     return rows.select("o_orderkey", normalize.parse_number(text, {"percent_string": True}).alias("v"))
+
+
+# --- N:M picks, values in their order, other text methods, all kinds of keys --------------------------
+
+_UNBLOCKED = _NM.replace("WHEN na = 1 OR nb = 1 THEN 'DUPLICATE_BLOCKED' ", "")
+
+for _direction, _pick in (("desc", "max"), ("asc", "min")):
+    query(_UNBLOCKED.format(agg=f"{_pick}(CAST(l_shipdate AS DATE))", one="va = vb", same="va = vb"), f"recon_nm_representative_{_direction}")(
+        lambda spark, sf_dir, d=_direction: outcome(run(*parts(spark, sf_dir), "l_partkey", [rule("d", kind="date")], nm_policy="representative", **{f"duplicate_policy_{s.lower()}": DuplicatePolicy(s, "representative", "d", d) for s in "AB"}))
+    )
+
+_IN_ORDER = "(SELECT k, CAST(sum(c) AS BIGINT) AS n, string_agg(s, {by}) AS {va} FROM (SELECT l_partkey AS k, l_linestatus AS s, count(*) AS c, min(l_orderkey * 8 + l_linenumber) AS f FROM lineitem WHERE l_returnflag = '{flag}' GROUP BY 1, 2) GROUP BY 1)"
+for _name, _by in (("concat_unique", "' | ' ORDER BY f, s"), ("concat_sorted", "'|' ORDER BY s")):
+    _tables = f"SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb, va, vb FROM {_IN_ORDER.format(by=_by, va='va', flag='R')} a FULL OUTER JOIN {_IN_ORDER.format(by=_by, va='vb', flag='A')} b ON a.k = b.k"
+    query(_NM.replace(_PARTS, _tables).format(one="va = vb", same="va = vb"), f"recon_nm_{_name}")(lambda spark, sf_dir, m=_name: lines_in_order(spark, sf_dir, m))
+
+
+def lines_in_order(spark, sf_dir, method: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_partkey", "l_returnflag", "l_linestatus AS s", "l_orderkey * 8 + l_linenumber AS o")
+    return outcome(run(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), "l_partkey", [rule("s", kind="text", normalization_options={"aggregation_method": method})], nm_policy="aggregate", order_a="o", order_b="o"))
+
+
+_SPELLED = "concat('Customer # ', c_custkey)"
+_RESPELLED = f"CASE c_custkey % 6 WHEN 0 THEN concat('  ', {_SPELLED}, ' ') WHEN 1 THEN replace({_SPELLED}, ' ', '   ') WHEN 2 THEN replace({_SPELLED}, ' ', '') WHEN 3 THEN replace({_SPELLED}, '#', '') WHEN 4 THEN upper({_SPELLED}) ELSE {_SPELLED} END"
+for _method, _norm in (("exact", "trim({v})"), ("trim", "trim({v})"), ("collapse_spaces", "trim(regexp_replace({v}, '\\s+', ' ', 'g'))"), ("remove_spaces", "regexp_replace({v}, '\\s+', '', 'g')"), ("remove_special", "regexp_replace(trim({v}), '[^0-9A-Za-z_\\s-]', '', 'g')"), ("ignore_case", "lower(trim({v}))")):
+    query(f"SELECT CAST(c_custkey AS VARCHAR) AS key_display, CASE WHEN {_norm.format(v='a')} = {_norm.format(v='b')} THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count, {_norm.format(v='b')} AS r1_normalized_b FROM (SELECT c_custkey, {_SPELLED} AS a, {_RESPELLED} AS b FROM customer)", f"recon_text_{_method}")(
+        lambda spark, sf_dir, m=_method: respelled(spark, sf_dir, m)
+    )
+
+
+def respelled(spark, sf_dir, method: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    a, b = (rows.select("c_custkey", F.expr(v).alias("v")) for v in (_SPELLED, _RESPELLED))
+    return outcome(run(a, b, "c_custkey", [rule("v", kind="text", method=method)]), first_rule("normalized_b"))
+
+
+_KINDS = "CASE WHEN na = 0 THEN 'B_ONLY' WHEN nb = 0 THEN 'A_ONLY' WHEN na = 1 AND nb = 1 THEN 'ONE_TO_ONE' WHEN na = 1 THEN 'ONE_TO_MANY' WHEN nb = 1 THEN 'MANY_TO_ONE' ELSE 'MANY_TO_MANY' END"
+
+
+@query(f"SELECT CAST(k AS VARCHAR) AS key, na AS a_count, nb AS b_count, {_KINDS} AS kind FROM ({_PARTS.format(agg='min(l_quantity)')})")
+def cardinality_all_kinds(spark, sf_dir):
+    a, b = parts(spark, sf_dir)
+    config = compare("l_partkey", [rule("q")])
+    counts = reconcile.cardinality(reconcile.keyed(a, config.dataset_a, assume_ascii=True), reconcile.keyed(b, config.dataset_b, assume_ascii=True))
+    return counts.select(F.col("key.k0").alias("key"), "a_count", "b_count", "kind")
+
+
+@query(f"SELECT count(*) FILTER (WHERE kind = 'ONE_TO_ONE') AS one_to_one, count(*) FILTER (WHERE kind = 'ONE_TO_MANY') AS one_to_many, count(*) FILTER (WHERE kind = 'MANY_TO_ONE') AS many_to_one, count(*) FILTER (WHERE kind = 'MANY_TO_MANY') AS many_to_many, count(*) FILTER (WHERE kind = 'A_ONLY') AS a_only, count(*) FILTER (WHERE kind = 'B_ONLY') AS b_only FROM (SELECT {_KINDS} AS kind FROM ({_PARTS.format(agg='min(l_quantity)')}))")
+def cardinality_summary_all_kinds(spark, sf_dir):
+    a, b = parts(spark, sf_dir)
+    config = compare("l_partkey", [rule("q")])
+    return reconcile.cardinality_summary(reconcile.cardinality(reconcile.keyed(a, config.dataset_a, assume_ascii=True), reconcile.keyed(b, config.dataset_b, assume_ascii=True)))
+
+
+_TYPED = f"SELECT '[{{{{\"type\":\"int\",\"value\":\"' || CAST(k AS VARCHAR) || '\"}}}}]' AS key, CASE WHEN na = 0 THEN 'added' WHEN nb = 0 THEN 'removed' WHEN na = 1 AND nb = 1 THEN CASE WHEN {{one}} THEN 'matched' ELSE 'changed' END {{many}} END AS status, na AS a_count, nb AS b_count FROM ({_PARTS})"
+_SAME = "WHEN va = vb THEN 'matched' ELSE 'changed'"
+for _policy, _agg, _many, _rule in (
+    ("report", "min(l_quantity)", "WHEN na = 1 OR nb = 1 THEN 'duplicate' ELSE 'nm-pending'", "q"), ("set", "list_sort(list(DISTINCT l_quantity))", _SAME, "q"), ("multiset", "list_sort(list(l_quantity))", _SAME, "q"),
+    ("aggregate", "sum(l_quantity)", _SAME, "q"), ("representative", "max(CAST(l_shipdate AS DATE))", _SAME, "d"),
+):
+    query(_TYPED.format(agg=_agg, one="va = vb", many=_many), f"dialect_{_policy}")(lambda spark, sf_dir, p=_policy, c=_rule: typed_parts(spark, sf_dir, p, c))
+
+
+def typed_parts(spark, sf_dir, policy: str, column: str) -> DataFrame:
+    used = dialect.day("d") if column == "d" else dialect.number("q")
+    return dialect.compare_typed(*parts(spark, sf_dir), dialect.Options(["l_partkey"], rules=[used], duplicate_policy=policy)).select("key", "status", "a_count", "b_count")
+
+
+@query("SELECT '[{\"type\":\"int\",\"value\":\"' || CAST(o_orderkey AS VARCHAR) || '\"}]' AS key, round(abs(o_totalprice - b) / abs(o_totalprice), 9) AS rate_a, round(abs(o_totalprice - b) / abs(b), 9) AS rate_b FROM (SELECT o_orderkey, o_totalprice, o_totalprice * (1 + (o_orderkey % 5) / 100.0) AS b FROM orders)")
+def dialect_rates(spark, sf_dir):
+    a, b = scaled(spark, sf_dir)
+    found = dialect.compare_typed(a, b, dialect.Options(["o_orderkey"], rules=[dialect.number("o_totalprice", b.columns[1])]))
+    rate = lambda side: F.round(F.get(F.col("rates"), 0)[side], 9).alias(f"rate_{side}")
+    return found.select("key", rate("a"), rate("b"))
+
+
+_SCALAR = "CASE o_orderkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'bool' WHEN 3 THEN 'string' ELSE 'date' END"
+_RAW = "CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS STRING) ELSE 'x1' END WHEN 1 THEN concat(o_orderkey % 100, '.5') WHEN 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'yes' END WHEN 3 THEN concat('s', o_orderkey) ELSE CASE WHEN o_orderkey % 2 = 0 THEN '2024-02-29' ELSE '2023-02-29' END END"
+
+
+@query("SELECT o_orderkey, m NOT IN (5, 7, 9) AS ok, CASE WHEN m = 0 THEN o_orderkey END AS i, CASE WHEN m % 5 = 1 THEN o_orderkey % 100 + 0.5::DOUBLE END AS f, CASE WHEN m = 2 THEN true END AS b, CASE WHEN m % 5 = 3 THEN 's' || CAST(o_orderkey AS VARCHAR) END AS s, CASE WHEN m = 4 THEN DATE '2024-02-29' END AS d FROM (SELECT o_orderkey, o_orderkey % 10 AS m FROM orders)")
+def scalar_decode(spark, sf_dir):
+    made = F.struct(F.lit(1).alias("version"), F.expr(_SCALAR).alias("type"), F.expr(_RAW).alias("value"))
+    tagged = table(spark, sf_dir, "orders").select("o_orderkey", made.alias("s"))
+    return tagged.select("o_orderkey", scalar.valid(F.col("s")).alias("ok"), *[scalar.decode(F.col("s"), kind).alias(kind[0]) for kind in ("int", "float", "bool", "string", "date")])
