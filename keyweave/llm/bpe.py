@@ -28,6 +28,8 @@ from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, text
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the lexicon at most: it bounds what is broadcast (about 3 MB).
 LEXICON_WORDS = 1 << 16
+#: Letters of a word of the lexicon at most.
+LEXICON_LETTERS = 48
 #: Words that the counts and the memory of a worker hold at most before they are emptied.
 HELD_WORDS = 400_000
 #: Longer words are merged one by one.
@@ -301,7 +303,7 @@ class Codec:
 
 
 def count_words(docs: DataFrame, special: Iterable[str], text: str = "text") -> DataFrame:
-    """(word, n) over every whole text: each task adds up before rows are shuffled."""
+    """(word, n) over every whole text, of words that the lexicon can have: each task adds up before rows are shuffled."""
     special = tuple(special)
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
@@ -310,7 +312,7 @@ def count_words(docs: DataFrame, special: Iterable[str], text: str = "text") ->
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 if x:
-                    counts.update(split(x))
+                    counts.update(w for w in split(x) if len(w) <= LEXICON_LETTERS)
             if len(counts) > HELD_WORDS:
                 yield batch_of(schema, word=list(counts), n=list(counts.values()))
                 counts = Counter()
@@ -324,7 +326,8 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, limit: int = LEXICON
     """The most frequent words, ``limit`` at most: all from the least frequency on that keeps to it.
 
     The frequency comes from a histogram of eight steps for each power of two, so what all tasks
-    together send to the driver is bounded by ``limit`` words.
+    together send to the driver is bounded by ``limit`` words of LEXICON_LETTERS letters; longer ones are
+    merged as they come.
     """
     counts = cut(count_words(docs, vocabulary.special, text).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
     room, least = limit, None
