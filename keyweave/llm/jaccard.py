@@ -477,15 +477,29 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     narrow = _narrow(docs, id_column, text)
     rows, points, clusters = _met(narrow, words, percent)
     labels = points.select("a", "b", "node").join(_labels(narrow, points, clusters, words, percent), "node", "left").select("a", "b", F.coalesce("label", "node").alias("label"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "k", "l")
     names = docs.columns
     id_name, k_name, l_name, row_name = fresh(names, "__id", "__k", "__l", "__row")
-    first = rows.where("n > 0").join(labels, ["a", "b"]).groupBy("label").agg(F.min(place).alias("m")).select(F.col("m.doc_id").alias(id_name), F.col("m.k").alias(k_name), F.col("m.l").alias(l_name))
+    labelled = cut(rows.where("n > 0").join(labels, ["a", "b"]).select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "k", "l").alias("place")))
+    groups = cut(labelled.groupBy("label").agg(F.min("place").alias("m"), F.count("*").alias("times")))
+    # texts of one row in all are kept where they are; only those that others are linked to are shuffled
+    doubtful = Filter(labelled.join(groups.where("times > 1").select("label"), "label").select(F.col("place.k").alias("k")), "k")
+    first = groups.select(F.col("m.doc_id").alias(id_name), F.col("m.k").alias(k_name), F.col("m.l").alias(l_name))
     body = F.col(text).cast("string")
     own = [F.col(f"`{c}`") for c in names]
     keyed = docs.select(*own, F.col(id_column).cast("long").alias(id_name), F.xxhash64(body).alias(k_name), F.xxhash64(F.lit(1), body).alias(l_name))
     worded = F.coalesce(body, F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]")
-    same = keyed[id_name].eqNullSafe(first[id_name]) & (keyed[k_name] == first[k_name]) & (keyed[l_name] == first[l_name])
+    width = len(names)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~doubtful.passes(np.asarray(batch.column(width + 1))))).select(names)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(doubtful.passes(np.asarray(batch.column(width + 1)))))
+
+    some = map_batches(keyed.where(worded), linked, keyed.schema)
+    same = some[id_name].eqNullSafe(first[id_name]) & (some[k_name] == first[k_name]) & (some[l_name] == first[l_name])
     plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    kept = keyed.where(worded).join(first, same, "left_semi").groupBy(id_name, k_name, l_name).agg(F.min_by(F.struct(*own), F.xxhash64(*plain)).alias(row_name)).select(f"`{row_name}`.*")
-    return kept.unionByName(docs.where(~worded))
+    kept = some.join(first, same, "left_semi").groupBy(id_name, k_name, l_name).agg(F.min_by(F.struct(*own), F.xxhash64(*plain)).alias(row_name)).select(f"`{row_name}`.*")
+    return kept.unionByName(map_batches(keyed.where(worded), alone, docs.schema)).unionByName(docs.where(~worded))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from keyweave.llm import chat
+from keyweave.llm import chat, graph
 from keyweave.llm.graph import components
 
 NODES = "tree string, node long, parent long, score double, role string, text string"
@@ -55,7 +55,10 @@ def test_long_conversation(spark):
     assert row.n_turns == 300 and row.loss_chars == sum(len(str(i)) for i in range(1, 300, 2))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [500_000, 7])
+def test_components(spark, monkeypatch, task_edges):
+    """In one task, and in rounds over many."""
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (12, 11), (20, 20)] + [(100 + i, 101 + i) for i in range(30)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {found[i] for i in (1, 2, 3, 4)} == {1} and {found[i] for i in (10, 11, 12)} == {10} and {found[i] for i in range(100, 131)} == {100}
