@@ -22,6 +22,7 @@ from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, text
 
 #: Labelled rows that are learned from at most, the first by a hash of the id.
 SAMPLE_ROWS = 12_000
+#: Words and beginnings that the lexicon holds at most, the most telling ones.
 LEXICON_KEYS = 2_000
 PREFIXES = (4, 5, 6)
 NEAR_WORDS = 4
@@ -289,7 +290,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without rows whose score reaches ``threshold``; columns and other rows stay as they are."""
+    """``docs`` without rows whose score reaches ``threshold``; columns and other rows stay as they are.
+
+    Null and empty texts are scored as texts of no words and so stay or go alike; each of repeated rows
+    has the same fate; other columns aren't read, whatever their names; an empty table stays empty.
+    """
     model = train(docs, labels, id_column, text, label, rows)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

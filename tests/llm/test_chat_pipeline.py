@@ -55,6 +55,17 @@ def test_long_conversation(spark):
     assert row.n_turns == 300 and row.loss_chars == sum(len(str(i)) for i in range(1, 300, 2))
 
 
+def test_long_texts_and_null_ids(spark):
+    """A very long text, a conversation without an id beside those of 0 and -1, repeated rows, and an empty table."""
+    long = "</s>[INST] \\ é日 " * 20_000
+    rows = [(None, 0, "user", long), (None, 1, "assistant", long), (0, 0, "user", "a"), (-1, 0, None, None), (-1, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("n_turns", "loss_chars", "written", "parts")})
+    out = {r.conv_id: r for r in chat.conversation_digests(chat.format_conversations(df)).collect()}
+    assert set(out) == {None, 0, -1} and out[None].loss_chars == len(long) and out[None].loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and out[-1].n_turns == 2
+    trees = spark.createDataFrame([(None, 1, None, 0.0, "user", "q"), ("null", 1, None, 0.0, "user", "r"), (None, 2, 1, 0.0, "assistant", "s")], NODES)
+    assert sorted(r.formatted for r in chat.format_trees(trees).collect())[-1].startswith("<s>[user]")
+
+
 @pytest.mark.parametrize("task_edges", [500_000, 7])
 def test_components(spark, monkeypatch, task_edges):
     """In one task, and in rounds over many."""
