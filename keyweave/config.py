@@ -12,11 +12,13 @@ from dataclasses import MISSING, asdict, dataclass, field, fields, is_dataclass
 from datetime import datetime
 from typing import Any, get_type_hints
 
+#: What the fields of a saved template may hold.
 JOIN_TYPES = ("outer", "left", "right", "inner")
 DATA_TYPES = ("text", "number", "unit_number", "date", "datetime", "boolean", "mixed")
 PICK_POLICIES = ("first", "last", "representative")
 COLLECTION_POLICIES = ("set", "multiset", "aggregate")
 AGGREGATES = ("sum", "mean", "min", "max", "count", "nunique", "first_date", "last_date", "concat_unique", "concat_sorted")
+#: What stands for nothing, after white space and case are gone.
 MISSING_TOKENS = ("", "null", "none", "nan", "n/a", "na", "-")
 
 

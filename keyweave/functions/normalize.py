@@ -29,6 +29,7 @@ _FIRST_NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
 CURRENCY = r"(?i)[₩$€£원]|krw|usd|eur"
 TRUE_WORDS = ("y", "yes", "true", "1", "사용", "활성")
 FALSE_WORDS = ("n", "no", "false", "0", "미사용", "비활성")
+#: A spelled-out date.
 _KOREAN_DATE = r"^(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일$"
 #: Date patterns in the order they are tried; with ``dayfirst`` the two slashed ones change places.
 DATE_PATTERNS = ("yyyy-M-d", "yyyy-M-d H:m[:s[.SSSSSS][.SSS]]", "yyyy-M-d'T'H:m[:s[.SSSSSS][.SSS]][XXX]", "yyyy/M/d", "yyyy/M/d H:m[:s]", "yyyy.M.d", "yyyy.M.d H:m[:s]", "M/d/yyyy", "d/M/yyyy", "M/d/yyyy H:m[:s]", "yyyyMMdd", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy-M", "yyyy")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 VERSION = 1
 #: The largest whole number that every reader of the format holds exactly.
 SAFE = 2**53 - 1
+#: The names of types, and the form of decimals.
 TYPES = ("null", "bool", "string", "int", "float", "decimal", "date", "datetime", "nonfinite", "json")
 _PLAIN_DECIMAL = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?$"
 

@@ -3,7 +3,7 @@
 A spreadsheet file is one task's work; many files are many tasks.  Files are read through Spark, so
 any file system that Spark knows will do, and come out as (__file, __row_no, cells).  Headers may
 repeat, so table columns are named by position (``a_col_0``) and keep the header as metadata.
-For large, well-formed UTF-8 files ``spark.read.csv`` is the reader to use.
+Large, well-formed UTF-8 files are read by ``read_large_csv``, which Spark splits.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keyweave.cluster import ship
+from keyweave.cluster import cut, ship
 from keyweave.functions.normalize import excel_letter, fingerprint
 
 #: Encodings in the order they are tried; the last takes anything.
@@ -279,15 +280,26 @@ class Workbook:
         return raw
 
 
-def file_rows(name: str, payload: bytes, sheet: str | None = None, encoding: str | None = None, delimiter: str | None = None, strict: bool = False) -> list[list[str | None]]:
+def file_rows(name: str, payload: bytes, sheet: str | None = None, encoding: str | None = None, delimiter: str | None = None, strict: bool = False, limits: Limits | None = None, reject_formulas: bool = False) -> list[list[str | None]]:
     if kind_of(name) == "xlsx":
-        return Workbook(payload, STRICT_XLSX if strict else Limits()).rows(sheet)
+        return Workbook(payload, limits or (STRICT_XLSX if strict else Limits()), reject_formulas=reject_formulas).rows(sheet)
     tab = "\t" if name.lower().endswith(".tsv") else None
-    return strict_csv_rows(payload, delimiter or tab or ",") if strict else csv_rows(payload, encoding, delimiter or tab)
+    if strict:
+        return strict_csv_rows(payload, delimiter or tab or ",", limits or STRICT_CSV)
+    if limits and limits.max_bytes is not None and len(payload) > limits.max_bytes:
+        raise SourceError("RESOURCE_LIMIT", f"more than {limits.max_bytes} bytes")
+    rows = csv_rows(payload, encoding, delimiter or tab)
+    if limits:
+        limits.check(len(rows), max(map(len, rows), default=0))
+    return rows
+
 
+def read_grid(spark: SparkSession, path: str, sheet: str | None = None, encoding: str | None = None, delimiter: str | None = None, strict: bool = False, limits: Limits | None = None, reject_formulas: bool = False) -> DataFrame:
+    """(__file, __row_no, cells) of one file or many; row numbers count from 1 in each file.
 
-def read_grid(spark: SparkSession, path: str, sheet: str | None = None, encoding: str | None = None, delimiter: str | None = None, strict: bool = False) -> DataFrame:
-    """(__file, __row_no, cells) of one file or many; row numbers count from 1 in each file."""
+    ``strict`` reads CSV by the stricter rules, with its limits unless ``limits`` says otherwise;
+    ``reject_formulas`` makes a formula in a workbook an error.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     schema = pa.schema([("__file", pa.string()), ("__row_no", pa.int64()), ("cells", pa.list_(pa.string()))])
@@ -295,7 +307,7 @@ def read_grid(spark: SparkSession, path: str, sheet: str | None = None, encoding
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = file_rows(name, payload, sheet, encoding, delimiter, strict)
+                rows = file_rows(name, payload, sheet, encoding, delimiter, strict, limits, reject_formulas)
                 for at in range(0, len(rows), 10_000):
                     part = rows[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(range(at + 1, at + 1 + len(part)), pa.int64()), pa.array(part, pa.list_(pa.string()))], schema=schema)
@@ -383,6 +395,36 @@ def promote(grid: DataFrame, header_row: int = 1, data_start_row: int = 2, side:
 
 
 def load(spark: SparkSession, path: str, header_row: int = 1, data_start_row: int = 2, side: str = "a", sheet: str | None = None, **options) -> Table:
-    """A file as a table; options of ``read_grid`` and ``promote``."""
-    reading = {k: options.pop(k) for k in ("encoding", "delimiter", "strict") if k in options}
-    return promote(read_grid(spark, path, sheet, **reading), header_row, data_start_row, side, **options)
+    """A file as a table; options of ``read_grid`` and ``promote``.
+
+    The grid is written to the shared folder once, so the file is parsed once however often the table is read.
+    """
+    reading = {k: options.pop(k) for k in ("encoding", "delimiter", "strict", "limits", "reject_formulas") if k in options}
+    return promote(cut(read_grid(spark, path, sheet, **reading)), header_row, data_start_row, side, **options)
+
+
+def read_large_csv(spark: SparkSession, path: str, delimiter: str = ",", side: str = "a", multiline: bool = False) -> Table:
+    """Well-formed UTF-8 files with one header line, read by Spark: of any size, and split unless ``multiline``.
+
+    All files have the columns of the first one's header; blank lines aren't rows, and cells that a row
+    lacks read as empty ones, which are texts.  ``__row_no`` counts
+    from 2 in each file, as lines do: the rows of each split are numbered where they are, and only the
+    number of rows of each split is gathered and summed.
+    """
+    first = spark.read.text(path).first()
+    if first is None:
+        raise SourceError("EMPTY_INPUT", "the file is empty")
+    headers = next(csv.reader([first.value.removeprefix("\ufeff")], delimiter=delimiter))
+    seen: dict[str, int] = {}
+    refs = []
+    for i, name in enumerate(headers):
+        seen[name] = seen.get(name, -1) + 1
+        refs.append(ColumnRef(i, excel_letter(i), name, f"{side.lower()}_col_{i}", seen[name]))
+    schema = T.StructType([T.StructField(r.column_id, T.StringType(), metadata={"name": r.name, "letter": r.letter, "index": r.index}) for r in refs])
+    rows = spark.read.schema(schema).csv(path, sep=delimiter, header=True, quote='"', escape='"', multiLine=multiline, enforceSchema=True)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    splits = placed.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__file", "__block", "__first", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
+    numbered = placed.join(offsets, ["__file", "__block"])
+    return Table(numbered.select("__file", (F.col("__at") - F.col("__first") + F.col("__before") + 2).alias("__row_no"), *[F.coalesce(f.name, F.lit("")).alias(f.name, metadata=f.metadata) for f in schema]), refs)

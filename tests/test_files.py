@@ -1,3 +1,4 @@
+import json
 import io
 import zipfile
 
@@ -158,6 +159,41 @@ def test_templates():
             template.load(bad)
 
 
+def test_large_csv_is_split_and_numbered(spark, tmp_path):
+    lines = ["key,value,key"] + [f'{i},"v, ""{i}""",' for i in range(2, 5000)]
+    (tmp_path / "one.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "two.csv").write_text("key,value,key\nx,,y\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        table = grid.read_large_csv(spark, str(tmp_path / "*.csv"))
+        rows = table.df.collect()
+        assert spark.read.text(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    one = [r for r in rows if r["__file"].endswith("one.csv")]
+    assert sorted(r["__row_no"] for r in one) == list(range(2, 5000)) and all(r.a_col_0 == str(r["__row_no"]) and r.a_col_1 == f'v, "{r.a_col_0}"' and r.a_col_2 == "" for r in one)
+    assert [(r["__row_no"], r.a_col_0, r.a_col_1, r.a_col_2) for r in rows if r["__file"].endswith("two.csv")] == [(2, "x", "", "y")]
+    assert table.column("key", 1) == "a_col_2" and table.df.schema["a_col_1"].metadata["name"] == "value"
+
+
+def test_limits_and_bounds(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n3,4\n")
+    path = str(tmp_path / "x.csv")
+    with pytest.raises(Exception, match="RESOURCE_LIMIT"):
+        grid.load(spark, path, limits=grid.Limits(max_rows=2))
+    for strict, rows, cells in ((False, 2, 5), (True, 1, 3)):  # the stricter dialect counts rows without the header
+        for limits in (grid.Limits(max_rows=rows), grid.Limits(max_columns=1), grid.Limits(max_cells=cells), grid.Limits(max_bytes=3)):
+            with pytest.raises(grid.SourceError, match="RESOURCE_LIMIT"):
+                grid.file_rows("x.csv", (tmp_path / "x.csv").read_bytes(), limits=limits, strict=strict)
+    assert grid.load(spark, path, limits=grid.Limits(max_rows=3, max_cells=6)).df.count() == 2
+    rows = spark.range(5)
+    assert sinks.csv_text(rows, most=5).count("\n") == 6 and json.loads(sinks.json_text(rows, most=5))[4] == {"id": 4}
+    for export in (sinks.csv_text, sinks.json_text):
+        with pytest.raises(ValueError, match="write_csv"):
+            export(rows, most=4)
+
+
 def test_projection(spark):
     df = spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
     assert template.rename_columns(df, {"a": "x"}).columns == ["x"]
