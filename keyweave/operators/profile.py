@@ -28,12 +28,15 @@ def _values(df: DataFrame, order: bool = False) -> DataFrame:
 def profile_table(df: DataFrame) -> DataFrame:
     """(row_count, column_count, empty_rows, empty_columns, duplicate_rows): every row of a group of equal rows is a duplicate."""
     names = df.columns
-    present = lambda c: F.col(c).isNotNull()
-    groups = df.groupBy(*names).agg(F.count("*").alias("__n"))
-    nothing = ~F.greatest(*[present(c).cast("int") for c in names], F.lit(0), F.lit(0)).cast("boolean")
+    cells = [F.to_json(F.col(f"`{c}`")) if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]
+    present = [c.isNotNull() for c in cells]
+    # rows are told apart by 128 bits, nulls by their places: whole rows aren't shuffled
+    marks = [F.xxhash64(F.lit(seed), *cells, *present).alias(name) for seed, name in ((1, "__a"), (2, "__b"))]
+    groups = df.select(*marks, *[x.alias(f"__has{i}") for i, x in enumerate(present)]).groupBy("__a", "__b").agg(F.count("*").alias("__n"), *[F.bool_or(f"__has{i}").alias(f"__has{i}") for i in range(len(names))])
+    nothing = ~F.greatest(*[F.col(f"__has{i}").cast("int") for i in range(len(names))], F.lit(0), F.lit(0)).cast("boolean")
     counted = groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.when(nothing, F.col("__n"))), F.lit(0)).alias("empty_rows"), F.coalesce(F.sum(F.when(F.col("__n") > 1, F.col("__n"))), F.lit(0)).alias("duplicate_rows"),
-        *[F.coalesce(F.bool_or(present(c)), F.lit(False)).alias(f"__has{i}") for i, c in enumerate(names)],
+        *[F.coalesce(F.bool_or(f"__has{i}"), F.lit(False)).alias(f"__has{i}") for i in range(len(names))],
     )
     empty = sum((F.when(F.col(f"__has{i}"), 0).otherwise(1) for i in range(len(names))), F.lit(0))
     return counted.select(F.col("row_count").cast("long").alias("row_count"), F.lit(len(names)).cast("long").alias("column_count"), F.col("empty_rows").cast("long").alias("empty_rows"), empty.cast("long").alias("empty_columns"), F.col("duplicate_rows").cast("long").alias("duplicate_rows"))

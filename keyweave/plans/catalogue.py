@@ -527,3 +527,22 @@ def scalar_decode(spark, sf_dir):
     made = F.struct(F.lit(1).alias("version"), F.expr(_SCALAR).alias("type"), F.expr(_RAW).alias("value"))
     tagged = table(spark, sf_dir, "orders").select("o_orderkey", made.alias("s"))
     return tagged.select("o_orderkey", scalar.valid(F.col("s")).alias("ok"), *[scalar.decode(F.col("s"), kind).alias(kind[0]) for kind in ("int", "float", "bool", "string", "date")])
+
+
+_WIDE = "SELECT concat('c', c_custkey) AS canonical, concat('a', c_custkey) AS a1, concat('B', CAST(floor(c_custkey / 2) AS INT)) AS a2, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('A', c_custkey) END AS a3 FROM customer"
+
+
+def wide_mapping(spark, sf_dir) -> mapping.Mapping:
+    """A mapping of one group for each customer: shared, repeated and empty alias cells."""
+    wide = table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS canonical", "concat('a', c_custkey) AS a1", "concat('B', CAST(floor(c_custkey / 2) AS INT)) AS a2", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('A', c_custkey) END AS a3")
+    return mapping.build(mapping.groups_from_wide(wide, "canonical", all_other_columns=True), KeyOptions(case_insensitive=True, unicode_normalize=False))
+
+
+@query(f"SELECT alias, min(canonical) AS canonical FROM (SELECT lower(unnest([canonical, a1, a2, a3])) AS alias, canonical FROM ({_WIDE})) WHERE alias IS NOT NULL GROUP BY alias HAVING count(DISTINCT canonical) = 1")
+def mapping_pairs_of_table(spark, sf_dir):
+    return wide_mapping(spark, sf_dir).pairs.select("alias", "canonical")
+
+
+@query(f"SELECT count(*) AS canonical_count, count(*) FILTER (WHERE a3 IS NULL) AS empty_alias_cell_count, CAST(sum(CASE WHEN a3 IS NULL THEN 2 ELSE 3 END) AS BIGINT) AS alias_count, count(*) FILTER (WHERE a3 IS NOT NULL) AS duplicate_alias_count, (SELECT count(*) FROM (SELECT a2 FROM ({_WIDE}) GROUP BY a2 HAVING count(*) > 1)) AS collision_alias_count FROM ({_WIDE})")
+def mapping_stats_of_table(spark, sf_dir):
+    return wide_mapping(spark, sf_dir).stats.select("canonical_count", "empty_alias_cell_count", "alias_count", "duplicate_alias_count", "collision_alias_count")
