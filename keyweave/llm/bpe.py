@@ -32,6 +32,8 @@ LEXICON_WORDS = 1 << 16
 LEXICON_LETTERS = 48
 #: Words that the counts and the memory of a worker hold at most before they are emptied.
 HELD_WORDS = 400_000
+#: Letters of the texts whose words are counted together: what words of any length hold.
+HELD_LETTERS = 1 << 26
 #: Longer words are merged one by one.
 MATRIX_WIDTH = 40
 
@@ -307,17 +309,21 @@ def count_words(docs: DataFrame, special: Iterable[str], text: str = "text") ->
     special = tuple(special)
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
+    def told(counts: Counter) -> pa.RecordBatch:
+        short = [(w, n) for w, n in counts.items() if len(w) <= LEXICON_LETTERS]
+        return batch_of(schema, word=[w for w, _ in short], n=[n for _, n in short])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = Splitter(special), Counter()
+        split, counts, read = Splitter(special), Counter(), 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 if x:
-                    counts.update(w for w in split(x) if len(w) <= LEXICON_LETTERS)
-            if len(counts) > HELD_WORDS:
-                yield batch_of(schema, word=list(counts), n=list(counts.values()))
-                counts = Counter()
-        if counts:
-            yield batch_of(schema, word=list(counts), n=list(counts.values()))
+                    counts.update(split(x))
+                    read += len(x)
+                    if len(counts) > HELD_WORDS or read > HELD_LETTERS:
+                        yield told(counts)
+                        counts, read = Counter(), 0
+        yield told(counts)
 
     return map_batches(docs.select(F.col(text).cast("string").alias("text")), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
