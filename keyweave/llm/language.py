@@ -23,6 +23,7 @@ from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, text
 
 #: The training sample, for each language: so many texts, the first by a hash of the id; so many characters of each; so many bytes in all.
 TRAINING_TEXTS, TRAINING_CHARS, DICTIONARY_BYTES = 64, 8192, 48 << 10
+PARTS = 64
 PIECE_BYTES = 4096
 #: Texts below this are compressed with more effort.
 SHORT_BYTES = 512
@@ -55,7 +56,11 @@ def training_sample(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     keyed = usable.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.col(lang).alias("lang"), (~size.between(200, TRAINING_CHARS)).cast("int").alias("odd"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
     first = Window.partitionBy("lang").orderBy("odd", "h", "id", "t")
     # one row of each id and text, so that copies of one don't use up a language's texts
-    chosen = keyed.groupBy("lang", "id", "t", "h").agg(F.min("odd").alias("odd")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts).select("lang", "id", "t")
+    single = keyed.groupBy("lang", "id", "t", "h").agg(F.min("odd").alias("odd"))
+    # the first of each part of a language before the first of all: no task is given more than PARTS times ``texts`` of them
+    part = Window.partitionBy("lang", "part").orderBy("odd", "h", "id", "t")
+    some = single.withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(PARTS))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= texts)
+    chosen = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= texts).select("lang", "id", "t")
     rows = usable.select(F.col(lang).alias("lang"), F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.substring(text, 1, TRAINING_CHARS).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("h")).join(F.broadcast(chosen), ["lang", "id", "t"]).groupBy("lang", "id", "t", "h").agg(F.min("text").alias("text")).collect()
     content: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
