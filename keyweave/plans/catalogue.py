@@ -100,7 +100,10 @@ def summary_by_status(spark, sf_dir):
     return reconcile.summary(perturbed(spark, sf_dir)).select(F.explode("by_status").alias("status", "n"))
 
 
-@query("SELECT 'IDENTICAL' AS status, count(*) AS n FROM orders")
+_EQUALS = "CASE WHEN {a} = {b} THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count"
+
+
+@query("SELECT CASE e WHEN 3 THEN 'IDENTICAL' WHEN 0 THEN 'FULL_MISMATCH' ELSE 'PARTIAL_MISMATCH' END AS status, count(*) AS n FROM (SELECT CAST(a.o_totalprice = b.o_totalprice AS INT) + CAST(CAST(a.o_orderdate AS DATE) = CAST(b.o_orderdate AS DATE) AS INT) + CAST(trim(a.o_orderpriority) = trim(b.o_orderpriority) AS INT) AS e FROM orders a FULL OUTER JOIN orders b ON a.o_orderkey = b.o_orderkey) GROUP BY 1")
 def recon_identical(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return run(orders, orders, "o_orderkey", [rule("o_totalprice"), rule("o_orderdate", kind="date", rule_id="r2"), rule("o_orderpriority", kind="text", rule_id="r3")]).groupBy("status").agg(F.count("*").alias("n"))
@@ -266,14 +269,17 @@ for _name, _method, _equal, _options in (
     query(f"SELECT CAST(o_orderkey AS VARCHAR) AS key_display, CASE WHEN {_equal} THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 6 AS INTEGER) AS shift FROM orders)", f"recon_dates_{_name}")(_dates)
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS key_display, CASE WHEN event_id % 5 = 4 THEN 'CONVERSION_FAILED' WHEN event_id % 2 = 0 THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM events")
+_BOOLEAN = "CASE WHEN lower(trim({v})) IN ('y', 'yes', 'true', '1') THEN true WHEN lower(trim({v})) IN ('n', 'no', 'false', '0') THEN false END"
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS key_display, CASE WHEN x IS NULL OR y IS NULL THEN 'CONVERSION_FAILED' WHEN x = y THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM (SELECT event_id, {_BOOLEAN.format(v='a')} AS x, {_BOOLEAN.format(v='b')} AS y FROM (SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'maybe' WHEN event_id % 2 = 0 THEN ' Yes' ELSE 'N' END AS a, '1' AS b FROM events))")
 def recon_bool(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id")
     a = rows.withColumn("v", F.expr("CASE WHEN event_id % 5 = 4 THEN 'maybe' WHEN event_id % 2 = 0 THEN ' Yes' ELSE 'N' END"))
     return outcome(run(a, rows.withColumn("v", F.lit("1")), "event_id", [rule("v", kind="boolean")]))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS key_display, CASE WHEN p_partkey % 9 = 0 THEN 'CONVERSION_FAILED' WHEN p_partkey % 4 = 0 THEN 'FULL_MISMATCH' ELSE 'IDENTICAL' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key_display, CASE WHEN x IS NULL THEN 'CONVERSION_FAILED' WHEN x = b THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM (SELECT p_partkey, TRY_CAST(regexp_extract(regexp_replace(a, '[,₩원\\s]', '', 'g'), '[-+]?[0-9]+([.][0-9]*)?') AS DOUBLE) AS x, b FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'unknown' ELSE '₩' || format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) || '원 each' END AS a, floor(p_retailprice) + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS b FROM part))")
 def recon_unit_number(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.floor("p_retailprice").alias("v"))
     a = rows.select("p_partkey", F.expr("CASE WHEN p_partkey % 9 = 0 THEN 'unknown' ELSE concat('₩', format_number(v, 0), '원 each') END").alias("v"))
@@ -289,7 +295,7 @@ def recon_null_policy(spark, sf_dir):
     return outcome(run(a, b, "c_custkey", [rule("v", null_policy=policy)]), first_rule("reason"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS key_display, CASE WHEN c_custkey % 3 = 2 THEN 'FULL_MISMATCH' ELSE 'IDENTICAL' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM customer")
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS key_display, {_EQUALS.format(a='lower(trim(a))', b="lower(trim(replace(b, chr(10), ' ')))")} FROM (SELECT c_custkey, c_name AS a, CASE c_custkey % 3 WHEN 0 THEN '  ' || upper(c_name) || ' ' WHEN 1 THEN lower(c_name) || chr(10) ELSE c_name || '!' END AS b FROM customer)")
 def recon_text_methods(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("v"))
     b = rows.withColumn("v", F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('  ', upper(v), ' ') WHEN 1 THEN concat(lower(v), chr(10)) ELSE concat(v, '!') END"))
@@ -305,7 +311,7 @@ def recon_blank_keys(spark, sf_dir):
     return outcome(run(rows, rows, "k", [rule("c_acctbal")]))
 
 
-@query("SELECT lower(n_name) || ' | ' || CAST(n_nationkey AS VARCHAR) AS key_display, 'IDENTICAL' AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM nation")
+@query(f"SELECT coalesce(a.k, b.k) AS key_display, {_EQUALS.format(a='a.v', b='b.v')} FROM (SELECT lower(trim(replace('  ' || upper(n_name) || chr(10), chr(10), ' '))) || ' | ' || regexp_replace(n_nationkey || '.0', '[.]0$', '') AS k, n_regionkey AS v FROM nation) a FULL OUTER JOIN (SELECT lower(trim(lower(n_name))) || ' | ' || CAST(n_nationkey AS VARCHAR) AS k, n_regionkey AS v FROM nation) b ON a.k = b.k")
 def recon_key_norm(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select("n_name", "n_nationkey", "n_regionkey")
     a = nation.select(F.expr("concat('  ', upper(n_name), chr(10))").alias("k1"), F.expr("concat(n_nationkey, '.0')").alias("k2"), "n_regionkey")
@@ -313,7 +319,7 @@ def recon_key_norm(spark, sf_dir):
     return outcome(run(a, b, ["k1", "k2"], [rule("n_regionkey")], key_options=KeyOptions(case_insensitive=True)))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS key_display, 'IDENTICAL' AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count FROM customer")
+@query(f"SELECT coalesce(a.k, b.k) AS key_display, {_EQUALS.format(a='a.v', b='b.v')} FROM (SELECT CAST(CAST(CAST('0' || c_custkey || '.00' AS DOUBLE) AS BIGINT) AS VARCHAR) AS k, c_acctbal AS v FROM customer) a FULL OUTER JOIN (SELECT CAST(c_custkey AS VARCHAR) AS k, c_acctbal AS v FROM customer) b ON a.k = b.k")
 def recon_key_numeric(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     a = rows.select(F.expr("concat('0', c_custkey, '.00')").alias("k"), "c_acctbal")
