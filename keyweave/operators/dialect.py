@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyweave.config import Comparison, ConfigError, Dataset, DuplicatePolicy, KeyMapping, KeyOptions, NullPolicy, Rule, Tolerance
-from keyweave.functions.compare import EQUAL
+from keyweave.config import COLLECTION_POLICIES, Comparison, ConfigError, Dataset, DuplicatePolicy, KeyMapping, KeyOptions, NullPolicy, Rule, Tolerance
+from keyweave.functions.compare import EQUAL, FAILED
 from keyweave.functions.normalize import as_text, strip
 from keyweave.operators.reconcile import FLAGS, lookup, reconcile, with_row_id
 
@@ -87,10 +87,11 @@ def typed_key(df: DataFrame, keys: list[str], fold: bool = False) -> Column:
     return F.when(whole, F.to_json(F.array(*parts)))
 
 
-def compare_typed(a: DataFrame, b: DataFrame, options: Options, order_a: str | None = None, order_b: str | None = None) -> DataFrame:
+def compare_typed(a: DataFrame, b: DataFrame, options: Options, order_a: str | None = None, order_b: str | None = None, with_trace: bool = False) -> DataFrame:
     """(key, status, flags, a_count, b_count, rules, rates, row_id): one row per key, then one for each row with a blank key.
 
-    ``rates`` holds each rule's difference over its own side's value, for A and for B.
+    ``rates`` holds each rule's difference over its own side's value, for A and for B; ``with_trace``
+    adds what each row's key came from.
     """
     if options.policy not in POLICIES:
         raise ConfigError(f"policy {options.policy!r} isn't one of {', '.join(POLICIES)}")
@@ -108,21 +109,45 @@ def compare_typed(a: DataFrame, b: DataFrame, options: Options, order_a: str | N
         picks = column or first if options.policy == "representative" else None
         settings.append((Dataset(key_columns=keys if mapped else [KEY], key_normalization=KeyOptions(case_insensitive=options.case_insensitive_keys) if mapped else KeyOptions(unicode_normalize=False, strip_numeric_dot_zero=False), key_mappings=options.mappings if mapped else {}), DuplicatePolicy(side, "error" if options.policy == "report" else options.policy, picks, "desc")))
     config = Comparison(settings[0][0], settings[1][0], "outer", settings[0][1], settings[1][1], "error" if options.policy == "report" else options.policy, options.rules)
-    result = reconcile(*sides, config, key_only=not options.rules, nm_picks=True, drop_nulls=True)
+    result = reconcile(*sides, config, key_only=not options.rules, nm_picks=True, drop_nulls=True, with_trace=with_trace)
     matched = F.forall("rules", lambda x: x.status == EQUAL)
     status = F.coalesce(lookup(STATUSES, F.col("status")), F.when(matched, "matched").otherwise("changed"))
     repeated = (F.col("a_count") > 1) | (F.col("b_count") > 1)
     flags = F.col("flags").bitwiseOR(F.when(F.col("status") == "NM_PENDING", FLAGS["STRUCTURAL_BLOCK"]).when((F.col("status") == "CONVERSION_FAILED") & repeated, FLAGS["DUPLICATE"]).otherwise(0))
     rates = F.transform("rules", lambda x: F.struct(F.try_divide(x.absolute_difference, F.abs(x.normalized_a.try_cast("double"))).alias("a"), F.try_divide(x.absolute_difference, F.abs(x.normalized_b.try_cast("double"))).alias("b")))
-    keyed = result.select(F.col("key_display").alias("key"), status.alias("status"), flags.alias("flags"), "a_count", "b_count", "rules", rates.alias("rates"), F.lit(None).cast("long").alias("row_id"))
+    keyed = result.select(F.col("key_display").alias("key"), status.alias("status"), flags.alias("flags"), "a_count", "b_count", "rules", rates.alias("rates"), F.lit(None).cast("long").alias("row_id"), *(["key_trace_a", "key_trace_b"] if with_trace else []))
     invalid = blanks[0].unionByName(blanks[1]).select(F.lit(None).cast("string").alias("key"), F.lit(INVALID).alias("status"), F.lit(FLAGS["INVALID_KEY"] | FLAGS["STRUCTURAL_BLOCK"]).alias("flags"), (F.col("side") == "A").cast("long").alias("a_count"), (F.col("side") == "B").cast("long").alias("b_count"), "row_id")
     return keyed.unionByName(invalid, allowMissingColumns=True)
 
 
 def dialect_view(result: DataFrame, status: str | None = None, key: str | None = None) -> DataFrame:
-    """The result narrowed to a status and to keys that hold a text, in any case."""
+    """The result narrowed to a status and to keys that hold a text, in any case; where it has traces, to what keys came from too."""
     out = result.where(F.col("status") == status) if status else result
-    return out.where(F.contains(F.lower(F.coalesce("key", F.lit(""))), F.lit(key.lower()))) if key else out
+    if not key:
+        return out
+    traces = [_traced(side, name, out.columns) for side in ("a", "b") for name in ("original", "normalized", "standard", "canonical") if f"key_trace_{side}" in out.columns]
+    return out.where(F.contains(F.lower(F.concat_ws("\n", "key", *traces)), F.lit(key.lower())))
+
+
+def shown_values(result: DataFrame, policy: str = "report", method: str = "sum") -> DataFrame:
+    """(key, status, shown_a, shown_b): the values of each side as they are read: ``v × n`` in multisets, counts with their unit, a stroke between rules."""
+    unit = {"count": "건", "nunique": "개"}.get(method, "") if policy == "aggregate" else ""
+
+    def side(name: str) -> Column:
+        def one(x: Column) -> Column:
+            values = F.from_json(x[f"original_{name}"], "array<struct<value:string,count:bigint>>")
+            if policy == "multiset":
+                return F.array_join(F.transform(values, lambda v: F.concat(F.coalesce(v.value, F.lit("-")), F.lit(" × "), F.format_number(v["count"], 0))), ", ")
+            if policy == "set":
+                return F.array_join(F.transform(values, lambda v: F.coalesce(v.value, F.lit("-"))), ", ")
+            if policy == "aggregate":
+                return F.when(x.status == FAILED, "계산할 수 없음").otherwise(F.concat(x[f"normalized_{name}"], F.lit(unit)))
+            return x[f"original_{name}"]
+
+        parts = F.filter(F.transform("rules", one), lambda t: t.isNotNull() & (t != ""))
+        return F.when(F.size(parts) > 0, F.array_join(F.array_distinct(parts) if policy not in COLLECTION_POLICIES else parts, " / ")).otherwise("-")
+
+    return result.select("key", "status", side("a").alias("shown_a"), side("b").alias("shown_b"))
 
 
 #: Columns and sheets of this dialect's exports.

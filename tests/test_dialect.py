@@ -1,7 +1,7 @@
 import pytest
 
 from keyweave.config import ConfigError, KeyMapping
-from keyweave.operators.dialect import Options, boolean, compare_typed, day, dialect_view, number, text
+from keyweave.operators.dialect import Options, boolean, compare_typed, day, dialect_view, number, shown_values, text
 from keyweave.operators.reconcile import FLAGS
 
 SCHEMA = "id string, value string"
@@ -86,3 +86,13 @@ def test_template_on_new_headers():
     for headers, change, code in ((["Id"], {}, "STALE_TEMPLATE_COLUMN"), (["Id", "Value", "VALUE"], {"keyColumns": ["id", "id"]}, "DUPLICATE_KEY_COLUMN"), (["Id", "Value", "VALUE"], {"compareColumns": [9]}, "STALE_TEMPLATE_COLUMN"), (["Id"], {"version": 1}, "UNSUPPORTED_TEMPLATE_VERSION")):
         fitted, problems = fit_template(headers, template | change)
         assert fitted is None and problems[0][0] == code
+
+
+def test_shown_values_and_search_in_mapping_text(spark):
+    a, b = [("x", "1"), ("x", "1"), ("x", "2"), ("y", "5")], [("x", "1"), ("x", "2")]
+    show = lambda policy, method="sum": {r.key: (r.shown_a, r.shown_b) for r in shown_values(run(spark, a, b, [number("value")], duplicate_policy=policy), policy, method).collect()}
+    assert show("multiset")[key("x")] == ("1.0 × 2, 2.0 × 1", "1.0 × 1, 2.0 × 1") and show("set")[key("x")] == ("1.0, 2.0", "1.0, 2.0")
+    assert show("aggregate")[key("x")] == ("4.0", "3.0") and show("report")[key("y")] == ("-", "-")
+    options = Options(["id"], rules=[text("value")], mappings={"id": KeyMapping(enabled=True, groups={"Main": ["Alias One"]})})
+    found = compare_typed(spark.createDataFrame([("Alias One", "v"), ("other", "v")], SCHEMA), spark.createDataFrame([("Main", "v")], SCHEMA), options, with_trace=True)
+    assert dialect_view(found, key="alias one").count() == 1 and dialect_view(found, key="MAIN").count() == 1 and dialect_view(found, key="oth").count() == 1
