@@ -148,6 +148,52 @@ FROM e GROUP BY conv_id
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from keyweave.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > first_id, false)} AS x
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+fails AS (SELECT row_number() OVER () AS r, part, good, toxic, concat(CASE WHEN x.A THEN 'A' ELSE '' END, CASE WHEN x.B THEN 'B' ELSE '' END, CASE WHEN x.C THEN 'C' ELSE '' END, CASE WHEN x.D THEN 'D' ELSE '' END, CASE WHEN x.E THEN 'E' ELSE '' END) AS failed FROM f),
+cells AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM fails GROUP BY part, failed),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS c, n, n_good, n_toxic, failed,
+             contains(failed, substr(filter_order, step, 1)) AS now, len(list_intersect(string_split(failed, ''), string_split(substr(filter_order, 1, step - 1), ''))) > 0 AND failed <> '' AND step > 1 AS before
+      FROM cells, steps),
+m AS (SELECT part, filter_order, step, c, sum(n) FILTER (WHERE NOT before AND NOT now) AS kept, sum(n) FILTER (WHERE NOT before AND now) AS removed, sum(n) FILTER (WHERE before AND now) AS redundant,
+             sum(n) FILTER (WHERE failed = c) AS unique_fails, sum(n_good) FILTER (WHERE NOT before AND now) AS good_lost, sum(n_toxic) FILTER (WHERE NOT before AND now) AS toxic_lost
+      FROM s GROUP BY part, filter_order, step, c)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM m
+"""
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyweave.llm.pages import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -159,5 +205,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_alignment": op11_alignment,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_main_text": op13_main_text,
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _license_sql(), "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_license_scan": _license_sql(), "op6_decontamination": OP6_SQL, "op10_chat_format": OP10_SQL, "op12_filter_audit": OP12_SQL}

@@ -317,3 +317,115 @@ def read_subframe(r, size, width):
                 e = u >> 1 if not u & 1 else -(u + 1 >> 1)
             x.append(e + (sum(c * x[-1 - j] for j, c in enumerate(weights)) >> shift))
     return [v << wasted for v in x]
+
+
+def alignment(texts, path_a, path_b):
+    """Rows of op11 by the two libraries on whole texts, one text after another."""
+    import hashlib
+    from collections import Counter
+
+    import sentencepiece
+    import tokenizers
+
+    from keyweave.llm.bpe import _byte_letters
+
+    first = tokenizers.Tokenizer.from_file(path_a)
+    first.encode_special_tokens = True
+    second, letters = sentencepiece.SentencePieceProcessor(model_file=path_b), _byte_letters()
+    told, documents = [], Counter()
+    for text in texts:
+        raw = (" " + (text or "")).encode()
+        a = first.encode(raw.decode(), add_special_tokens=False).ids if text else []
+        b = second.encode(text) if text else []
+        bytes_a = [bytes(letters[x] for x in first.id_to_token(i)) for i in a]
+        bytes_b = [bytes([int(second.id_to_piece(i)[3:5], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if not text or b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+            told.append(None)
+            continue
+        groups, i, j, end_a, end_b = [([], [])], 0, 0, 0, 0
+        while i < len(a) or j < len(b):
+            if end_a <= end_b and i < len(a):
+                groups[-1][0].append(a[i])
+                end_a += len(bytes_a[i])
+                i += 1
+            else:
+                groups[-1][1].append(b[j])
+                end_b += len(bytes_b[j])
+                j += 1
+            if end_a == end_b:
+                groups.append(([], []))
+        groups.pop()
+        links = Counter((x, y) for xs, ys in groups for x in xs for y in ys)
+        documents.update(links.keys())
+        told.append((len(a), len(b), groups, links))
+    top = {}
+    for (x, _), n in documents.items():
+        top[x] = max(top.get(x, 0), n)
+    for row in told:
+        if row is None:
+            yield (0, 0, 0, 0, 0, 0, "")
+            continue
+        n_a, n_b, groups, links = row
+        written = ";".join(f"{','.join(map(str, xs))}|{','.join(map(str, ys))}" for xs, ys in groups)
+        best = sum(n for pair, n in links.items() if documents[pair] == top[pair[0]])
+        yield (n_a, n_b, len(groups), sum(links.values()), best, sum(n * documents[pair] for pair, n in links.items()), hashlib.sha256(written.encode()).hexdigest())
+
+
+def audit(rows, labels):
+    """Rows of op12: every order applied to every document in turn."""
+    import re
+    from collections import defaultdict
+    from itertools import permutations
+
+    def failures(i, text):
+        found = re.findall(r"[^\x20\x09-\x0D]+", text)
+        tests = (len(found) < 200, 100 * len(set(found)) < 50 * len(found), 100 * len(re.findall("[A-Z]", text)) > 2 * len(text), bool(re.search(r"[#$%&*|]", text)), i is not None and any(j is not None and j < i and (t or "") == text for j, t, _ in rows))
+        return {x for x, failed in zip("ABCDE", tests, strict=True) if failed}
+
+    good, toxic = ({i for i, *marks in labels if i is not None and marks[k] == 1} for k in (0, 1))
+    out, names = defaultdict(lambda: [0] * 7), ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
+    for i, text, part in rows:
+        failed = failures(i, text or "")
+        for order in map("".join, permutations("ABCDE")):
+            gone = False
+            for step, x in enumerate(order, 1):
+                cell = out[part or "", order, step]
+                now = x in failed
+                for k, hit in enumerate((not gone and not now, not gone and now, gone and now, failed == {x}, not gone and now and i in good, not gone and now and i in toxic)):
+                    cell[k] += hit
+                gone |= now
+    totals = defaultdict(int)
+    for (part, order, step), cell in out.items():
+        totals[part, order[step - 1]] += cell[names.index("removed")]
+    return sorted((*key, *cell[:6], totals[key[0], key[1][key[2] - 1]]) for key, cell in out.items())
+
+
+def article(page):
+    """The blocks of the first article element, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag in ("p", "h1", "article"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "\n\n".join(x for x in (" ".join(b.split()) for b in reader.blocks) if x)
