@@ -23,6 +23,8 @@ from keyweave.llm.textkit import WIDE_SLICE, batch_of, map_batches, slices, text
 
 #: The training sample, for each language: so many texts, the first by a hash of the id; so many characters of each; so many bytes in all.
 TRAINING_TEXTS, TRAINING_CHARS, DICTIONARY_BYTES = 64, 8192, 48 << 10
+#: Languages at most: with the bounds above it limits what reaches the driver (128 MB) and each task (12 MB of dictionaries).
+MAX_LANGUAGES = 256
 PARTS = 64
 PIECE_BYTES = 4096
 #: Texts below this are compressed with more effort.
@@ -49,9 +51,13 @@ def training_sample(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     Ids are chosen without their texts: for each language the first by hash among texts of 200 to
     TRAINING_CHARS characters, then among the others.  Of a longer text the first TRAINING_CHARS
-    characters are learned; predictions read whole texts.
+    characters are learned; predictions read whole texts.  More than MAX_LANGUAGES values of ``lang``
+    are an error: no language is left out.
     """
     usable = docs.where(F.coalesce(~held_out(id_column), F.lit(False)) & F.col(lang).isNotNull() & (F.length(text) > 0))
+    shares = {r.lang: r.n for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(shares) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages to learn: {lang} must hold languages")
     size = F.length(text)
     keyed = usable.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t"), F.col(lang).alias("lang"), (~size.between(200, TRAINING_CHARS)).cast("int").alias("odd"), F.xxhash64(F.col(id_column).cast("string")).alias("h"))
     first = Window.partitionBy("lang").orderBy("odd", "h", "id", "t")
@@ -70,7 +76,6 @@ def training_sample(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # a longer dictionary would win by its length alone: shorter ones are repeated up to the longest
     room = max(map(len, content.values()), default=0)
     content = {k: (v * -(-room // len(v)))[:room] for k, v in content.items()}
-    shares = {r.lang: r.n for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()} if content else {}
     return dict(sorted(content.items(), key=lambda x: (-shares[x[0]], x[0])))
 
 

@@ -1,10 +1,12 @@
 """License scans: exact containment join of license texts with blocks of documents.
 
-A template's blocks are all runs of words of a text that are half as long again as the template (room
+A label may have several templates: the license text, the sentence that authors put in its place, and
+its SPDX line.  A template's blocks are all runs of words of a text that are half as long again as the template (room
 for names, bullets and comment signs), or the whole text where that is shorter.  A template with n
-distinct words is found in a block that holds at least ``threshold`` * n of them, and as large a share
-of its telling words, which stand in no other template: so that a text alike in wording alone, or
-under another license's name, isn't taken for it.
+distinct words meets a block that holds at least ``threshold`` * n of them.  Its label is given if a
+block holds as large a share of its telling words too, which stand in no template of another label: so
+that a text alike in wording alone, or under another license's name, isn't taken for it.  What meets
+the threshold without them is told in a column of its own, or labelled with ``telling=False``.
 
 Words are ordered by how rare they are in the corpus.  A run can only meet the threshold if it holds
 one of the n - ceil(threshold * n) + 1 rarest words of the template (prefix filter).  Around each of
@@ -46,6 +48,17 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
     "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
 }
+#: Sentences that name a license, and names of the SPDX list.  What stands behind ``#`` tells templates of one label apart.
+NOTICES = {
+    "apache-2.0#named": "licensed under the apache license version 2 0",
+    "cc-by-nc-4.0#named": "licensed under cc by nc 4 0",
+    "cc-by-sa-4.0#named": "licensed under cc by sa 4 0",
+    "gpl-notice#named": "this work is licensed under the gnu general public license version 3",
+    "mit#named": "released under the mit license",
+    "mpl-2.0#named": "licensed under the mozilla public license version 2 0",
+}
+SPDX = {"apache-2.0": "apache 2 0", "bsd": "bsd 3 clause", "boost": "bsl 1 0", "cc-by-nc-4.0": "cc by nc 4 0", "cc-by-sa-4.0": "cc by sa 4 0", "cc0": "cc0 1 0", "gpl-notice": "gpl 3 0", "isc": "isc", "mit": "mit", "mpl-2.0": "mpl 2 0", "unlicense": "unlicense", "zlib": "zlib"}
+TEMPLATES |= NOTICES | {f"{label}#spdx": f"spdx license identifier {name}" for label, name in SPDX.items()}
 THRESHOLD = 0.8
 #: A block's words for each word of its template.
 ROOM = 1.5
@@ -62,9 +75,14 @@ def run_words(template: str) -> int:
 
 
 def telling_words(templates: dict[str, str]) -> dict[str, set[str]]:
-    """The words of each template that stand in no other."""
-    sets = {label: set(body.split()) for label, body in templates.items()}
-    return {label: words - set().union(*(other for name, other in sets.items() if name != label)) for label, words in sets.items()}
+    """The words of each template that stand in none of another label."""
+    sets = {name: set(body.split()) for name, body in templates.items()}
+    return {name: words - set().union(*(other for n, other in sets.items() if label_of(n) != label_of(name))) for name, words in sets.items()}
+
+
+def label_of(name: str) -> str:
+    """The label of a template's name."""
+    return name.partition("#")[0]
 
 
 def _hash_of(word: str) -> int:
@@ -119,7 +137,7 @@ class _Template:
 
     def __init__(self, label: str, body: str, telling: set[str], rank_of: dict[str, int], threshold: float):
         tokens = sorted({rank_of[w] for w in body.split()})
-        self.label, self.size, self.need, self.run = label, len(tokens), needed(len(tokens), threshold), run_words(body)
+        self.label, self.size, self.need, self.run = label_of(label), len(tokens), needed(len(tokens), threshold), run_words(body)
         self.position = np.full(len(rank_of), -1)
         self.position[tokens] = np.arange(len(tokens))
         self.prefix = tokens[: self.size - self.need + 1]
@@ -127,10 +145,10 @@ class _Template:
         self.telling[self.position[[rank_of[w] for w in telling]] if telling else []] = True
         self.need_telling = needed(int(self.telling.sum()), threshold)
 
-    def best(self, at: np.ndarray, position: np.ndarray) -> int:
-        """The most distinct words that any run holds, 0 under what is needed; ``at``: places of its words in one text."""
+    def best(self, at: np.ndarray, position: np.ndarray) -> tuple[int, int]:
+        """The most distinct words that any run holds, and any with its telling words; 0 under what is needed.  ``at``: places of its words in one text."""
         if len(np.unique(position)) < self.need:
-            return 0
+            return 0, 0
         first = np.searchsorted(at, at - self.run, side="right")
         last = np.searchsorted(at, at + self.run)
         near = np.zeros(len(at), bool)
@@ -140,7 +158,7 @@ class _Template:
             if len(np.unique(around[around >= position[i]])) >= self.need:
                 near[first[i] : last[i]] = True
         held = np.zeros(self.size, np.int64)
-        n = telling = start = best = 0
+        n = telling = start = best = told = 0
         for i, p in zip(np.flatnonzero(near).tolist(), position[near].tolist(), strict=True):
             held[p] += 1
             if held[p] == 1:
@@ -152,19 +170,22 @@ class _Template:
                     if not held[q]:
                         n, telling = n - 1, telling - int(self.telling[q])
                 start += 1
-            if n > best and n >= self.need and telling >= self.need_telling:
-                best = n
-        return best
+            if n >= self.need:
+                best = max(best, n)
+                if telling >= self.need_telling:
+                    told = max(told, n)
+        return best, told
 
 
 class Scanner:
-    def __init__(self, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, telling: bool = True):
+        self.telling = telling
         self.vocabulary = _Vocabulary(templates)
         order = sorted(self.vocabulary.words, key=lambda w: (frequencies.get(w, 0), w))
         rank_of = {w: r for r, w in enumerate(order)}
         self.rank = np.array([rank_of[w] for w in self.vocabulary.words])
-        telling = telling_words(templates)
-        self.templates = [_Template(label, body, telling[label], rank_of, threshold) for label, body in sorted(templates.items())]
+        words = telling_words(templates)
+        self.templates = [_Template(label, body, words[label], rank_of, threshold) for label, body in sorted(templates.items())]
         self.wanted = np.zeros((len(self.templates), len(order)), bool)
         for t, template in enumerate(self.templates):
             self.wanted[t, template.prefix] = True
@@ -180,7 +201,7 @@ class Scanner:
         ranks = self.rank[number]
         of = words.of
         doc = np.searchsorted(of, at, side="right") - 1
-        out = [{"n_words": int(n), "n_base": 0, "first": None, "last": None, "base": set(), "labels": set(), "score": 0.0} for n in np.diff(of)]
+        out = [{"n_words": int(n), "n_base": 0, "first": None, "last": None, "base": set(), "labels": set(), "met": set(), "score": 0.0} for n in np.diff(of)]
         for key, shift, length, body, label in self.phrases:
             for i, d in zip((at[ranks == key] - shift).tolist(), doc[ranks == key].tolist(), strict=True):
                 if i >= of[d] and i + length <= of[d + 1] and words.text(i, i + length) == body:
@@ -203,29 +224,33 @@ class Scanner:
                     continue
                 position = template.position[here]
                 mine = position >= 0
-                if best := template.best(spots[mine], position[mine]):
+                best, told = template.best(spots[mine], position[mine])
+                if best:
+                    out[d]["met"].add(template.label)
+                if best := told if self.telling else best:
                     out[d]["labels"].add(template.label)
                     out[d]["score"] = max(out[d]["score"], best / template.size)
         return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text", telling: bool = True) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, met_labels.
 
-    ``score`` is 1 with a base phrase, else the largest containment of a template found, else 0.
+    ``met_labels`` has those of all templates that meet the threshold, whether their telling words are
+    there or not; with ``telling=False`` they are labels too.  ``score`` is 1 with a base phrase, else the largest containment of a template found, else 0.
     Templates of any length are held against all runs of words.  Null and empty texts have no words and
     empty labels; repeated rows are looked at one by one; an empty table gives an empty result; other
     columns aren't read, so their names can't clash.
     """
     if not 0 < threshold <= 1 or not all(t.split() for t in templates.values()):
         raise ValueError("threshold must be over 0 and at most 1, and templates need words")
-    scanner = Scanner(word_frequencies(docs, templates, text), templates, threshold)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+    scanner = Scanner(word_frequencies(docs, templates, text), templates, threshold, telling)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("met_labels", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in _parts(batch):
                 found = scanner.scan(words)
-                yield batch_of(schema, doc_id=batch.column(0).slice(a, b - a), n_words=[x["n_words"] for x in found], n_base=[x["n_base"] for x in found], first_word=[x["first"] for x in found], last_word=[x["last"] for x in found], base_labels=[",".join(sorted(x["base"])) for x in found], labels=[",".join(sorted(x["base"] | x["labels"])) for x in found], score=[x["score"] for x in found])
+                yield batch_of(schema, doc_id=batch.column(0).slice(a, b - a), n_words=[x["n_words"] for x in found], n_base=[x["n_base"] for x in found], first_word=[x["first"] for x in found], last_word=[x["last"] for x in found], base_labels=[",".join(sorted(x["base"])) for x in found], labels=[",".join(sorted(x["base"] | x["labels"])) for x in found], score=[x["score"] for x in found], met_labels=[",".join(sorted(x["met"])) for x in found])
 
-    return map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, met_labels string")

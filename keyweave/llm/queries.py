@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, needed, run_words, telling_words
+from keyweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, label_of, needed, run_words, telling_words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,7 @@ def _license_sql() -> str:
     phrases = ", ".join(f"('{label}', {quoted(body.split())})" for body, label in PHRASES.items())
     telling = telling_words(TEMPLATES)
     templates = ", ".join(
-        f"('{label}', {quoted(words)}, {needed(len(words), THRESHOLD)}, {quoted(sorted(telling[label]))}::VARCHAR[], {needed(len(telling[label]), THRESHOLD)}, {run_words(body)})" for label, body in TEMPLATES.items() if (words := sorted(set(body.split())))
+        f"('{label_of(name)}', {quoted(words)}, {needed(len(words), THRESHOLD)}, {quoted(sorted(telling[name]))}::VARCHAR[], {needed(len(telling[name]), THRESHOLD)}, {run_words(body)})" for name, body in TEMPLATES.items() if (words := sorted(set(body.split())))
     )
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -76,11 +76,12 @@ places AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1
 base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY r),
 likely AS (SELECT r, w, t.* FROM (SELECT r, w, list_distinct(w) AS all_words FROM d), t WHERE len(list_intersect(all_words, words)) >= need),
 blocks AS (SELECT r, label, words, need, telling, need_telling, list_distinct(w[b + 1 : b + run]) AS held FROM (SELECT *, unnest(range(len(w))) AS b FROM likely)),
-met AS (SELECT r, label, len(list_intersect(held, words)) / len(words) AS share FROM blocks WHERE len(list_intersect(held, words)) >= need AND len(list_intersect(held, telling)) >= need_telling),
-found AS (SELECT r, label, true AS is_base, 1.0 AS share FROM places UNION ALL SELECT r, label, false, share FROM met),
+met AS (SELECT r, label, len(list_intersect(held, words)) / len(words) AS share, len(list_intersect(held, telling)) >= need_telling AS told FROM blocks WHERE len(list_intersect(held, words)) >= need),
+found AS (SELECT r, label, true AS is_base, 1.0 AS share FROM places UNION ALL SELECT r, label, false, share FROM met WHERE told),
+all_met AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS met_labels FROM met GROUP BY r),
 named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY r)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM d LEFT JOIN base ON base.r = d.r LEFT JOIN named ON named.r = d.r
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(met_labels, '') AS met_labels
+FROM d LEFT JOIN base ON base.r = d.r LEFT JOIN named ON named.r = d.r LEFT JOIN all_met ON all_met.r = d.r
 """
 
 
