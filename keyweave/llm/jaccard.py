@@ -129,7 +129,7 @@ def _summaries(docs: DataFrame, words: int, size: int) -> DataFrame:
         cells = np.zeros(size, np.int64)
         for batch in batches:
             for low, high, at, members in _parts(batch, words):
-                cells += np.bincount((members & _U(size - 1)).astype(np.int64), minlength=size)
+                np.add.at(cells, (members & _U(size - 1)).astype(np.int64), 1)
                 a, b = _fingerprints(at, members)
                 edges = at.tolist()
                 yield batch_of(schema, doc_id=batch.column(0).slice(low, high - low), k=batch.column(2).slice(low, high - low), l=batch.column(3).slice(low, high - low), n=np.diff(at), a=a, b=b, vector=[count_vector(members[i:j]) for i, j in zip(edges, edges[1:], strict=False)], cell=pa.nulls(high - low, pa.int32()), times=pa.nulls(high - low, pa.int64()))

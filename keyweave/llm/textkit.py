@@ -135,7 +135,7 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 
 def spans_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, stop) that depend on their content and length alone."""
+    """Hashes of the spans [start, stop) that depend on their content and length alone; for spans of a few hundred values (see ``keyed_hash``)."""
     _, inverses = _grown(len(sums))
     return mix((sums[stop] - sums[start]) * inverses[start] + (stop - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
@@ -152,6 +152,29 @@ def gram_hashes(sums: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+_keys = np.ones(1, np.uint64)
+
+
+def keyed_hash(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the disjoint spans [start, stop), in order: each value times a key of its place in the span.
+
+    The keys are unrelated numbers.  Powers of one number would give strings whose hashes are equal
+    whatever that number is (a Thue-Morse string of 1,024 letters and its complement).
+    """
+    global _keys
+    size = stop - start
+    longest = int(size.max()) if len(size) else 0
+    with np.errstate(over="ignore"):
+        if len(_keys) < longest:
+            _keys = mix(np.arange(1, max(longest, 1 << 12) + 1, dtype=np.uint64) * _MULTIPLIER) | _U(1)
+        total = np.cumsum(size)
+        place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size)
+        products = values[np.repeat(start, size) + place] * _keys[place]
+        sums = np.zeros(len(products) + 1, np.uint64)
+        np.cumsum(products, out=sums[1:])
+        return mix(sums[total] - sums[total - size] + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 class Words:
     """The words of consecutive texts: ``start`` and ``stop`` in bytes, ``of`` (first word of each text, then the end), ``hash``."""
 
@@ -173,7 +196,7 @@ class Words:
         self.of = np.searchsorted(self.start, offsets)
         self.lower = lower
         if hashed:
-            self.hash = spans_hash(prefix_sums(_BYTE_VALUES[lower]), self.start, self.stop)
+            self.hash = keyed_hash(_BYTE_VALUES[lower], self.start, self.stop)
 
     def text(self, i: int, j: int) -> str:
         """Words i to j, one blank between."""
@@ -198,7 +221,7 @@ def shingle_sets(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(words.of)
     short = np.flatnonzero((counts > 0) & (counts < length))
     if len(short):
-        whole = spans_hash(prefix_sums(words.hash), words.of[short], words.of[short + 1])
+        whole = keyed_hash(words.hash, words.of[short], words.of[short + 1])
         rows, hashes = np.concatenate((rows, short)), np.concatenate((hashes, whole))
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]

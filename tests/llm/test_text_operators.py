@@ -56,6 +56,15 @@ def test_words_and_sets(texts):
     assert np.diff(at).tolist() == [len(shingles(r.decode())) for r in raw]
 
 
+def test_words_have_different_hashes():
+    pairs = [("".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))) for n in (2, 64, 1024, 4096, 1 << 15)]
+    texts = [x.encode() for pair in pairs for x in pair] + [b"a", b"aa", b"b" * 70_000]
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    found = Words(data, np.array([0, len(data)]), ALNUM)
+    again = Words(np.frombuffer(b"x " + texts[4], np.uint8), np.array([0, 2, 2 + len(texts[4])]), ALNUM)
+    assert len(set(found.hash.tolist())) == len(texts) and again.hash[1] == found.hash[4]
+
+
 # --- 1: BPE ---
 
 
@@ -305,7 +314,7 @@ def test_license_base_and_labels(spark):
         r = out[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
         assert labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
-    assert out[1].labels == "gpl,reserved" and out[5].labels == out[6].labels == out[2].labels == ""
+    assert out[1].labels == "gpl,reserved" and out[2].labels == "" and out[5].labels == "apache-2.0" and out[6].labels == out[7].labels == "mit"
 
 
 # --- 6: decontamination ---
@@ -503,7 +512,7 @@ def corpus(rng, per=60):
     return rows
 
 
-def test_language(spark):
+def test_language(spark, monkeypatch):
     rows = corpus(random.Random(11))
     docs = spark.createDataFrame([*rows, (9001, None, "en"), (9002, "12 ?!", "en"), (None, "the then", None)], "doc_id long, text string, lang string")
     out = {r.doc_id: r for r in language.identify(docs).collect()}
@@ -513,6 +522,9 @@ def test_language(spark):
     import binascii
 
     assert all(out[i].held_out == (binascii.crc32(str(i).encode()) % 4 == 2) and 0 <= out[i].score <= 1 for i, _, _ in rows)
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="over 2 languages"):
+        language.identify(docs)
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
 
