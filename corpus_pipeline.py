@@ -49,16 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage before it returns is a table in the shared folder, dropped once the next is written."""
+    """The last stage's rows, as a table in the shared folder; those of the stages before it are dropped as soon as the next one is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             _drop(spark, before)
         docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
 
 
 def _drop(spark: SparkSession, path: str) -> None:
