@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.cluster import shared_folder
+from keyweave.cluster import delete, shared_folder
 from keyweave.llm import bpe, decontaminate, jaccard, line_dedup, toxicity
 from keyweave.llm.queries import table, tokenizer_path
 
@@ -56,11 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
-            _drop(spark, before)
+            delete(spark, before)
         docs, before = spark.read.parquet(path), path
     return docs
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

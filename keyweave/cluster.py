@@ -44,8 +44,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark writes to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: written to the shared folder and read back, so a lost executor costs nothing."""
+    """``df`` with its lineage cut: written to the shared folder and read back, so a lost executor costs nothing.
+
+    Spark removes what was written once ``df`` isn't used any more, where the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` true; else it stays in the folder.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

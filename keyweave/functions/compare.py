@@ -14,6 +14,9 @@ from keyweave.config import Rule
 from keyweave.functions.normalize import as_text, double_text, is_missing, is_missing_typed, normalize_text, parse_boolean, parse_date, parse_number, strip, to_float
 
 RESULT = "struct<rule_id:string,display_name:string,original_a:string,original_b:string,normalized_a:string,normalized_b:string,status:string,reason:string,difference:double,absolute_difference:double,difference_rate:double,ok_a:boolean,ok_b:boolean,method:string,policy:string>"
+_FIELDS = [tuple(f.split(":")) for f in RESULT[7:-1].split(",")]
+#: Parts of a RESULT that are given as what they are.
+_PLAIN = {"rule_id", "display_name", "status", "reason", "ok_a", "ok_b", "method", "policy"}
 EQUAL, DIFFERENT, UNAVAILABLE, FAILED = "EQUAL", "DIFFERENT", "UNAVAILABLE", "CONVERSION_FAILED"
 
 
@@ -105,9 +108,15 @@ def slot(rule: Rule, column: Column, kind: T.DataType) -> Column:
 def constant(rule: Rule, status: Column | str, reason: Column | str, **more: Column) -> Column:
     """A RESULT of given parts."""
     status, reason = (F.lit(x) if isinstance(x, str) else x for x in (status, reason))
-    given = {"rule_id": F.lit(rule.rule_id), "display_name": F.lit(rule.display_name), "status": status, "reason": reason, "ok_a": F.lit(True), "ok_b": F.lit(True), "method": F.lit(rule.comparison_method), "policy": F.lit("")} | more
-    names = [(f.split(":")[0], f.split(":")[1]) for f in RESULT[7:-1].split(",")]
-    return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in names])
+    yes = F.lit(True)
+    given = {"rule_id": F.lit(rule.rule_id), "display_name": F.lit(rule.display_name), "status": status, "reason": reason, "ok_a": yes, "ok_b": yes, "method": F.lit(rule.comparison_method), "policy": F.lit("")} | more
+    return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) if n not in _PLAIN or n not in given else given[n].alias(n) for n, t in _FIELDS])
+
+
+def result_literal(told: dict[str, str]) -> str:
+    """A RESULT of texts alone, both sides of which are in order, as an expression: nothing else is in it."""
+    quoted = {k: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for k, v in told.items()}
+    return f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, ' + (quoted[n] if n in quoted else 'true' if n in ('ok_a', 'ok_b') else f'CAST(NULL AS {t})') for n, t in _FIELDS)})"
 
 
 def compare_slots(rule: Rule, a: Column, b: Column) -> Column:

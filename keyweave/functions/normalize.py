@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 import pandas as pd
@@ -22,6 +22,8 @@ from keyweave.config import MISSING_TOKENS
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Of these, what ends in ``.0``: whole numbers all.
+_WHOLE = r"^[+-]?\d*\.0$"
 #: All of it that is ASCII.
 _ASCII_SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
 #: Fixed values.
@@ -35,6 +37,15 @@ _KOREAN_DATE = r"^(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일$"
 DATE_PATTERNS = ("yyyy-M-d", "yyyy-M-d H:m[:s[.SSSSSS][.SSS]]", "yyyy-M-d'T'H:m[:s[.SSSSSS][.SSS]][XXX]", "yyyy/M/d", "yyyy/M/d H:m[:s]", "yyyy.M.d", "yyyy.M.d H:m[:s]", "M/d/yyyy", "d/M/yyyy", "M/d/yyyy H:m[:s]", "yyyyMMdd", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy-M", "yyyy")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is in the plan, and evaluated, once however often it is used.
+
+    A chain of steps that use their input more than once is then as long as its steps; without this, each
+    step repeats all before it.  ``use`` can't hold a Python step.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column, ascii_only: bool = False) -> Column:
     """``text`` without white space at its ends; a plain trim where no letter is beyond ASCII."""
     return F.btrim(text, F.lit(_ASCII_SPACE)) if ascii_only else F.regexp_replace(text, _EDGES, "")
@@ -133,39 +144,47 @@ def to_float(text: Column) -> Column:
 
 def parse_number(text: Column, options: dict | None = None) -> Column:
     o = options or {}
-    out = strip(text)
-    if o.get("parentheses_negative", True):
-        out = F.when(out.startswith("(") & out.endswith(")"), F.concat(F.lit("-"), out.substr(F.lit(2), F.greatest(F.length(out) - 2, F.lit(0))))).otherwise(out)
-    divisor = F.lit(1.0)
-    if o.get("percent_string", False):
-        divisor = F.when(out.endswith("%"), 100.0).otherwise(1.0)
-        out = F.regexp_replace(out, "%$", "")
-    if o.get("remove_commas", True):
-        out = F.replace(out, F.lit(","), F.lit(""))
-    if o.get("remove_currency", True):
-        out = F.regexp_replace(out, CURRENCY, "")
-    if o.get("remove_spaces", True):
-        out = F.regexp_replace(out, _SPACE + "+", "")
-    if o.get("extract_number", False) or o.get("remove_units", False):
-        out = F.regexp_extract(out, _FIRST_NUMBER, 0)
-    return to_float(out) / divisor
+    percent = o.get("percent_string", False)
+
+    def signed(t: Column) -> Column:
+        if not o.get("parentheses_negative", True):
+            return t
+        return F.when(t.startswith("(") & t.endswith(")"), F.concat(F.lit("-"), t.substr(F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))))).otherwise(t)
+
+    def number(t: Column) -> Column:
+        out = F.regexp_replace(t, "%$", "") if percent else t
+        if o.get("remove_commas", True):
+            out = F.replace(out, F.lit(","), F.lit(""))
+        if o.get("remove_currency", True):
+            out = F.regexp_replace(out, CURRENCY, "")
+        if o.get("remove_spaces", True):
+            out = F.regexp_replace(out, _SPACE + "+", "")
+        if o.get("extract_number", False) or o.get("remove_units", False):
+            out = F.regexp_extract(out, _FIRST_NUMBER, 0)
+        return let(out, to_float) / (F.when(t.endswith("%"), 100.0).otherwise(1.0) if percent else F.lit(1.0))
+
+    signs = let(strip(text), signed)
+    return let(signs, number) if percent else number(signs)
 
 
 def parse_timestamp(text: Column, dayfirst: bool = False) -> Column:
     """A timestamp by the listed patterns alone: a bare time or other loose spelling is null."""
-    stripped = F.regexp_replace(strip(text), _KOREAN_DATE, "$1-$2-$3")
     patterns = list(DATE_PATTERNS)
     if dayfirst:
         i, j = patterns.index("M/d/yyyy"), patterns.index("d/M/yyyy")
         patterns[i], patterns[j] = patterns[j], patterns[i]
     # one test on the shape leaves most texts with one or two patterns
     shapes = {r"^\d{4}-\d{1,2}-": "yyyy-M-d", r"^\d{4}/": "yyyy/", r"^\d{4}\.": "yyyy.", r"^\d{1,2}/": ("M/d", "d/M"), r"^\d{8}$": "yyyyMMdd", r"^[A-Za-z]": "MMM", r"^\d{1,2} [A-Za-z]": "d MMM"}
-    out = F.lit(None).cast("timestamp")
     rest = [p for p in patterns if p in ("yyyy-M", "yyyy")]
     short = {r"^\d{4}-\d{1,2}$": [rest[0]], r"^(1[6-9]|2\d)\d{2}$": [rest[1]]}
-    for shape, tried in [*((s, [p for p in patterns if p.startswith(f)]) for s, f in shapes.items()), *short.items()]:
-        out = F.when(stripped.rlike(shape), F.coalesce(*[F.try_to_timestamp(stripped, F.lit(p)) for p in tried])).otherwise(out)
-    return out
+
+    def parsed(stripped: Column) -> Column:
+        out = F.lit(None).cast("timestamp")
+        for shape, tried in [*((s, [p for p in patterns if p.startswith(f)]) for s, f in shapes.items()), *short.items()]:
+            out = F.when(stripped.rlike(shape), F.coalesce(*[F.try_to_timestamp(stripped, F.lit(p)) for p in tried])).otherwise(out)
+        return out
+
+    return let(F.regexp_replace(strip(text), _KOREAN_DATE, "$1-$2-$3"), parsed)
 
 
 def parse_date(text: Column, mode: str = "date", dayfirst: bool = False) -> Column:
@@ -194,20 +213,28 @@ def normalize_key(text: Column, options) -> Column:
     """One key component; ``options`` as attributes (KeyOptions) and ``assume_ascii`` if it has that."""
     o = dict(vars(options))
     value = normalize_text(text, o)
-    out = value
-    if options.strip_numeric_dot_zero:
-        number = to_float(value)
-        out = F.when(value.endswith(".0") & (number == F.floor(number)), value.substr(F.lit(1), F.length(value) - 2)).otherwise(value)
-    if options.date_format:
-        parsed = parse_date(value, options.date_format)
-        shape = {"datetime": "yyyy-MM-dd HH:mm:ss", "year_month": "yyyy-MM"}.get(options.date_format, "yyyy-MM-dd")
-        out = F.coalesce(parsed.cast("string") if options.date_format == "year" else F.date_format(parsed, shape), out)
-    if options.coerce_numeric_string:
-        number = parse_number(value)
+    if not (options.strip_numeric_dot_zero or options.date_format or options.coerce_numeric_string):
+        return value
+
+    def key(v: Column) -> Column:
+        out = v
+        if options.strip_numeric_dot_zero:
+            out = F.when(v.endswith(".0") & v.rlike(_WHOLE), v.substr(F.lit(1), F.length(v) - 2)).otherwise(v)
+        if options.date_format:
+            shape = {"datetime": "yyyy-MM-dd HH:mm:ss", "year_month": "yyyy-MM"}.get(options.date_format, "yyyy-MM-dd")
+            parsed = parse_date(v, options.date_format)
+            out = F.coalesce(parsed.cast("string") if options.date_format == "year" else F.date_format(parsed, shape), out)
+        if options.coerce_numeric_string:
+            out = F.coalesce(let(parse_number(v), number_text), out)
+        return out
+
+    def number_text(number: Column) -> Column:
+        if not options.strip_numeric_dot_zero:
+            return double_text(number)
         whole = (number == F.floor(number)) & (F.abs(number) < 1e18)
-        text_of = F.when(whole, number.try_cast("bigint").cast("string")).otherwise(double_text(number)) if options.strip_numeric_dot_zero else double_text(number)
-        out = F.coalesce(text_of, out)
-    return out
+        return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(double_text(number))
+
+    return let(value, key)
 
 
 def excel_letter(index: int) -> str:

@@ -14,11 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from keyweave.cluster import dealt
 from keyweave.config import COLLECTION_POLICIES, PICK_POLICIES, Comparison, ConfigError, Dataset, DuplicatePolicy, Rule
-from keyweave.functions.compare import DIFFERENT, EQUAL, FAILED, UNAVAILABLE, compare_slots, constant, family, rounded, slot, value_text
+from keyweave.functions.compare import DIFFERENT, EQUAL, FAILED, UNAVAILABLE, compare_slots, constant, family, result_literal, rounded, slot, value_text
 from keyweave.functions.normalize import as_text, normalize_key, plain_key, to_float
 from keyweave.operators.mapping import applied, build_mapping
+from keyweave.sources.position import has_positions, with_positions
 
 #: Bits of ``flags``.
 FLAGS = {"COMPARABLE": 1, "IDENTICAL": 2, "MISMATCH": 4, "CONVERSION_FAILED": 8, "DUPLICATE": 16, "NM_PENDING": 32, "A_ONLY": 64, "B_ONLY": 128, "STRUCTURAL_BLOCK": 256, "INVALID_KEY": 512}
@@ -37,6 +40,8 @@ STATUS_LABELS = {
 }
 
 ROW_NUMBER = "__row_no"
+#: Distinct values of a key that are shown in its row.
+SHOWN_VALUES = 100
 
 
 def lookup(names: dict, column: Column) -> Column:
@@ -48,15 +53,17 @@ def flags_of(status: Column) -> Column:
 
 
 def with_row_id(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """``__row_id``: the source's row number, or ``order_by``, or any unique number where rows have no order.
+    """``__row_id``: the source's row number, or ``order_by``, or a Parquet row's place in its file, or else any unique number.
 
-    Such a number holds for one reading of the source alone: where the first or last row is asked for,
-    or values in their order, give ``order_by``.
+    All but the last hold for every reading of the source.  Where a table has none of them and the first
+    or last row is asked for, or values in their order, give ``order_by``.
     """
     if ROW_NUMBER in df.columns:
         return df.withColumn("__row_id", F.col(ROW_NUMBER).cast("long"))
     if order_by:
         return df.withColumn("__row_id", F.col(order_by).cast("long"))
+    if has_positions(df):
+        return with_positions(df, "__row_id")
     return df.withColumn("__row_id", F.monotonically_increasing_id() + 1)
 
 
@@ -165,20 +172,21 @@ def _picked(side: str, policy: DuplicatePolicy, how: str, sorted_by: bool) -> Co
     return F.min_by(rec, by(row))
 
 
-def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False, nm_picks: bool = False, drop_nulls: bool = False, with_values: bool = True) -> DataFrame:
+def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False, nm_picks: bool = False, drop_nulls: bool = False, shown_values: int = SHOWN_VALUES) -> DataFrame:
     """One row per key: status, flags, counts, row ids and an array of rule results.
 
     ``assume_ascii`` leaves the Unicode step, which runs in Python, out of the plan.  ``with_trace``
     adds what each source row's key came from.  ``key_only`` allows a configuration without rules.
     ``nm_picks`` lets N:M keys pick the first or last row too, and ``drop_nulls`` leaves nulls out of
-    sets and multisets.  Without ``with_values`` the results of sets, multisets and aggregates don't show
-    what values each side has: a key with very many distinct ones then stays small.
+    sets and multisets.  The results of sets, multisets and aggregates show the first ``shown_values``
+    distinct values of a key, in their order, and none if that is 0; what is compared is all of them, and
+    ``value_differences`` has a row for each.
     """
     config.validate(rules_required=not key_only)
     rules = [_ascii(r, assume_ascii) for r in config.comparison_rules]
     n_keys = len(config.dataset_a.key_columns)
     pa_, pb = config.duplicate_policy_a, config.duplicate_policy_b
-    rows = _records(a, config, "A", order_a, assume_ascii).unionByName(_records(b, config, "B", order_b, assume_ascii), allowMissingColumns=True)
+    rows = _both_sides(a, b, config, order_a, order_b, assume_ascii)
     in_a, in_b = F.col("__side") == "A", F.col("__side") == "B"
     sorts = {"A": pa_.representative_sort_column in a.columns, "B": pb.representative_sort_column in b.columns}
     how = {s: p.policy_type if p.policy_type in PICK_POLICIES else "row" for s, p in (("A", pa_), ("B", pb))}
@@ -203,13 +211,17 @@ def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | Non
     modes = {"ONE_TO_MANY": pb.policy_type, "MANY_TO_ONE": pa_.policy_type, "MANY_TO_MANY": config.nm_policy}
     modes = {k: v for k, v in modes.items() if v in COLLECTION_POLICIES}
     if modes and rules:
-        collected = _collections(rows, rules, sorted(set(modes.values())), drop_nulls, with_values)
+        collected = _collections(rows, rules, sorted(set(modes.values())), drop_nulls, shown_values)
         grouped = grouped.join(collected, grouped["key"].eqNullSafe(collected["ckey"]), "left").drop("ckey")
     return _classified(grouped, config, rules, n_keys, modes, with_trace, picking)
 
 
 def _unavailable(rules: list[Rule], reason: str) -> Column:
-    return F.array(*[constant(r, UNAVAILABLE, reason) for r in rules]) if rules else F.expr("array()").cast(_RESULTS)
+    if not rules:
+        return F.expr("array()").cast(_RESULTS)
+    same = {"status": UNAVAILABLE, "reason": reason, "policy": ""}
+    told = [same | {"rule_id": r.rule_id, "display_name": r.display_name, "method": r.comparison_method} for r in rules]
+    return F.expr(f"array({', '.join(result_literal(x) for x in told)})")
 
 
 _RESULTS = "array<struct<rule_id:string,display_name:string,original_a:string,original_b:string,normalized_a:string,normalized_b:string,status:string,reason:string,difference:double,absolute_difference:double,difference_rate:double,ok_a:boolean,ok_b:boolean,method:string,policy:string>>"
@@ -290,12 +302,8 @@ def _classified(grouped: DataFrame, config: Comparison, rules: list[Rule], n_key
     )
 
 
-def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_nulls: bool, with_values: bool = True) -> DataFrame:
-    """(ckey, c_<mode> arrays of RESULT, u_a, u_b): value counts first by original, then by value, then by key.
-
-    Each step sums before it shuffles, and no step holds a key's rows together; ``with_values`` alone
-    puts a key's distinct values into its row, to be shown.
-    """
+def _value_counts(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(ckey, rule, value, number, a, b, ...): how often each value of a key stands on each side, summed by original, then by value."""
     parts = []
     for i, rule in enumerate(rules):
         rec = F.col(f"__rec.r{i}")
@@ -310,14 +318,22 @@ def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_null
         F.first("number").alias("number"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("first_a").alias("first_a"), F.min("first_b").alias("first_b"), F.count_if(F.col("a") > 0).alias("ua"), F.count_if(F.col("b") > 0).alias("ub"),
         F.bool_or(~F.col("ok") & (F.col("a") > 0)).alias("bad_a"), F.bool_or(~F.col("ok") & (F.col("b") > 0)).alias("bad_b"),
     )
+    return values
+
+
+def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_nulls: bool, shown: int = SHOWN_VALUES) -> DataFrame:
+    """(ckey, c_<mode> arrays of RESULT, u_a, u_b) from the counts of values.
+
+    Each step sums before it shuffles, and no step holds a key's rows together; of a key's distinct
+    values the first ``shown`` are in its row, to be shown.
+    """
+    values = _value_counts(rows, rules)
     has = F.col("value").isNotNull()
     wanted = {r.normalization_options.get("aggregation_method", "sum") for r in rules} if "aggregate" in modes else set()
     aggregates = [
         F.sum("ua").alias("ua"), F.sum("ub").alias("ub"), F.bool_or("bad_a").alias("bad_a"), F.bool_or("bad_b").alias("bad_b"),
         *[F.coalesce(F.bool_and(F.when(has | F.lit(not drop_nulls), same)), F.lit(True)).alias(name) for name, same in (("same_set", (F.col("a") > 0) == (F.col("b") > 0)), ("same_multiset", F.col("a") == F.col("b")))],
     ]
-    if with_values:
-        aggregates.append(F.array_sort(F.collect_list(F.struct("value", "a", "b"))).alias("values"))
     for side in ("a", "b"):
         here = F.col(side) > 0
         for method in wanted:
@@ -331,12 +347,14 @@ def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_null
             }[method]
             aggregates.append(typed.alias(f"{method}_{side}"))
     perkey = values.groupBy("ckey", "rule").agg(*aggregates)
+    if shown:
+        perkey = _with_first_values(perkey, values, shown)
     bad = F.col("bad_a") | F.col("bad_b")
 
     def side_values(side: str) -> Column:
-        if not with_values:
+        if not shown:
             return F.lit(None).cast("string")
-        return F.to_json(F.transform(F.filter("values", lambda v: v[side] > 0), lambda v: F.struct(v.value.alias("value"), v[side].alias("count"))))
+        return F.to_json(F.coalesce(f"values_{side}", F.expr("array()")))
 
     out = []
     for mode in modes:
@@ -345,23 +363,109 @@ def _collections(rows: DataFrame, rules: list[Rule], modes: list[str], drop_null
             if mode == "aggregate":
                 method = rule.normalization_options.get("aggregation_method", "sum")
                 x, y = F.col(f"{method}_a"), F.col(f"{method}_b")
-                same, shown = x.eqNullSafe(y), (x.cast("string"), y.cast("string"))
+                same, told = x.eqNullSafe(y), (x.cast("string"), y.cast("string"))
             else:
-                same, shown = F.col(f"same_{mode}"), (side_values("a"), side_values("b"))
+                same, told = F.col(f"same_{mode}"), (side_values("a"), side_values("b"))
             status = F.when(bad, FAILED).when(same, EQUAL).otherwise(DIFFERENT)
             reason = F.when(bad, "NOT_CONVERTED").when(same, f"SAME_{mode.upper()}").otherwise(f"OTHER_{mode.upper()}")
-            made = constant(rule, status, reason, original_a=side_values("a"), original_b=side_values("b"), normalized_a=shown[0], normalized_b=shown[1], ok_a=~F.col("bad_a"), ok_b=~F.col("bad_b"), method=F.lit(mode), policy=F.lit(mode))
+            made = constant(rule, status, reason, original_a=side_values("a"), original_b=side_values("b"), normalized_a=told[0], normalized_b=told[1], ok_a=~F.col("bad_a"), ok_b=~F.col("bad_b"), method=F.lit(mode), policy=F.lit(mode))
             per_rule = F.when(F.col("rule") == i, made) if per_rule is None else per_rule.when(F.col("rule") == i, made)
         out.append(F.transform(F.array_sort(F.collect_list(F.struct("rule", per_rule.alias("result")))), lambda x: x.result).alias(f"c_{mode}"))
     return perkey.groupBy("ckey").agg(*out, F.max("ua").alias("u_a"), F.max("ub").alias("u_b"))
 
 
+def _with_first_values(perkey: DataFrame, values: DataFrame, shown: int) -> DataFrame:
+    """``perkey`` with ``values``: the first ``shown`` of each side; every task leaves out the others before they are shuffled."""
+    sides = F.inline(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("count")) for x in ("a", "b")]))
+    first = Window.partitionBy("ckey", "rule", "side").orderBy("value")
+    some = values.select("ckey", "rule", "value", sides).where("count > 0").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= shown)
+    listed = some.groupBy(F.col("ckey").alias("key"), F.col("rule").alias("of")).agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == x, F.struct("value", "count")))).alias(f"values_{x}") for x in ("a", "b")])
+    return perkey.join(listed, perkey["ckey"].eqNullSafe(listed["key"]) & (perkey["rule"] == listed["of"]), "left").drop("key", "of")
+
+
 def double_or_none(x: Column) -> Column:
     from keyweave.functions.normalize import double_text
 
     return double_text(x)
 
 
+def value_differences(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, drop_nulls: bool = False) -> DataFrame:
+    """A row for each key, rule and distinct value: key_display, rule_id, value, a_count, b_count, side, common, difference.
+
+    ``side`` is ONLY_A, ONLY_B or COMMON, which is what sets differ in; ``common`` is how many times both
+    sides have the value, and ``difference`` how many times more A has it, which is what multisets differ
+    in.  A null stands for missing values, which ``drop_nulls`` leaves out; keys with a blank part have no
+    rows here.  Counts are summed before they are shuffled, and nothing is gathered by key.
+    """
+    config.validate()
+    n_keys = len(config.dataset_a.key_columns)
+    rules = [_ascii(r, assume_ascii) for r in config.comparison_rules]
+    values = _value_counts(_both_sides(a, b, config, order_a, order_b, assume_ascii), rules).where(~blank(F.col("ckey"), n_keys))
+    if drop_nulls:
+        values = values.where("value is not null")
+    x, y = F.col("a"), F.col("b")
+    return values.select(
+        F.col("ckey").alias("key"), key_display(F.col("ckey"), n_keys).alias("key_display"), lookup({i: r.rule_id for i, r in enumerate(rules)}, F.col("rule")).alias("rule_id"), "value",
+        x.alias("a_count"), y.alias("b_count"), F.when(y == 0, "ONLY_A").when(x == 0, "ONLY_B").otherwise("COMMON").alias("side"), F.least(x, y).alias("common"), (x - y).alias("difference"),
+    )
+
+
+def difference_details(differences: DataFrame, shown: int = SHOWN_VALUES) -> DataFrame:
+    """A row for each key and rule: n_only_a, n_only_b, n_common, whether sets and multisets agree, and the first ``shown`` values of each kind.
+
+    ``only_a``, ``only_b`` and ``common`` are arrays of values in their order; ``differing`` has the values
+    whose counts differ, with how many more A has.
+    """
+    kinds = {"ONLY_A": "only_a", "ONLY_B": "only_b", "COMMON": "common"}
+    totals = differences.groupBy("key_display", "rule_id").agg(*[F.count_if(F.col("side") == k).alias(f"n_{n}") for k, n in kinds.items()], F.bool_and(F.col("side") == "COMMON").alias("same_set"), F.bool_and(F.col("difference") == 0).alias("same_multiset"))
+    first = lambda part: Window.partitionBy("key_display", "rule_id", part).orderBy("value")
+    listed = differences.withColumn("nth", F.row_number().over(first("side"))).where(F.col("nth") <= shown)
+    lists = listed.groupBy("key_display", "rule_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("value")))).alias(n) for k, n in kinds.items()])
+    unequal = differences.where("difference <> 0").withColumn("way", F.signum("difference"))
+    differing = unequal.withColumn("nth", F.row_number().over(first("way"))).where(F.col("nth") <= shown).groupBy("key_display", "rule_id").agg(F.array_sort(F.collect_list(F.struct("value", "difference"))).alias("differing"))
+    out = totals.join(lists, ["key_display", "rule_id"], "left").join(differing, ["key_display", "rule_id"], "left")
+    return out.select("key_display", "rule_id", *[f"n_{n}" for n in kinds.values()], "same_set", "same_multiset", *[F.transform(n, lambda x: x.value).alias(n) for n in kinds.values()], "differing")
+
+
+def row_pairs(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False) -> DataFrame:
+    """The row-wise comparisons of 1:N and N:1 keys, a row for each: key, key_display, cardinality, row_id_a, row_id_b, rules.
+
+    The one row of a key is joined to its many by two plain shuffles, which Spark splits where a key is
+    hot; a key's rows never stand together.  Keys whose policy isn't row by row have no rows here.
+    """
+    config.validate()
+    rules = [_ascii(r, assume_ascii) for r in config.comparison_rules]
+    n_keys = len(config.dataset_a.key_columns)
+    rows = {s: _records(t, config, s, o, assume_ascii).where(~blank(F.col("__key"), n_keys)) for s, t, o in (("A", a, order_a), ("B", b, order_b))}
+    both = rows["A"].select("__key", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(rows["B"].select("__key", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counts = both.groupBy("__key").agg(F.sum("a").alias("a_count"), F.sum("b").alias("b_count"))
+    kinds = counts.select(F.col("__key").alias("key"), kind_of(F.col("a_count"), F.col("b_count")).alias("cardinality"))
+    out = []
+    for name, policy, one, many in (("ONE_TO_MANY", config.duplicate_policy_b, "A", "B"), ("MANY_TO_ONE", config.duplicate_policy_a, "B", "A")):
+        if not policy.row_wise:
+            continue
+        wanted = dealt(kinds.where(F.col("cardinality") == name), "key")
+        single = rows[one].select(F.col("__key").alias("key"), F.col("__rec").alias(one)).join(wanted, "key")
+        pairs = rows[many].select(F.col("__key").alias("key"), F.col("__rec").alias(many)).join(dealt(single, "key"), "key")
+        out.append(pairs.select("key", key_display(F.col("key"), n_keys).alias("key_display"), "cardinality", F.col("A.row_id").alias("row_id_a"), F.col("B.row_id").alias("row_id_b"), _compared(rules, F.col("A"), F.col("B")).alias("rules")))
+    if not out:
+        raise ConfigError("no duplicate policy compares row by row")
+    return reduce(DataFrame.unionByName, out)
+
+
+def row_totals(pairs: DataFrame) -> DataFrame:
+    """Of each key and rule of ``row_pairs``: n_rows, n_equal, n_different, n_failed, and the sum of absolute differences."""
+    long = pairs.select("key_display", "cardinality", F.explode("rules").alias("r")).select("key_display", "cardinality", "r.rule_id", "r.status", "r.absolute_difference", (~F.col("r.ok_a") | ~F.col("r.ok_b")).alias("failed"))
+    failed = F.col("failed") | (F.col("status") == FAILED)
+    return long.groupBy("key_display", "cardinality", "rule_id").agg(
+        F.count("*").alias("n_rows"), F.count_if((F.col("status") == EQUAL) & ~failed).alias("n_equal"), F.count_if((F.col("status") == DIFFERENT) & ~failed).alias("n_different"), F.count_if(failed).alias("n_failed"), F.sum("absolute_difference").alias("absolute_difference"),
+    )
+
+
+def _both_sides(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None, order_b: str | None, assume_ascii: bool) -> DataFrame:
+    return _records(a, config, "A", order_a, assume_ascii).unionByName(_records(b, config, "B", order_b, assume_ascii), allowMissingColumns=True)
+
+
 def summary(result: DataFrame) -> DataFrame:
     """One row of counters over a result, and the number of rows of each status."""
     has = lambda flag: F.col("flags").bitwiseAND(F.lit(FLAGS[flag])) != 0

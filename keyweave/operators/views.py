@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from keyweave.cluster import delete, shared_folder
 from keyweave.config import Comparison, Rule, to_dict
 from keyweave.functions.compare import DIFFERENT
 from keyweave.operators.reconcile import STATUS_LABELS, lookup
@@ -76,6 +79,41 @@ def sheets(result: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+class Stored:
+    """A result that was written once: sheets and pages of keys are read from it without comparing again."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None):
+        #: ``schema`` is needed where a result without rows was stored
+        self.spark, self.path, self.schema = spark, path, schema
+
+    @property
+    def result(self) -> DataFrame:
+        return (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(self.path)
+
+    def sheet(self, name: str) -> DataFrame:
+        """A sheet's rows: only the folders of its statuses are read."""
+        return sheets(self.result)[name]
+
+    def page(self, name: str, start: str, rows: int) -> DataFrame:
+        """The first ``rows`` keys of a sheet from ``start`` on, in their order: files and row groups of smaller keys are left out by their statistics."""
+        return self.sheet(name).where(F.col("key_display") >= start).orderBy("key_display").limit(rows)
+
+    def delete(self) -> None:
+        delete(self.spark, self.path)
+
+
+def store(result: DataFrame, path: str | None = None) -> Stored:
+    """Writes a result in one job, a folder for each status and ranges of keys in each, and returns what reads it.
+
+    Without ``path`` it goes to the shared folder, where ``delete`` removes it.  A status of very many keys
+    is written by as many tasks as it has ranges; no order of the whole result is needed for that.
+    """
+    spark = result.sparkSession
+    path = path or f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    result.repartitionByRange("status", "key_display").sortWithinPartitions("status", "key_display").write.partitionBy("status").parquet(path)
+    return Stored(spark, path, result.schema)
+
+
 def settings_rows(config: Comparison) -> list[tuple[str, str]]:
     """(path, value) of every setting; lists stay one value."""
     out: list[tuple[str, str]] = []

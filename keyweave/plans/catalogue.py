@@ -354,22 +354,49 @@ def mapping_apply(spark, sf_dir):
     return outcome(run(rows.withColumn("event_type", F.upper("event_type")), rows, "event_type", [rule("value")], key_options=KeyOptions(case_insensitive=True, unicode_normalize=False), mappings=config))
 
 
-@query("SELECT * FROM (VALUES ('warning', 'EMPTY_CANONICAL'), ('warning', 'ALIASLESS_GROUP'), ('warning', 'DUPLICATE_ALIAS')) t(severity, code)")
-def mapping_warnings(spark, sf_dir):
-    return mapping.build_mapping(spark, _GROUPS, KeyOptions(case_insensitive=True)).issues.select("severity", "code")
+#: Groups of a table with every kind of fault: blank canonical cells, groups without aliases, repeated rows, shared aliases, aliases that are canonical elsewhere.
+_FAULTY = {
+    "canonical": "CASE WHEN c_custkey % 40 = 0 THEN ' ' ELSE concat('C', c_custkey % 1000) END",
+    "a1": "CASE WHEN c_custkey % 25 = 3 THEN NULL ELSE concat('x', c_custkey % 1000) END",
+    "a2": "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN concat('Y', CAST(floor(c_custkey % 1000 / 2) AS INT)) WHEN 2 THEN concat('c', (c_custkey + 1) % 1000) WHEN 3 THEN concat(' y', CAST(floor(c_custkey % 1000 / 2) AS INT)) WHEN 4 THEN concat('Y', c_custkey % 3) ELSE ' ' END",
+}
+_FAULTY_SQL = f"""
+WITH w AS (SELECT c_custkey AS n, {', '.join(f'{e} AS {c}' for c, e in _FAULTY.items())} FROM customer),
+g AS (SELECT n, canonical AS raw_canonical, CASE WHEN trim(canonical) <> '' THEN lower(trim(canonical)) END AS canonical, list_filter([a1, a2], lambda x: trim(x) <> '') AS named, list_transform([a1, a2], lambda x: CASE WHEN trim(x) <> '' THEN x ELSE '' END) AS signature FROM w),
+r AS (SELECT n, raw_canonical, canonical, t.x.raw AS raw, t.x.own AS own, lower(trim(t.x.raw)) AS alias FROM g, unnest(list_prepend({{'raw': raw_canonical, 'own': true}}, list_transform(named, lambda x: {{'raw': x, 'own': false}}))) t(x) WHERE canonical IS NOT NULL),
+ambiguous AS (SELECT raw FROM r GROUP BY raw HAVING count(DISTINCT raw_canonical) > 1),
+targets AS (SELECT alias, list_sort(list(DISTINCT canonical)) AS canonicals, list_sort(list(DISTINCT n)) AS ns FROM r GROUP BY alias),
+chained AS (SELECT * FROM targets WHERE alias IN (SELECT canonical FROM r WHERE own) AND len(list_filter(canonicals, lambda c: c <> alias)) > 0)
+"""
+_ISSUES = """
+SELECT 'warning' AS severity, 'EMPTY_CANONICAL' AS code, NULL AS alias, CAST([] AS VARCHAR[]) AS canonicals, [n] AS ns FROM g WHERE canonical IS NULL
+UNION ALL SELECT 'warning', 'ALIASLESS_GROUP', NULL, [raw_canonical], [n] FROM g WHERE canonical IS NOT NULL AND len(named) = 0
+UNION ALL SELECT 'warning', 'DUPLICATE_ROW', NULL, [], list_sort(list(n)) FROM g WHERE canonical IS NOT NULL GROUP BY raw_canonical, signature HAVING count(*) > 1
+UNION ALL SELECT 'warning', 'DUPLICATE_ALIAS', alias, [canonical], list_sort(list(DISTINCT n)) FROM r GROUP BY alias, canonical HAVING count(*) > 1
+UNION ALL SELECT 'error', CASE WHEN alias IN (SELECT raw FROM ambiguous) THEN 'ALIAS_CONFLICT' ELSE 'NORMALIZED_ALIAS_CONFLICT' END, alias, canonicals, ns FROM targets WHERE len(canonicals) > 1
+UNION ALL SELECT 'error', 'CANONICAL_ALIAS_CONFLICT', alias, list_sort(list_distinct(list_append(canonicals, alias))), ns FROM chained
+"""
 
 
-_CLASH = {"A": ["x", "y"], "B": ["Y", "A"], "C": ["x"]}
+def faulty_mapping(spark, sf_dir) -> mapping.Mapping:
+    wide = table(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{e} AS {c}" for c, e in _FAULTY.items()])
+    return mapping.build(mapping.groups_from_wide(wide, "canonical", ["a1", "a2"], row_number="c_custkey"), KeyOptions(case_insensitive=True, unicode_normalize=False))
 
 
-@query("SELECT * FROM (VALUES ('error', 'ALIAS_CONFLICT', 'x'), ('error', 'NORMALIZED_ALIAS_CONFLICT', 'y'), ('error', 'NORMALIZED_ALIAS_CONFLICT', 'a'), ('error', 'CANONICAL_ALIAS_CONFLICT', 'a')) t(severity, code, alias)")
-def mapping_issues(spark, sf_dir):
-    return mapping.build_mapping(spark, _CLASH, KeyOptions(case_insensitive=True)).issues.select("severity", "code", "alias")
+for _name, _severity in (("warnings", "warning"), ("issues", "error")):
+    query(f"{_FAULTY_SQL} SELECT severity, code, alias, array_to_string(canonicals, ',') AS canonicals, array_to_string(ns, ',') AS row_numbers FROM ({_ISSUES}) WHERE severity = '{_severity}'", f"mapping_{_name}")(
+        lambda spark, sf_dir, s=_severity: faulty_mapping(spark, sf_dir).issues.where(F.col("severity") == s).select("severity", "code", "alias", F.array_join("canonicals", ",").alias("canonicals"), F.array_join(F.col("row_numbers").cast("array<string>"), ",").alias("row_numbers"))
+    )
 
 
-@query("SELECT 3::BIGINT AS canonical_count, 5::BIGINT AS alias_count, 7::BIGINT AS mapping_item_count, 1::BIGINT AS duplicate_alias_count, 0::BIGINT AS empty_alias_cell_count, 0::BIGINT AS collision_alias_count, 1::BIGINT AS empty_canonical_count, 0::BIGINT AS duplicate_row_count, 1::BIGINT AS aliasless_group_count")
+@query(
+    f"{_FAULTY_SQL} SELECT (SELECT count(DISTINCT canonical) FROM g) AS canonical_count, (SELECT count(*) FROM r WHERE NOT own) AS alias_count, (SELECT count(*) FROM targets WHERE len(canonicals) = 1 AND alias NOT IN (SELECT alias FROM chained)) AS mapping_item_count, "
+    "(SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM r GROUP BY alias, canonical)) AS duplicate_alias_count, (SELECT CAST(sum(2) AS BIGINT) FROM g WHERE canonical IS NOT NULL) - (SELECT count(*) FROM r WHERE NOT own) AS empty_alias_cell_count, "
+    "(SELECT count(*) FROM targets WHERE len(canonicals) > 1 OR alias IN (SELECT alias FROM chained)) AS collision_alias_count, (SELECT count(*) FROM g WHERE canonical IS NULL) AS empty_canonical_count, "
+    "(SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM g WHERE canonical IS NOT NULL GROUP BY raw_canonical, signature)) AS duplicate_row_count, (SELECT count(*) FROM g WHERE canonical IS NOT NULL AND len(named) = 0) AS aliasless_group_count"
+)
 def mapping_stats(spark, sf_dir):
-    return mapping.build_mapping(spark, _GROUPS, KeyOptions(case_insensitive=True)).stats
+    return faulty_mapping(spark, sf_dir).stats
 
 
 @query("SELECT count(DISTINCT t) AS unique_key_count, count(DISTINCT t) FILTER (WHERE m) AS mapped_key_count, count(DISTINCT t) FILTER (WHERE NOT m) AS unmapped_key_count, count(DISTINCT t) FILTER (WHERE m) * 100.0 / count(DISTINCT t) AS mapping_rate FROM (SELECT lower(event_type) AS t, lower(event_type) IN ('purchase', 'order', 'view', 'click') AS m FROM events)")
@@ -552,3 +579,129 @@ def mapping_pairs_of_table(spark, sf_dir):
 @query(f"SELECT count(*) AS canonical_count, count(*) FILTER (WHERE a3 IS NULL) AS empty_alias_cell_count, CAST(sum(CASE WHEN a3 IS NULL THEN 2 ELSE 3 END) AS BIGINT) AS alias_count, count(*) FILTER (WHERE a3 IS NOT NULL) AS duplicate_alias_count, (SELECT count(*) FROM (SELECT a2 FROM ({_WIDE}) GROUP BY a2 HAVING count(*) > 1)) AS collision_alias_count FROM ({_WIDE})")
 def mapping_stats_of_table(spark, sf_dir):
     return wide_mapping(spark, sf_dir).stats.select("canonical_count", "empty_alias_cell_count", "alias_count", "duplicate_alias_count", "collision_alias_count")
+
+
+# --- rows in the table's own order, differences by value, row by row ----------------------------------
+
+#: Rows of a table of one file in the order they stand in.
+_PLACED = "(SELECT row_number() OVER () AS n, l_partkey AS k, l_returnflag AS f, l_linestatus AS s, l_quantity AS q, CAST(l_shipdate AS DATE) AS d FROM lineitem)"
+
+for _policy, _pick in (("first", "arg_min"), ("last", "arg_max")):
+    query(
+        f"WITH l AS {_PLACED}, p AS (SELECT k, {_pick}(q, n) AS q, count(*) AS n FROM l GROUP BY k) "
+        "SELECT CAST(p_partkey AS VARCHAR) AS key_display, CASE WHEN n IS NULL THEN 'A_ONLY' WHEN n > 1 THEN CASE WHEN q = p_size THEN 'DUP_EQUAL' ELSE 'DUP_DIFF' END WHEN q = p_size THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, coalesce(n, 0) AS b_count, p_size - q AS difference "
+        "FROM part LEFT JOIN p ON p.k = p_partkey",
+        f"recon_{_policy}_row",
+    )(lambda spark, sf_dir, p=_policy: outcome(parts_and_rows(spark, sf_dir, p), first_rule("difference").alias("difference")))
+
+
+def parts_and_rows(spark, sf_dir, policy: str) -> DataFrame:
+    """Parts against their lines, of which the policy takes one by its place in the file."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    parts_ = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return run(parts_, lines, "p_partkey", [rule("p_size", "l_quantity")], join_type="left", duplicate_policy_b=DuplicatePolicy("B", policy))
+
+
+_PLACED_VALUES = "(SELECT k, CAST(sum(c) AS BIGINT) AS n, string_agg(d, ' | ' ORDER BY f) AS v FROM (SELECT k, CAST(d AS VARCHAR) AS d, count(*) AS c, min(n) AS f FROM l WHERE f = '{flag}' GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(
+    f"WITH l AS {_PLACED} SELECT CAST(coalesce(a.k, b.k) AS VARCHAR) AS key_display, a.v AS values_a, b.v AS values_b FROM {_PLACED_VALUES.format(flag='R')} a JOIN {_PLACED_VALUES.format(flag='A')} b ON a.k = b.k WHERE a.n > 1 AND b.n > 1"
+)
+def recon_values_in_row_order(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("d"))
+    result = run(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), "l_partkey", [rule("d", kind="date", normalization_options={"aggregation_method": "concat_unique"})], nm_policy="aggregate", join_type="inner")
+    return result.where("cardinality = 'MANY_TO_MANY'").select("key_display", F.get("rules", 0).normalized_a.alias("values_a"), F.get("rules", 0).normalized_b.alias("values_b"))
+
+
+_COUNTED = (
+    "SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM (SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS v, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) a "
+    "FULL OUTER JOIN (SELECT l_partkey AS k, CAST(l_shipdate AS DATE) AS v, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) b ON a.k = b.k AND a.v = b.v"
+)
+
+
+def value_table(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("d"))
+    return reconcile.value_differences(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), compare("l_partkey", [rule("d", kind="date")]), assume_ascii=True)
+
+
+@query(f"SELECT CAST(k AS VARCHAR) AS key_display, 'r1' AS rule_id, CAST(v AS VARCHAR) AS value, x AS a_count, y AS b_count, CASE WHEN y = 0 THEN 'ONLY_A' WHEN x = 0 THEN 'ONLY_B' ELSE 'COMMON' END AS side, least(x, y) AS common, x - y AS difference FROM ({_COUNTED})")
+def value_differences(spark, sf_dir):
+    return value_table(spark, sf_dir).drop("key")
+
+
+@query(
+    f"SELECT CAST(k AS VARCHAR) AS key_display, count(*) FILTER (WHERE y = 0) AS n_only_a, count(*) FILTER (WHERE x = 0) AS n_only_b, count(*) FILTER (WHERE x > 0 AND y > 0) AS n_common, bool_and(x > 0 AND y > 0) AS same_set, bool_and(x = y) AS same_multiset, "
+    "coalesce(array_to_string(list_sort(list(CAST(v AS VARCHAR)) FILTER (WHERE y = 0))[1:3], ','), '') AS only_a, coalesce(array_to_string(list_sort(list(CAST(v AS VARCHAR)) FILTER (WHERE x = 0))[1:3], ','), '') AS only_b, coalesce(array_to_string(list_sort(list(CAST(v AS VARCHAR)) FILTER (WHERE x > 0 AND y > 0))[1:3], ','), '') AS common "
+    f"FROM ({_COUNTED}) GROUP BY k"
+)
+def difference_details(spark, sf_dir):
+    details = reconcile.difference_details(value_table(spark, sf_dir), shown=3)
+    return details.select("key_display", "n_only_a", "n_only_b", "n_common", "same_set", "same_multiset", *[F.array_join(c, ",").alias(c) for c in ("only_a", "only_b", "common")])
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS key_display, 'ONE_TO_MANY' AS cardinality, 'r1' AS rule_id, count(*) AS n_rows, count(*) FILTER (WHERE d <= 60) AS n_equal, count(*) FILTER (WHERE d > 60) AS n_different, 0::BIGINT AS n_failed, CAST(sum(d) AS DOUBLE) AS absolute_difference "
+    "FROM (SELECT o_orderkey, abs(date_diff('day', CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE))) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY o_orderkey HAVING count(*) > 1"
+)
+def recon_1n_pairs(spark, sf_dir):
+    config = compare("o_orderkey", [rule("o_orderdate", "l_shipdate", kind="date", tolerance_options=Tolerance(absolute=60))], duplicate_policy_b=DuplicatePolicy("B", "row"))
+    return reconcile.row_totals(reconcile.row_pairs(*orders_and_lines(spark, sf_dir), config, assume_ascii=True))
+
+
+# --- text beyond ASCII ---------------------------------------------------------------------------------
+
+#: What a name is written as, and what compatibility forms, composition and case folding make of it.
+_WIDE_FORMS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789#', 'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９＃'"
+_NARROW_FORMS = ", ".join(reversed(_WIDE_FORMS.split(", ")))
+_NAMED = "concat(c_name, CASE c_custkey % 3 WHEN 0 THEN ' Café' WHEN 1 THEN ' Straße' ELSE ' ½ﬁ' END)"
+_OTHERWISE = f"CASE c_custkey % 8 WHEN 0 THEN translate({_NAMED}, {_WIDE_FORMS}) WHEN 1 THEN replace({_NAMED}, 'é', concat('e', chr(769))) WHEN 2 THEN replace({_NAMED}, ' ', chr(12288)) WHEN 3 THEN replace({_NAMED}, ' ', chr(160)) WHEN 4 THEN replace(replace({_NAMED}, '½', '1⁄2'), 'ﬁ', 'fi') WHEN 5 THEN replace({_NAMED}, 'ß', 'SS') WHEN 6 THEN replace(translate({_NAMED}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'é', 'É') ELSE concat({_NAMED}, 'x') END"
+_COMPATIBLE = f"trim(replace(replace(replace(replace(replace(translate({{v}}, {_NARROW_FORMS}), concat('e', chr(769)), 'é'), chr(12288), ' '), chr(160), ' '), '½', '1⁄2'), 'ﬁ', 'fi'))"
+#: Small letters where each has one; SS stands for the sharp s.
+_FOLDED = f"replace(lower(replace({_COMPATIBLE}, 'ß', 'ss')), 'É', 'é')"
+
+
+def _spark_chr(sql: str) -> str:
+    """The same expression for Spark, whose chr() ends at 255."""
+    for code in (769, 12288, 160):
+        sql = sql.replace(f"chr({code})", f"'{chr(code)}'")
+    return sql
+
+
+for _method, _form in (("exact", _COMPATIBLE), ("ignore_case", _FOLDED)):
+    query(
+        f"SELECT CAST(c_custkey AS VARCHAR) AS key_display, CASE WHEN {_form.format(v='a')} = {_form.format(v='b')} THEN 'IDENTICAL' ELSE 'FULL_MISMATCH' END AS status, 1::BIGINT AS a_count, 1::BIGINT AS b_count, {_form.format(v='b')} AS normalized FROM (SELECT c_custkey, {_NAMED} AS a, {_OTHERWISE} AS b FROM customer)",
+        f"recon_unicode_{_method}",
+    )(lambda spark, sf_dir, m=_method: outcome(named_otherwise(spark, sf_dir, m), first_rule("normalized_b").alias("normalized")))
+
+
+def named_otherwise(spark, sf_dir, method: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    a, b = (rows.selectExpr("c_custkey", f"{_spark_chr(e)} AS v") for e in (_NAMED, _OTHERWISE))
+    return reconcile.reconcile(a, b, compare("c_custkey", [rule("v", kind="text", method=method)]))
+
+
+@query(f"SELECT {_FOLDED.format(v='b')} AS key_display, count(*) AS b_count FROM (SELECT {_OTHERWISE} AS b FROM customer) GROUP BY 1")
+def key_unicode(spark, sf_dir):
+    """Keys beyond ASCII, as both sides of a comparison write them."""
+    rows = table(spark, sf_dir, "customer")
+    a, b = (rows.selectExpr(f"{_spark_chr(e)} AS k", "c_acctbal") for e in (_NAMED, _OTHERWISE))
+    result = reconcile.reconcile(a, b, compare("k", [rule("c_acctbal")], key_options=KeyOptions(case_insensitive=True)))
+    return result.where("b_count > 0").select("key_display", "b_count")
+
+
+# --- a result that is written once and read by sheet and page -------------------------------------------
+
+_STATUSES = "SELECT 'mismatched' AS sheet, status, key_display FROM c WHERE status IN ('PARTIAL_MISMATCH', 'FULL_MISMATCH') UNION ALL SELECT 'a_only', status, key_display FROM c WHERE status = 'A_ONLY' UNION ALL SELECT 'b_only', status, key_display FROM c WHERE status = 'B_ONLY'"
+
+
+@query(f"{_PERTURBED} SELECT sheet, count(*) AS n, min(key_display) AS first_key, max(key_display) AS last_key FROM ({_STATUSES}) GROUP BY sheet")
+def view_stored_sheets(spark, sf_dir):
+    stored = views.store(perturbed(spark, sf_dir))
+    rows = [stored.sheet(name).select(F.lit(name).alias("sheet"), "key_display") for name in ("mismatched", "a_only", "b_only")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("sheet").agg(F.count("*").alias("n"), F.min("key_display").alias("first_key"), F.max("key_display").alias("last_key"))
+
+
+@query(f"{_PERTURBED} SELECT key_display, status FROM c WHERE status IN ('PARTIAL_MISMATCH', 'FULL_MISMATCH') AND key_display >= '2' ORDER BY key_display LIMIT 50")
+def view_stored_page(spark, sf_dir):
+    return views.store(perturbed(spark, sf_dir)).page("mismatched", "2", 50).select("key_display", "status")

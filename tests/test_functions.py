@@ -85,3 +85,19 @@ def test_canonical_json():
     assert scalar.canonical_json({"b": 1, "a": [None, "é"]}) == '{"a":[null,"é"],"b":1}'
     with pytest.raises(ValueError):
         scalar.canonical_json(float("nan"))
+
+
+def test_steps_that_use_their_input_often_stay_a_chain(spark):
+    """Each step is in the plan once, whatever the steps behind it."""
+    from keyweave.config import KeyOptions
+
+    rows = spark.createDataFrame([(" (1,234.50) ",), ("007.0",), ("$ 5",), ("x",), (None,), ("2024-03-01",)], "v string")
+    options = KeyOptions(coerce_numeric_string=True)
+    keys = rows.select("v", normalize.normalize_key(F.col("v"), type("Options", (), vars(options) | {"assume_ascii": True})()).alias("k"))
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") + plan.count("RLIKE") < 20 and len(plan) < 20_000
+    assert {r.v: r.k for r in keys.collect()} == {" (1,234.50) ": "-1234.5", "007.0": "7", "$ 5": "5", "x": "x", None: None, "2024-03-01": "2024-03-01"}
+    dated = rows.select(normalize.normalize_key(F.col("v"), type("Options", (), vars(KeyOptions(date_format="year", coerce_numeric_string=True)) | {"assume_ascii": True})()).alias("k"))
+    assert "2024" in {r.k for r in dated.collect()} and len(dated._jdf.queryExecution().optimizedPlan().toString()) < 30_000
+    percent = normalize.parse_number(F.col("v"), {"percent_string": True})
+    assert [r[0] for r in spark.createDataFrame([("(50%)",), ("50%",), ("5",)], "v string").select(percent).collect()] == [-0.5, 0.5, 5.0]
