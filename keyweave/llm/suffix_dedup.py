@@ -3,10 +3,14 @@
 Only places that can matter reach the suffix sort.  The least of the 32-byte hashes in a 200-byte
 window is its anchor; equal windows have equal anchors at equal distances, so a window can only be
 repeated if its anchor is.  The windows of one anchor are one stretch of text, its span.  Spans of
-equal content are added up before they are shuffled by it: where one stands twice, all its windows are
-repeated.  The contents of an anchor that has more than one go to the shard of that anchor, one place
-of each, where the suffixes are sorted by external induced sorting and neighbours with 200 bytes in
-common are the repeated windows.
+equal content, by hash, are added up before they are shuffled by it.
+
+What is repeated is decided by the sorted suffixes alone: neighbours with 200 bytes in common are
+repeated windows.  Of a content that stands more than once two places are sorted, those that follow
+each other in both texts as one stretch; where all windows of a content turn out repeated there, its
+other places, which share 128 bits of hash with it, are as well, and a join carries that to them.
+(Should the two places differ, all places of that hash are sorted.)  The contents of an anchor that has more than one go to the shard of that
+anchor, one place of each.  No place is in a shard twice.
 
 A task is given a range of anchors and sorts them shard by shard.  An anchor whose contents are more
 than SPLIT_BYTES is cut first: each of its spans by a second anchor, the least by another hash, and so
@@ -136,8 +140,11 @@ def _finer(bodies: DataFrame, length: int, level: int) -> DataFrame:
 
 
 def _contents(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, id, print, first, times, body): the bytes of ``wanted`` spans (id, print, anchor, place, times)."""
-    perdoc = wanted.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "place", "times")).alias("spans"))
+    """(anchor, id, print, first, times, body, twin): the bytes of ``wanted`` spans (id, print, anchor, place, times, twin).
+
+    Spans that are twins of others by one anchor, and follow one another, are one body.
+    """
+    perdoc = wanted.groupBy("id", "print").agg(F.collect_list(F.struct("twin", "anchor", "place", "times")).alias("spans"))
     held = Filter(wanted, "print")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +153,21 @@ def _contents(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     texts = map_batches(keyed, keep, "id long, print long, text string").dropDuplicates(["id", "print"])
     rows = texts.join(perdoc, ["id", "print"]).select("id", "print", "text", "spans")
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("first", pa.int64()), ("times", pa.int64()), ("body", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("print", pa.int64()), ("first", pa.int64()), ("times", pa.int64()), ("body", pa.binary()), ("twin", pa.bool_())])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, p, text, spans in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = text.encode()
-                first = [s["place"] >> _PLACE for s in spans]
-                stop = [f + (s["place"] & ((1 << _PLACE) - 1)) + length - 1 for f, s in zip(first, spans, strict=True)]
-                yield batch_of(schema, anchor=[s["anchor"] for s in spans], id=[i] * len(spans), print=[p] * len(spans), first=first, times=[s["times"] for s in spans], body=[raw[a:b] for a, b in zip(first, stop, strict=True)])
+                raw, found = text.encode(), []
+                for s in sorted(spans, key=lambda s: (s["twin"], s["anchor"], s["place"])):
+                    first, windows = s["place"] >> _PLACE, s["place"] & ((1 << _PLACE) - 1)
+                    if s["twin"] and found and found[-1][0] and found[-1][1] == s["anchor"] and found[-1][3] == first:
+                        found[-1][3] = first + windows
+                    else:
+                        found.append([s["twin"], s["anchor"], first, first + windows, s["times"]])
+                yield batch_of(schema, anchor=[x[1] for x in found], id=[i] * len(found), print=[p] * len(found), first=[x[2] for x in found], times=[x[4] for x in found], body=[raw[x[2] : x[3] + length - 1] for x in found], twin=[x[0] for x in found])
 
-    return map_batches(rows, cut_out, "anchor long, id long, print long, first long, times long, body binary")
+    return map_batches(rows, cut_out, "anchor long, id long, print long, first long, times long, body binary, twin boolean")
 
 
 _RANGES = pa.schema([("id", pa.int64()), ("print", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -198,10 +209,10 @@ class _Shard:
 
 
 def _sorted_shards(bodies: DataFrame, tasks: int, length: int, shard_bytes: int, memory: int) -> DataFrame:
-    """(id, print, start, stop): what repeated windows cover, from the suffixes of each shard; an anchor is in one shard."""
+    """(id, print, start, stop): what repeated windows cover, from the suffixes of each shard; an anchor is in one shard, twins in shards of their own."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5)), strict=True))
+        rows = (((row[5], row[0]), *row[1:5]) for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)), strict=True))
         row = next(rows, None)
         while row is not None:
             shard = _Shard(length)
@@ -212,12 +223,12 @@ def _sorted_shards(bodies: DataFrame, tasks: int, length: int, shard_bytes: int,
                     anchor = row[0]
                     yield shard.add(*row[1:])
                     row = next(rows, None)
-                    if row is not None and row[0] != anchor and shard.bytes >= shard_bytes:
+                    if row is not None and row[0] != anchor and (shard.bytes >= shard_bytes or row[0][0] != anchor[0]):
                         return
 
             yield from shard.ranges(*joined(pieces()), memory)
 
-    return map_batches(bodies.repartition(tasks, "anchor").sortWithinPartitions("anchor"), sort, _RANGES_DDL)
+    return map_batches(bodies.repartition(tasks, "anchor").sortWithinPartitions("twin", "anchor"), sort, _RANGES_DDL)
 
 
 def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, split_bytes: int = SPLIT_BYTES, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
@@ -229,16 +240,23 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     spans = spans_of(keyed, length)
     again = dealt(spans.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"), "anchor", "times").select("anchor")
     spans = cut(spans.join(again, "anchor").select(*_SPANS.names))
-    covered, sorted_, size = [], [], 0
+    counted, sorted_, size = [], [], 0
     for level in range(1, LEVELS + 1):
-        contents = cut(spans.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.min(F.struct("id", "print", "place")).alias("one")))
-        whole = spans.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-        covered.append(whole.select("id", "print", start.alias("start"), (start + windows + length - 1).alias("stop")))
-        # nothing new comes from an anchor of one content, or where all contents stand twice
+        place = F.struct("id", "print", "place")
+        contents = cut(spans.groupBy("anchor", "content").agg(F.sum("times").alias("times"), F.min(place).alias("one"), F.max(place).alias("two")))
+        # a row that stands twice is both places of its contents; at further levels that was seen before
+        twice = contents.where("times > 1" if level == 1 else "times > 1 and one <> two")
+        counted.append((spans, twice))
+        # one key for all contents that stand at the same distance in the same two texts
+        pair = F.xxhash64("one.id", "one.print", "two.id", "two.print", F.shiftright("two.place", _PLACE) - F.shiftright("one.place", _PLACE))
+        twins = twice.select(pair.alias("anchor"), F.explode(F.array("one", "two")).alias("p")).select("anchor", "p.*", F.lit(2).cast("long").alias("times"), F.lit(True).alias("twin"))
+        sorted_.append(twins)
         place_windows = F.col("one.place").bitwiseAND(F.lit((1 << _PLACE) - 1))
+        size += twice.agg(F.coalesce(F.sum(place_windows) * 2, F.lit(0)).alias("n")).first().n
+        # nothing new comes from an anchor of one content, or where all contents stand twice
         anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least"), F.sum(place_windows + length).alias("bytes")).where("kinds > 1 and least = 1")
         anchors = cut(anchors.select("anchor", "bytes", ((F.col("bytes") > split_bytes) & F.lit(level < LEVELS)).alias("hot")))
-        wanted = cut(contents.join(anchors, "anchor").select("anchor", "one.*", "times", "hot"))
+        wanted = cut(contents.join(anchors, "anchor").select("anchor", "one.*", "times", F.lit(False).alias("twin"), "hot"))
         totals = {r.hot: r.bytes for r in anchors.groupBy("hot").agg(F.sum("bytes").alias("bytes")).collect()}
         if False in totals:
             size += totals[False]
@@ -246,10 +264,49 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         if True not in totals:
             break
         spans = cut(_finer(_contents(keyed, wanted.where("hot").drop("hot"), length), length, level))
-    if sorted_:
-        tasks = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-        covered.append(_sorted_shards(_contents(keyed, reduce(DataFrame.unionByName, sorted_), length), tasks, length, shard_bytes, memory))
-    return reduce(DataFrame.unionByName, covered).groupBy("id", "print").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sort(rows: DataFrame, size: int) -> DataFrame:
+        return cut(_sorted_shards(_contents(keyed, rows, length), max(partitions, -(-size // TASK_BYTES)), length, shard_bytes, memory))
+
+    names = ["anchor", "id", "print", "place", "times", "twin"]
+    ranges = [sort(reduce(DataFrame.unionByName, [x.select(*names) for x in sorted_]), size)]
+    for spans, twice in counted:
+        told = cut(_told(twice, ranges[0], length))
+        whole = spans.join(told.where("repeated").select("anchor", "content"), ["anchor", "content"], "left_semi")
+        ranges.append(whole.select("id", "print", start.alias("start"), (start + windows + length - 1).alias("stop")))
+        unlike = spans.join(told.where("not repeated").select("anchor", "content"), ["anchor", "content"], "left_semi")
+        if not told.where("not repeated").isEmpty():
+            ranges.append(sort(unlike.select("anchor", "id", "print", "place", "times", F.lit(False).alias("twin")), 0))
+    return reduce(DataFrame.unionByName, ranges).groupBy("id", "print").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+
+
+def _told(twice: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, repeated): whether all windows of a content's first place are among the repeated ones."""
+    mine = twice.groupBy("one.id", "one.print").agg(F.collect_list(F.struct("anchor", "content", "one.place")).alias("spans"))
+    held = ranges.groupBy("id", "print").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("repeated", pa.bool_())])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for spans, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                runs: list[list[int]] = []
+                for r in sorted(found or [], key=lambda r: r["start"]):
+                    first, last = r["start"], r["stop"] - length
+                    if runs and first <= runs[-1][1] + 1:
+                        runs[-1][1] = max(runs[-1][1], last)
+                    else:
+                        runs.append([first, last])
+                begins = np.array([r[0] for r in runs], np.int64)
+                ends = np.array([r[1] for r in runs], np.int64)
+                place = np.array([s["place"] for s in spans], np.int64)
+                first = place >> _PLACE
+                last = first + (place & ((1 << _PLACE) - 1)) - 1
+                at = np.searchsorted(begins, first, side="right") - 1
+                repeated = (at >= 0) & (last <= ends[at]) if len(runs) else np.zeros(len(spans), bool)
+                yield batch_of(schema, anchor=[s["anchor"] for s in spans], content=[s["content"] for s in spans], repeated=repeated)
+
+    return map_batches(mine.join(held, ["id", "print"], "left").select("spans", "ranges"), tell, "anchor long, content long, repeated boolean")
 
 
 def _kept(raw: bytes, ranges: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:

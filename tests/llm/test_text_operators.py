@@ -298,6 +298,24 @@ def test_suffix_dedup_repeated_rows_and_long_pieces(spark, monkeypatch):
     assert suffixes.dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_sorted_neighbours_decide_what_is_repeated(spark, monkeypatch):
+    """Without the sort nothing is removed, and where two places of one hash differ all of them are sorted."""
+    rng = random.Random(77)
+    base = passage(rng, 300)
+    rows = [(1, base), (2, base), (3, base + " tail " + passage(rng, 200)), (4, passage(rng, 200) + base[:900]), (5, base), (5, base), (6, "x" * 500), (7, None)]
+    kept = [(r.doc_id, r.n_removed) for r in suffixes.dedup_substrings(table(spark, rows)).collect()]
+    assert all(n > 0 for i, n in kept if i < 7)
+    calls = []
+
+    def none(bodies, *more):
+        calls.append(bodies.count())
+        return bodies.select("id", "print", F.col("first").alias("start"), F.col("first").alias("stop")).where("false")
+
+    monkeypatch.setattr(suffixes, "_sorted_shards", none)
+    assert {r.n_removed for r in suffixes.dedup_substrings(table(spark, rows)).collect()} == {0}
+    assert len(calls) == 2 and all(calls)
+
+
 # --- 5: licenses ---
 
 
