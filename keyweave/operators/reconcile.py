@@ -144,6 +144,35 @@ def _records(df: DataFrame, config: Comparison, side: str, order_by: str | None,
     return rows.select("__key", F.lit(side).alias("__side"), "__row_id", record.alias("__rec"), (F.col(order) if order else F.lit(None).cast("int")).alias(f"__order_{side.lower()}"), "__key_trace")
 
 
+class Prepared:
+    """A side of comparisons, keyed and normalised, held by key: comparing it with another table shuffles that table alone."""
+
+    def __init__(self, rows: DataFrame, columns: list[str], made_for: tuple, partitions: int):
+        self.rows, self.columns, self.made_for, self.partitions = rows, columns, made_for, partitions
+
+    def unpersist(self) -> None:
+        self.rows.unpersist()
+
+
+def _made_for(config: Comparison, side: str, assume_ascii: bool) -> tuple:
+    """What the rows of a side depend on."""
+    dataset, policy = (config.dataset_a, config.duplicate_policy_a) if side == "A" else (config.dataset_b, config.duplicate_policy_b)
+    rules = [(r.column_a_id if side == "A" else r.column_b_id, r.data_type, r.comparison_method, r.normalization_options, r.null_policy, r.tolerance_options) for r in config.comparison_rules]
+    return side, repr((dataset.key_columns, dataset.key_normalization, dataset.key_mappings, rules, policy.representative_sort_column)), assume_ascii
+
+
+def prepare(df: DataFrame, config: Comparison, side: str, order_by: str | None = None, assume_ascii: bool = False, partitions: int | None = None) -> Prepared:
+    """``df`` as a side ("A" or "B") of any number of comparisons with the same keys, rules and order: its rows are dealt out by key and held.
+
+    ``partitions`` is the session's number of shuffle partitions unless given.  Rows go to disk where
+    memory is short; ``unpersist`` lets them go.  A hot key's rows stand in one partition here, which a
+    comparison of plain tables combines before it shuffles.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _records(df, config, side, order_by, assume_ascii).repartition(n, "__key").persist()
+    return Prepared(rows, df.columns, _made_for(config, side, assume_ascii), n)
+
+
 def _ascii(rule: Rule, assume: bool) -> Rule:
     if not assume:
         return rule
@@ -172,9 +201,11 @@ def _picked(side: str, policy: DuplicatePolicy, how: str, sorted_by: bool) -> Co
     return F.min_by(rec, by(row))
 
 
-def reconcile(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False, nm_picks: bool = False, drop_nulls: bool = False, shown_values: int = SHOWN_VALUES) -> DataFrame:
+def reconcile(a: DataFrame | Prepared, b: DataFrame | Prepared, config: Comparison, order_a: str | None = None, order_b: str | None = None, assume_ascii: bool = False, with_trace: bool = False, key_only: bool = False, nm_picks: bool = False, drop_nulls: bool = False, shown_values: int = SHOWN_VALUES) -> DataFrame:
     """One row per key: status, flags, counts, row ids and an array of rule results.
 
+    A side may be ``prepare``d before, for the same keys, rules and order.
+
     ``assume_ascii`` leaves the Unicode step, which runs in Python, out of the plan.  ``with_trace``
     adds what each source row's key came from.  ``key_only`` allows a configuration without rules.
     ``nm_picks`` lets N:M keys pick the first or last row too, and ``drop_nulls`` leaves nulls out of
@@ -462,8 +493,18 @@ def row_totals(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _both_sides(a: DataFrame, b: DataFrame, config: Comparison, order_a: str | None, order_b: str | None, assume_ascii: bool) -> DataFrame:
-    return _records(a, config, "A", order_a, assume_ascii).unionByName(_records(b, config, "B", order_b, assume_ascii), allowMissingColumns=True)
+def _both_sides(a: DataFrame | Prepared, b: DataFrame | Prepared, config: Comparison, order_a: str | None, order_b: str | None, assume_ascii: bool) -> DataFrame:
+    partitions = next((x.partitions for x in (a, b) if isinstance(x, Prepared)), None)
+    sides = []
+    for side, df, order in (("A", a, order_a), ("B", b, order_b)):
+        if isinstance(df, Prepared):
+            if df.made_for != _made_for(config, side, assume_ascii):
+                raise ConfigError(f"side {side} was prepared for other keys, rules or options")
+            sides.append(df.rows)
+        else:
+            rows = _records(df, config, side, order, assume_ascii)
+            sides.append(rows.repartition(partitions, "__key") if partitions else rows)
+    return sides[0].unionByName(sides[1], allowMissingColumns=True)
 
 
 def summary(result: DataFrame) -> DataFrame:

@@ -705,3 +705,15 @@ def view_stored_sheets(spark, sf_dir):
 @query(f"{_PERTURBED} SELECT key_display, status FROM c WHERE status IN ('PARTIAL_MISMATCH', 'FULL_MISMATCH') AND key_display >= '2' ORDER BY key_display LIMIT 50")
 def view_stored_page(spark, sf_dir):
     return views.store(perturbed(spark, sf_dir)).page("mismatched", "2", 50).select("key_display", "status")
+
+
+# --- one side prepared for several comparisons -----------------------------------------------------------
+
+
+@query(f"{_PERTURBED} SELECT 'edited' AS against, status, count(*) AS n FROM c GROUP BY status UNION ALL SELECT 'itself', 'IDENTICAL', count(*) FROM orders")
+def recon_prepared_side(spark, sf_dir):
+    orders, edited = edited_orders(spark, sf_dir)
+    config = compare("o_orderkey", _RULES)
+    a = reconcile.prepare(orders, config, "A", assume_ascii=True)
+    both = [reconcile.reconcile(a, b, config, assume_ascii=True).select(F.lit(name).alias("against"), "status") for name, b in (("edited", edited), ("itself", orders))]
+    return both[0].unionByName(both[1]).groupBy("against", "status").agg(F.count("*").alias("n"))
