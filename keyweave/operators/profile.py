@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyweave.functions.normalize import FALSE_WORDS, TRUE_WORDS, as_text, parse_timestamp, strip, to_float
+from keyweave.operators.reconcile import with_row_id
 
 #: Shares of values from which a type is taken.
 NUMBER_SHARE, UNIT_SHARE, DATE_SHARE = 0.95, 0.8, 0.8
@@ -18,10 +19,10 @@ HEAD = 20
 
 
 def _values(df: DataFrame, order: bool = False) -> DataFrame:
-    """(column, position, value) of every cell; ``row`` too for the first rows' sake."""
+    """(column, position, value) of every cell; the row's id too for the first rows' sake."""
     cells = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), as_text(F.col(c), df.schema[c].dataType).alias("value")) for i, c in enumerate(df.columns)])
-    keep = ["__row"] if order else []
-    rows = df.withColumn("__row", F.monotonically_increasing_id()) if order else df
+    keep = ["__row_id"] if order else []
+    rows = with_row_id(df) if order else df
     return rows.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.*")
 
 
@@ -63,20 +64,24 @@ def _inferred(count: Column, n: dict[str, Column], timed: Column) -> Column:
 def profile_columns(df: DataFrame) -> DataFrame:
     """(position, column, missing_count, missing_rate, unique_count, inferred_type); missing means null and no token.
 
-    A date column is a datetime if one of its first 20 values shows a time; without an order of rows
-    those are any 20 values, the smallest here, so that the answer is stable.
+    A date column is a datetime if one of its first 20 values shows a time, by the rows' order in a Parquet
+    table (or the ``__row_no`` of a grid).  Only the cells of date columns are looked at for that; where
+    there are none, nothing is read again.
     """
     distinct = _values(df).groupBy("position", "column", "value").agg(F.count("*").alias("n"))
     looks = _looks(F.col("value"))
-    first = F.row_number().over(Window.partitionBy("position").orderBy(F.col("value").asc_nulls_last()))
-    head = distinct.where("value is not null").withColumn("at", first).where(F.col("at") <= HEAD).groupBy("position").agg(F.bool_or(looks["timed"]).alias("timed"))
     full = F.col("value").isNotNull()
     sums = distinct.groupBy("position", "column").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("full"), F.count_if(full).alias("unique_count"),
         *[F.coalesce(F.sum(F.when(full & looks[k], F.col("n"))), F.lit(0)).alias(k) for k in ("word", "number", "units", "plain", "date")],
     )
-    joined = sums.join(head, "position", "left")
-    kind = _inferred(F.col("full"), {k: F.col(k) for k in ("word", "number", "units", "plain", "date")}, F.coalesce("timed", F.lit(False)))
+    counts = {k: F.col(k) for k in ("word", "number", "units", "plain", "date")}
+    # a row for each column
+    dates = sums.where(_inferred(F.col("full"), counts, F.lit(False)) == "date").select("position")
+    first = F.row_number().over(Window.partitionBy("position").orderBy("__row_id"))
+    head = _values(df, order=True).where(full).join(F.broadcast(dates), "position").withColumn("at", first).where(F.col("at") <= HEAD)
+    joined = sums.join(head.groupBy("position").agg(F.bool_or(looks["timed"]).alias("timed")), "position", "left")
+    kind = _inferred(F.col("full"), counts, F.coalesce("timed", F.lit(False)))
     missing = F.col("rows") - F.col("full")
     return joined.select("position", "column", missing.cast("long").alias("missing_count"), (missing / F.col("rows")).cast("double").alias("missing_rate"), F.col("unique_count").cast("long").alias("unique_count"), kind.alias("inferred_type"))
 

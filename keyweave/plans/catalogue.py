@@ -717,3 +717,23 @@ def recon_prepared_side(spark, sf_dir):
     a = reconcile.prepare(orders, config, "A", assume_ascii=True)
     both = [reconcile.reconcile(a, b, config, assume_ascii=True).select(F.lit(name).alias("against"), "status") for name, b in (("edited", edited), ("itself", orders))]
     return both[0].unionByName(both[1]).groupBy("against", "status").agg(F.count("*").alias("n"))
+
+
+# --- types by the first rows -------------------------------------------------------------------------------
+
+_DAY = "concat('20', 10 + o_orderkey % 13, '-0', 1 + o_orderkey % 9, '-1', o_orderkey % 10)"
+#: Days that show a time in every row, in some of the first, only in later ones, or behind many nulls.
+_DAYS = {
+    "always": f"concat({_DAY}, ' 10:30:00')", "early": f"CASE WHEN o_orderkey % 12 = 3 THEN concat({_DAY}, ' 08:00:00') ELSE {_DAY} END", "never": _DAY,
+    "late": f"CASE WHEN o_orderkey > 400 THEN concat({_DAY}, ' 08:00:00') ELSE {_DAY} END", "sparse": f"CASE WHEN o_orderkey > 900 AND o_orderkey % 5 = 1 THEN CASE WHEN o_orderkey > 4000 THEN concat({_DAY}, ' 08:00') ELSE {_DAY} END END",
+}
+
+
+@query(
+    f"WITH r AS (SELECT row_number() OVER () AS n, {', '.join(f'{e} AS {c}' for c, e in _DAYS.items())} FROM orders), u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", n, {c} AS v FROM r" for c in _DAYS) + "), "
+    "f AS (SELECT \"column\", v, row_number() OVER (PARTITION BY \"column\" ORDER BY n) AS at FROM u WHERE v IS NOT NULL) "
+    "SELECT \"column\", count(*) FILTER (WHERE v IS NULL) AS missing_count, count(DISTINCT v) AS unique_count, CASE WHEN (SELECT bool_or(contains(f.v, ' ')) FROM f WHERE f.at <= 20 AND f.\"column\" = u.\"column\") THEN 'datetime' ELSE 'date' END AS inferred_type FROM u GROUP BY \"column\""
+)
+def profile_dates(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in _DAYS.items()])
+    return profile.profile_columns(rows).select("column", "missing_count", "unique_count", "inferred_type")
