@@ -39,7 +39,7 @@ ANCHOR = 32
 SHARD_BYTES, TASK_BYTES, SPLIT_BYTES = 2 << 20, 256 << 20, 32 << 20
 LEVELS = 4
 #: Tuples that the queues and sorts of a shard hold in memory; shards have more, and the rest is on disk.
-MEMORY = 1 << 19
+MEMORY = 1 << 21
 _PIECE = 8 << 20
 _PLACE = 24
 
