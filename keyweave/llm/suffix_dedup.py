@@ -36,10 +36,10 @@ from keyweave.llm.textkit import _BYTE_VALUES, Filter, batch_of, gram_hashes, ma
 LENGTH = 200
 ANCHOR = 32
 #: Bytes of a shard, of all shards of a task, and of an anchor that is not cut further.
-SHARD_BYTES, TASK_BYTES, SPLIT_BYTES = 2 << 20, 256 << 20, 32 << 20
+SHARD_BYTES, TASK_BYTES, SPLIT_BYTES = 8 << 20, 256 << 20, 32 << 20
 LEVELS = 4
 #: Tuples that the queues and sorts of a shard hold in memory; shards have more, and the rest is on disk.
-MEMORY = 1 << 21
+MEMORY = 1 << 19
 _PIECE = 8 << 20
 _PLACE = 24
 
