@@ -73,7 +73,7 @@ def _component(column: Column, kind: T.DataType, fold: bool) -> Column:
     tag = "bool" if isinstance(kind, T.BooleanType) else "int" if isinstance(kind, T.IntegralType) else "decimal" if isinstance(kind, T.DecimalType) else "float" if isinstance(kind, T.FractionalType) else "date" if isinstance(kind, T.DateType) else "string"
     shown = as_text(column, kind)
     shown = F.lower(shown) if fold and tag == "string" else shown
-    return F.when(shown.isNotNull() & (strip(shown) != ""), F.struct(F.lit(tag).alias("type"), shown.alias("value")))
+    return F.when(shown.isNotNull() & (strip(shown) != "") if tag == "string" else shown.isNotNull(), F.struct(F.lit(tag).alias("type"), shown.alias("value")))
 
 
 def typed_key(df: DataFrame, keys: list[str], fold: bool = False) -> Column:
@@ -84,6 +84,9 @@ def typed_key(df: DataFrame, keys: list[str], fold: bool = False) -> Column:
     whole = F.lit(True)
     for p in parts:
         whole = whole & p.isNotNull()
+    if all(isinstance(df.schema[k].dataType, (T.IntegralType, T.DateType, T.BooleanType)) for k in keys):
+        # digits, days and truth values have nothing to escape
+        return F.concat(F.lit("["), *[x for i, p in enumerate(parts) for x in (F.lit("," if i else ""), F.concat(F.lit('{"type":"'), p["type"], F.lit('","value":"'), p["value"], F.lit('"}')))], F.lit("]"))
     return F.when(whole, F.to_json(F.array(*parts)))
 
 
@@ -109,7 +112,7 @@ def compare_typed(a: DataFrame, b: DataFrame, options: Options, order_a: str | N
         picks = column or first if options.policy == "representative" else None
         settings.append((Dataset(key_columns=keys if mapped else [KEY], key_normalization=KeyOptions(case_insensitive=options.case_insensitive_keys) if mapped else KeyOptions(unicode_normalize=False, strip_numeric_dot_zero=False), key_mappings=options.mappings if mapped else {}), DuplicatePolicy(side, "error" if options.policy == "report" else options.policy, picks, "desc")))
     config = Comparison(settings[0][0], settings[1][0], "outer", settings[0][1], settings[1][1], "error" if options.policy == "report" else options.policy, options.rules)
-    result = reconcile(*sides, config, key_only=not options.rules, nm_picks=True, drop_nulls=True, with_trace=with_trace)
+    result = reconcile(*sides, config, key_only=not options.rules, nm_picks=True, drop_nulls=True, with_trace=with_trace, json_keys=not mapped)
     matched = F.forall("rules", lambda x: x.status == EQUAL)
     status = F.coalesce(lookup(STATUSES, F.col("status")), F.when(matched, "matched").otherwise("changed"))
     repeated = (F.col("a_count") > 1) | (F.col("b_count") > 1)

@@ -96,3 +96,16 @@ def test_shown_values_and_search_in_mapping_text(spark):
     options = Options(["id"], rules=[text("value")], mappings={"id": KeyMapping(enabled=True, groups={"Main": ["Alias One"]})})
     found = compare_typed(spark.createDataFrame([("Alias One", "v"), ("other", "v")], SCHEMA), spark.createDataFrame([("Main", "v")], SCHEMA), options, with_trace=True)
     assert dialect_view(found, key="alias one").count() == 1 and dialect_view(found, key="MAIN").count() == 1 and dialect_view(found, key="oth").count() == 1
+
+
+def test_typed_keys_have_no_text_steps(spark):
+    from keyweave.operators.dialect import typed_key
+
+    rows = spark.createDataFrame([(1, True, 'a" b', 1.5), (None, True, "x", 2.0), (2, None, " ", 3.0)], "i long, t boolean, s string, v double")
+    plain = compare_typed(rows, rows, Options(["i", "t"], rules=[number("v")]))
+    plan = plain.select("key", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?U)" not in plan and "to_json" not in plan
+    assert {(r.key, r.status) for r in plain.collect()} == {('[{"type":"int","value":"1"},{"type":"bool","value":"True"}]', "matched"), (None, "invalid-key")}
+    text = compare_typed(rows, rows, Options(["s"], rules=[number("v")]))
+    assert {r.key for r in text.collect()} == {'[{"type":"string","value":"a\\" b"}]', '[{"type":"string","value":"x"}]', None}
+    assert [r.k for r in rows.select(typed_key(rows, ["i", "s"]).alias("k")).collect()] == ['[{"type":"int","value":"1"},{"type":"string","value":"a\\" b"}]', None, None]
