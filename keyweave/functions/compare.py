@@ -90,6 +90,21 @@ def rounded(rule: Rule, value: Column) -> Column:
     return value
 
 
+def tells_apart(rule: Rule, kind: T.DataType) -> bool:
+    """Whether two values of a typed column are the same only where their originals are, and none of them fails to convert."""
+    if is_missing_typed(F.lit(None), kind, rule.null_policy.missing_tokens) is None:
+        return False
+    match family(rule):
+        case "number":
+            exact = isinstance(kind, (T.DoubleType, T.FloatType, T.IntegerType, T.ShortType, T.ByteType))
+            return exact and rule.comparison_method not in ("round", "rounding") and "percent_string" not in rule.normalization_options
+        case "date":
+            return isinstance(kind, T.DateType) and date_mode(rule) == "date"
+        case "boolean":
+            return isinstance(kind, T.BooleanType) and not rule.normalization_options.get("mapping")
+    return False
+
+
 def slot(rule: Rule, column: Column, kind: T.DataType) -> Column:
     text = as_text(column, kind)
     ascii_only = bool(rule.normalization_options.get("assume_ascii"))
