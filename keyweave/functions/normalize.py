@@ -90,7 +90,9 @@ def is_missing_typed(column: Column, kind: T.DataType, tokens: Sequence[str] | N
     return column.isNull() | F.isnan(column) if isinstance(kind, (T.DoubleType, T.FloatType)) else column.isNull()
 
 
-def _unicode(nfkc: bool, fold: bool):
+def _unicode(nfkc: bool, fold: bool, each: bool = False):
+    """The Python step; with ``each`` for every text of an array, and no filter on its result repeats it."""
+
     def change(text: str | None) -> str | None:
         if text is None:
             return None
@@ -103,7 +105,11 @@ def _unicode(nfkc: bool, fold: bool):
     def apply(values: pd.Series) -> pd.Series:
         return values.map(change, na_action="ignore")
 
-    return apply
+    @F.pandas_udf("array<string>")
+    def apply_each(values: pd.Series) -> pd.Series:
+        return values.map(lambda texts: [change(t) for t in texts], na_action="ignore")
+
+    return apply_each.asNondeterministic() if each else apply
 
 
 def normalize_text(text: Column, options: dict | None = None) -> Column:
@@ -113,9 +119,22 @@ def normalize_text(text: Column, options: dict | None = None) -> Column:
     """
     o = options or {}
     ascii_only = o.get("assume_ascii", False)
-    out = F.when(~is_missing(text, o.get("missing_tokens"), ascii_only), text)
+    out = _not_missing(text, o)
     if o.get("unicode_normalize", True) and not ascii_only:
         out = _unicode(True, False)(out)
+    out = _between(out, o)
+    if o.get("case_insensitive", False):
+        out = F.lower(out) if ascii_only else _unicode(False, True)(out)
+    return _letters(out, o)
+
+
+def _not_missing(text: Column, o: dict) -> Column:
+    return F.when(~is_missing(text, o.get("missing_tokens"), o.get("assume_ascii", False)), text)
+
+
+def _between(out: Column, o: dict) -> Column:
+    """The text steps between the Unicode form and the case."""
+    ascii_only = o.get("assume_ascii", False)
     if o.get("remove_special_spaces", True) and not ascii_only:
         out = F.translate(out, "\u00a0\u3000", "  ")
     if o.get("remove_line_breaks", True):
@@ -129,13 +148,13 @@ def normalize_text(text: Column, options: dict | None = None) -> Column:
         out = F.regexp_replace(out, _SPACE + "+", "")
     if o.get("trim", True):
         out = strip(out, ascii_only)
-    if o.get("case_insensitive", False):
-        out = F.lower(out) if ascii_only else _unicode(False, True)(out)
-    if o.get("remove_special_characters", False):
-        out = F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s-]", "")
     return out
 
 
+def _letters(out: Column, o: dict) -> Column:
+    return F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s-]", "") if o.get("remove_special_characters", False) else out
+
+
 def to_float(text: Column) -> Column:
     """What float() takes, by a guard that try_cast lacks; not-a-number reads as null."""
     sign = F.when(text.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -211,8 +230,23 @@ def plain_key(kind: T.DataType, options) -> bool:
 
 def normalize_key(text: Column, options) -> Column:
     """One key component; ``options`` as attributes (KeyOptions) and ``assume_ascii`` if it has that."""
+    return _key_form(normalize_text(text, dict(vars(options))), options)
+
+
+def normalize_keys(texts: Column, options) -> Column:
+    """``normalize_key`` of every text of an array: however many they are, a Python step takes them at once."""
     o = dict(vars(options))
-    value = normalize_text(text, o)
+    nfkc, fold = (o.get(x, d) and not o.get("assume_ascii", False) for x, d in (("unicode_normalize", True), ("case_insensitive", False)))
+    if not nfkc and not fold:
+        return F.transform(texts, lambda t: normalize_key(t, options))
+    out = F.transform(texts, lambda t: _not_missing(t, o))
+    out = F.transform(_unicode(True, False, True)(out) if nfkc else out, lambda t: _between(t, o))
+    out = _unicode(False, True, True)(out) if fold else out
+    return F.transform(out, lambda t: _key_form(_letters(t, o), options))
+
+
+def _key_form(value: Column, options) -> Column:
+    """The steps of keys alone."""
     if not (options.strip_numeric_dot_zero or options.date_format or options.coerce_numeric_string):
         return value
 

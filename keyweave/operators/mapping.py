@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from functools import cached_property
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.config import ConfigError, KeyOptions
-from keyweave.functions.normalize import as_text, normalize_key, strip
+from keyweave.functions.normalize import as_text, normalize_keys, strip
 
 GROUP_SCHEMA = "row_number long, canonical string, aliases array<string>"
 STATS = ("canonical_count", "alias_count", "mapping_item_count", "duplicate_alias_count", "empty_alias_cell_count", "collision_alias_count", "empty_canonical_count", "duplicate_row_count", "aliasless_group_count")
@@ -142,16 +143,21 @@ class Mapping:
         return wide.withColumn("empty_alias_cell_count", F.col("unnamed") + F.col("all_named") - F.col("alias_count")).select(*[F.col(c).cast("long").alias(c) for c in STATS])
 
 
-def build(groups: DataFrame, options: KeyOptions) -> Mapping:
-    """A mapping of (row_number, canonical, aliases) rows."""
-    standard = normalize_key(F.col("canonical"), options)
-    tidy = groups.withColumn("standard", F.when(~_empty(F.col("canonical")) & ~_empty(standard), standard))
-    tidy = tidy.withColumn("named", F.filter("aliases", lambda a: ~_empty(a))).withColumn("signature", F.transform("aliases", lambda a: F.when(_empty(a), "").otherwise(a)))
-    usable = tidy.where("standard is not null")
-    told = F.concat(F.array(F.struct(F.col("canonical").alias("raw"), F.lit(True).alias("is_canonical"))), F.transform("named", lambda a: F.struct(a.alias("raw"), F.lit(False).alias("is_canonical"))))
-    rows = usable.select("row_number", F.col("canonical").alias("raw_canonical"), F.col("standard").alias("canonical"), F.posexplode(told).alias("position", "r")).select("row_number", "raw_canonical", "canonical", "position", "r.*")
-    registered = rows.withColumn("alias", normalize_key(F.col("raw"), options)).where(~_empty(F.col("alias")))
-    return Mapping(tidy, registered)
+def build(groups: DataFrame, options: KeyOptions, assume_ascii: bool = False) -> Mapping:
+    """A mapping of (row_number, canonical, aliases) rows; ``assume_ascii`` says that no text is beyond ASCII.
+
+    The texts of a group are normalised together, so that a task has one Python worker beside it where a
+    Python step is needed, whatever is asked of the mapping.
+    """
+    used = SimpleNamespace(**vars(options), assume_ascii=assume_ascii)
+    tidy = groups.withColumn("named", F.filter("aliases", lambda a: ~_empty(a))).withColumn("signature", F.transform("aliases", lambda a: F.when(_empty(a), "").otherwise(a)))
+    tidy = tidy.withColumn("told", F.concat(F.array("canonical"), "named"))
+    tidy = tidy.withColumn("normal", normalize_keys(F.coalesce("told", F.array("canonical")), used)).withColumn("standard", F.get("normal", F.lit(0)))
+    tidy = tidy.withColumn("standard", F.when(~_empty(F.col("canonical")) & ~_empty(F.col("standard")), F.col("standard")))
+    usable = tidy.where("standard is not null").select("row_number", F.col("canonical").alias("raw_canonical"), F.col("standard").alias("canonical"), F.arrays_zip(F.col("told").alias("raw"), F.col("normal").alias("alias")).alias("texts"))
+    rows = usable.select("row_number", "raw_canonical", "canonical", F.posexplode("texts").alias("position", "r"))
+    registered = rows.select("row_number", "raw_canonical", "canonical", "position", F.col("r.raw").alias("raw"), (F.col("position") == 0).alias("is_canonical"), F.col("r.alias").alias("alias")).where(~_empty(F.col("alias")))
+    return Mapping(tidy.drop("told", "normal"), registered)
 
 
 def build_mapping(spark: SparkSession, groups: dict[str, list] | DataFrame, options: KeyOptions) -> Mapping:
