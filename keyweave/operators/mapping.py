@@ -161,7 +161,11 @@ def build(groups: DataFrame, options: KeyOptions, assume_ascii: bool = False) ->
 
 
 def build_mapping(spark: SparkSession, groups: dict[str, list] | DataFrame, options: KeyOptions) -> Mapping:
-    return build(groups if isinstance(groups, DataFrame) else groups_from_dict(spark, groups), options)
+    """A mapping of a table of groups, or of a dictionary; where all of that is ASCII, no Python step is in the plan."""
+    if isinstance(groups, DataFrame):
+        return build(groups, options)
+    plain = all(str(x).isascii() for k, values in groups.items() for x in (k, *values))
+    return build(groups_from_dict(spark, groups), options, assume_ascii=plain)
 
 
 def applied(df: DataFrame, key: str, mapping: Mapping, standard: str, canonical: str) -> DataFrame:

@@ -82,3 +82,22 @@ def test_header_candidates(spark):
     grid = spark.createDataFrame([(1, "title", None), (2, "id", "name"), (3, "1", "1")], "__row_no long, a string, b string")
     found = profile.header_candidates(grid).collect()
     assert [(r.row_number, r.score) for r in found] == [(2, 3.0), (3, 2.5), (1, 2.0)]
+
+
+def test_a_group_goes_through_python_once(spark, tmp_path):
+    rows = [(2, "Ａ", ["ｘ１", "STRASSE", None]), (3, "b", ["Straße", " "]), (4, "-", ["y"])]
+    spark.createDataFrame(rows, mapping.GROUP_SCHEMA).write.parquet(str(tmp_path / "groups"))
+    built = mapping.build(spark.read.parquet(str(tmp_path / "groups")), KeyOptions(case_insensitive=True, unicode_normalize=False))
+    for found in (built.registrations, built.groups):
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 1
+    assert built.registrations._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    wide = mapping.build(spark.read.parquet(str(tmp_path / "groups")), FOLD)
+    assert {(r.alias, r.canonical) for r in wide.registrations.collect()} == {("a", "a"), ("x1", "a"), ("strasse", "a"), ("b", "b"), ("strasse", "b")}
+    assert codes(wide) == [("EMPTY_CANONICAL", None), ("NORMALIZED_ALIAS_CONFLICT", "strasse")]
+
+
+def test_ascii_groups_need_no_python(spark):
+    plain, wide = (mapping.build_mapping(spark, g, FOLD) for g in ({"A": ["X ", None], 1: [2]}, {"A": ["Ｘ"], "B": ["Straße"]}))
+    assert "EvalPython" not in plain.pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.alias, r.canonical) for r in plain.pairs.collect()} == {("a", "a"), ("x", "a"), ("1", "1"), ("2", "1")}
+    assert {(r.alias, r.canonical) for r in wide.pairs.collect()} == {("a", "a"), ("x", "a"), ("b", "b"), ("strasse", "b")}
