@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyweave.config import COLLECTION_POLICIES, Comparison, ConfigError, Dataset, DuplicatePolicy, KeyMapping, KeyOptions, NullPolicy, Rule, Tolerance
-from keyweave.functions.compare import EQUAL, FAILED
+from keyweave.functions.compare import FAILED
 from keyweave.functions.normalize import as_text, strip
 from keyweave.operators.reconcile import FLAGS, lookup, reconcile, with_row_id
 
@@ -112,9 +112,8 @@ def compare_typed(a: DataFrame, b: DataFrame, options: Options, order_a: str | N
         picks = column or first if options.policy == "representative" else None
         settings.append((Dataset(key_columns=keys if mapped else [KEY], key_normalization=KeyOptions(case_insensitive=options.case_insensitive_keys) if mapped else KeyOptions(unicode_normalize=False, strip_numeric_dot_zero=False), key_mappings=options.mappings if mapped else {}), DuplicatePolicy(side, "error" if options.policy == "report" else options.policy, picks, "desc")))
     config = Comparison(settings[0][0], settings[1][0], "outer", settings[0][1], settings[1][1], "error" if options.policy == "report" else options.policy, options.rules)
-    result = reconcile(*sides, config, key_only=not options.rules, nm_picks=True, drop_nulls=True, with_trace=with_trace, json_keys=not mapped)
-    matched = F.forall("rules", lambda x: x.status == EQUAL)
-    status = F.coalesce(lookup(STATUSES, F.col("status")), F.when(matched, "matched").otherwise("changed"))
+    result = reconcile(*sides, config, key_only=not options.rules, nm_picks=True, drop_nulls=True, with_trace=with_trace, json_keys=not mapped, with_equal=True)
+    status = F.coalesce(lookup(STATUSES, F.col("status")), F.when(F.col("equal"), "matched").otherwise("changed"))
     repeated = (F.col("a_count") > 1) | (F.col("b_count") > 1)
     flags = F.col("flags").bitwiseOR(F.when(F.col("status") == "NM_PENDING", FLAGS["STRUCTURAL_BLOCK"]).when((F.col("status") == "CONVERSION_FAILED") & repeated, FLAGS["DUPLICATE"]).otherwise(0))
     rates = F.transform("rules", lambda x: F.struct(F.try_divide(x.absolute_difference, F.abs(x.normalized_a.try_cast("double"))).alias("a"), F.try_divide(x.absolute_difference, F.abs(x.normalized_b.try_cast("double"))).alias("b")))

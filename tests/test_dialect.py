@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from keyweave.config import ConfigError, KeyMapping
 from keyweave.operators.dialect import Options, boolean, compare_typed, day, dialect_view, number, shown_values, text
@@ -109,3 +110,14 @@ def test_typed_keys_have_no_text_steps(spark):
     text = compare_typed(rows, rows, Options(["s"], rules=[number("v")]))
     assert {r.key for r in text.collect()} == {'[{"type":"string","value":"a\\" b"}]', '[{"type":"string","value":"x"}]', None}
     assert [r.k for r in rows.select(typed_key(rows, ["i", "s"]).alias("k")).collect()] == ['[{"type":"int","value":"1"},{"type":"string","value":"a\\" b"}]', None, None]
+
+
+def test_statuses_of_policies_need_no_shown_values(spark):
+    rows = spark.range(40).selectExpr("id % 30 AS k", "cast(id % 10 AS double) AS v")
+    for policy in ("set", "multiset", "aggregate"):
+        found = compare_typed(rows, rows.where("v < 9"), Options(["k"], rules=[number("v")], duplicate_policy=policy))
+        plan = found.select("key", "status", "a_count")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "collect_list" not in plan
+        assert {(r.status, r.n) for r in found.groupBy("status").agg(F.count("*").alias("n")).collect()} == {("matched", 27), ("removed", 3)}
+    one_to_many = compare_typed(rows, rows.dropDuplicates(["k"]), Options(["k"], rules=[number("v")], duplicate_policy="set"))
+    assert {r.status for r in one_to_many.collect()} == {"matched"}
