@@ -33,9 +33,12 @@ def with_positions(df: DataFrame, name: str) -> DataFrame:
     share its number.
     """
     files = sorted(re.sub("^file:/+", "file:/", x) for x in df.inputFiles())
-    rows = df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias(_FILE), (F.col("_metadata.row_index") + 1).alias(_PLACE))
+    path = F.col("_metadata.file_path")
+    path = F.when(path.startswith("file:/"), F.concat(F.lit("file:/"), F.ltrim(F.substring(path, 7, 1 << 30), F.lit("/")))).otherwise(path)
+    rows = df.select("*", path.alias(_FILE), (F.col("_metadata.row_index") + 1).alias(_PLACE))
     if len(files) > 1:
-        numbers = df.sparkSession.createDataFrame(list(enumerate(files)), f"{name} long, {_FILE} string")
+        # Spark doesn't know how small a local list is: unasked, it would shuffle and sort the rows by file, a whole file in one task
+        numbers = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(files)), f"{name} long, {_FILE} string"))
         rows = rows.join(numbers, _FILE).withColumn(name, F.shiftleft(name, PLACE_BITS) + F.col(_PLACE))
     else:
         rows = rows.withColumn(name, F.col(_PLACE))
