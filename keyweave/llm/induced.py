@@ -11,7 +11,7 @@ queue by symbol and arrival.
 
 At the level of bytes each suffix tuple carries the length it has in common with the one pushed before
 it: one more than the least common length met since.  Neighbours with ``depth`` in common are the
-repeated strings.  Common lengths are exact up to ``CAP``.
+repeated strings.  Common lengths are exact up to ``depth``, which is at most ``CAP``.
 
 Memory: ``memory`` tuples in the queues of a level, as many in a sort, and the tuples of one block of
 names or one batch of bytes.  Queues and sorted runs beyond that go to files in the task's temporary
@@ -44,6 +44,11 @@ def room(n: int, dtype, memory: int) -> np.ndarray:
     return np.memmap(file, dtype, "r+", shape=n)
 
 
+def plain(mapped: np.ndarray) -> np.ndarray:
+    """The same memory or file as an ordinary array, of which a slice is cheaper."""
+    return mapped.view(np.ndarray)
+
+
 def chunks(n: int, memory: int = _CHUNK) -> Iterator[tuple[int, int]]:
     size = min(_CHUNK, max(1024, memory))
     for a in range(0, n, size):
@@ -70,7 +75,7 @@ class Places:
             return np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
         self.file.writelines(x.tobytes() for x in self.parts)
         self.file.flush()
-        return np.memmap(self.file, np.int64, "r", shape=self.total)
+        return plain(np.memmap(self.file, np.int64, "r", shape=self.total))
 
 
 class Queues:
@@ -93,7 +98,8 @@ class Queues:
 
     def push_by(self, part: np.ndarray, place: np.ndarray) -> None:
         """Each place to its own part, in the order given."""
-        order = np.argsort(part, kind="stable")
+        small = len(self.parts) <= 1 << 16  # numbers of 16 bits are sorted without comparisons
+        order = np.argsort(part.astype(np.uint16) if small else part, kind="stable")
         part, place = part[order], place[order]
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
         for a, b in zip(edges, edges[1:], strict=False):
@@ -167,7 +173,10 @@ class Sorter:
     @staticmethod
     def _sorted(parts: list) -> tuple[np.ndarray, ...]:
         rank, key, index = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key, kind="stable") if not rank.any() else np.lexsort((key, rank))
+        # equal tuples may come in any order
+        order = np.argsort(key)
+        if rank.any():
+            order = order[np.argsort(rank[order], kind="stable")]
         return rank[order], key[order], index[order]
 
     def _write(self) -> None:
@@ -178,7 +187,7 @@ class Sorter:
         for x in columns:
             self.file.write(x.tobytes())
         self.file.flush()
-        self.runs.append(tuple(np.memmap(self.file, t, "r", at + 8 * n * i, n) for i, t in enumerate((np.int64, np.uint64, np.int64))))
+        self.runs.append(tuple(plain(np.memmap(self.file, t, "r", at + 8 * n * i, n)) for i, t in enumerate((np.int64, np.uint64, np.int64))))
         self.parts, self.held = [], 0
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, ...]]:
@@ -229,7 +238,7 @@ def _named(n: int, length, word, per: int, rounds: int, memory: int) -> tuple[np
     ``length(i)``: symbols of pieces i; ``word(i, k)``: word k of pieces i as unsigned numbers that compare
     like the symbols, with all bits set behind the end, since the longer of two alike is smaller.
     """
-    names, unique = room(n, np.int64, memory), True
+    names, unique = plain(room(n, np.int64, memory)), True
     active: np.ndarray | None = None  # all
     for k in range(rounds):
         sorter = Sorter(memory)
@@ -264,8 +273,8 @@ def _named(n: int, length, word, per: int, rounds: int, memory: int) -> tuple[np
 
 
 def _refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Ranks count the smaller ones; equal ranks, all of them active or none, are told apart by ``key``.  What stays tied comes back."""
-    order = np.lexsort((key, rank[active]))
+    """Ranks count the smaller ones; equal ranks, all of them active or none, are told apart by ``key``, a rank or -1.  What stays tied comes back."""
+    order = np.argsort(rank[active] * (len(rank) + 1) + key)
     who, k = active[order], key[order]
     r = rank[who]
     new_rank = np.ones(len(who), bool)
@@ -308,29 +317,32 @@ def _block(names: np.ndarray, arrived: np.ndarray, known: np.ndarray, low: int,
     """
     place = np.concatenate((arrived, known))
     kind = np.repeat([0, 2], [len(arrived), len(known)])
-    jump = np.arange(len(place))
-    seq = np.concatenate((np.arange(len(arrived)), np.arange(len(known))))
-    before = np.full(len(place), -1)
-    front = np.arange(len(place))
-    while len(front):
-        p = place[front] - 1
-        name, own = names[np.maximum(p, 0)], names[place[front]]
-        follows = (name < own if down else name > own) | ((name == own) & (kind[front] != 2))
+    own, jump, size = names[place], np.arange(len(place)), len(place)
+    levels, before = [(place, own, jump)], []
+    while len(place):
+        p = place - 1
+        name = names[np.maximum(p, 0)]
+        follows = own > name if down else own < name
+        same = own == name
+        if len(levels) == 1:
+            same &= kind != 2
+        follows |= same
         follows &= p >= 0
         inside = follows & ((name >= low) if down else (name < high))
-        out = np.flatnonzero(follows & ~inside)
-        before[front[out]] = p[out]
+        before.append(np.where(follows & ~inside, p, -1))
         new = np.flatnonzero(inside)
-        size = len(place)
-        place = np.concatenate((place, p[new]))
-        kind = np.concatenate((kind, np.ones(len(new), np.int64)))
-        jump = np.concatenate((jump, front[new]))
-        seq = np.concatenate((seq, np.zeros(len(new), np.int64)))
-        before = np.concatenate((before, np.full(len(new), -1)))
-        front = np.arange(size, len(place))
-    name = names[place]
+        jump = size - len(place) + new
+        place, own = p[new], name[new]
+        levels.append((place, own, jump))
+        size += len(place)
+    place, name, jump = (np.concatenate(x) for x in zip(*levels, strict=True))
+    before = np.concatenate(before) if before else np.zeros(0, np.int64)
+    kind = np.concatenate((kind, np.ones(size - len(kind), np.int64)))
+    seq = np.zeros(size, np.int64)
+    seq[: len(arrived)] = np.arange(len(arrived))
+    seq[len(arrived) : len(arrived) + len(known)] = np.arange(len(known))
     major = (((high - 1 - name) if down else (name - low)) * 3 + kind) * (len(seq) + 1) + seq
-    order = np.argsort(major, kind="stable")
+    order = np.argsort(major)
     m = major[order]
     new = np.ones(len(order), bool)
     new[1:] = m[1:] != m[:-1]
@@ -372,7 +384,7 @@ def _induced_order(names: np.ndarray, minima: np.ndarray, memory: int) -> np.nda
         place, larger, before = _block(names, arrived, known, low, high, False)
         found.push(b, place[larger])
         queues.push_by(names[before] // width, before)
-    order, queues = room(n, np.int64, memory), Queues(blocks, memory)
+    order, queues = plain(room(n, np.int64, memory)), Queues(blocks, memory)
     for b in reversed(range(blocks)):
         known, arrived = found.all(b)[::-1], queues.all(b)
         if not len(known) and not len(arrived):
@@ -388,7 +400,7 @@ def sorted_names(names: np.ndarray, unique: bool, depth: int, memory: int) -> np
     """The places of a string of names in the order of their suffixes, up to ``depth`` names."""
     n = len(names)
     if unique:
-        order = room(n, np.int64, memory)
+        order = plain(room(n, np.int64, memory))
         for a, b in chunks(n, memory):
             order[names[a:b]] = np.arange(a, b)
         return order
@@ -411,7 +423,7 @@ def sorted_names(names: np.ndarray, unique: bool, depth: int, memory: int) -> np
         return key
 
     inner = sorted_names(*_named(len(minima), length, word, per, depth // per + 1, memory), -(-depth // 2), memory)
-    seeds = room(len(minima), np.int64, memory)
+    seeds = plain(room(len(minima), np.int64, memory))
     for a, b in chunks(len(minima), memory):
         seeds[a:b] = minima[inner[a:b]]
     return _induced_order(names, seeds, memory)
@@ -427,20 +439,28 @@ class Suffixes:
         self.text, self.depth, self.memory = text[: self.n], depth, memory
         #: the eight bytes from each place on, the first one lowest
         self.words = np.ndarray((max(0, len(text) - 7),), "<u8", text, 0, (1,))
+        #: the sixteen from each place on, which are fetched at once and are not numbers
+        self.pairs = np.ndarray((max(0, len(text) - 15),), "<c16", text, 0, (1,))
 
     def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Common lengths, up to CAP, eight bytes at a time."""
-        out = np.zeros(len(x), np.int16)
+        """Common lengths, up to ``depth``, sixteen bytes at a time."""
+        out = np.full(len(x), self.depth, np.int16)
         active = np.arange(len(x))
-        for at in range(0, CAP + 1, 8):
-            odd = self.words[x[active] + at] ^ self.words[y[active] + at]
-            differ = odd != 0
-            low = odd & (~odd + np.uint64(1))
-            out[active] = at + np.where(differ, (np.frexp(low.astype(np.float64))[1] - 1) >> 3, 8)
-            active = active[~differ]
+        for at in range(0, self.depth, 16):
+            odd = (self.pairs[x + at].view(np.uint64) ^ self.pairs[y + at].view(np.uint64)).reshape(-1, 2)
+            same = (odd[:, 0] | odd[:, 1]) == 0
+            differ = np.flatnonzero(~same)
+            if not len(differ):
+                continue
+            low = odd[differ, 0]
+            second = low == 0
+            low[second] = odd[differ[second], 1]
+            low &= ~low + np.uint64(1)
+            out[active[differ]] = at + 8 * second + ((np.frexp(low.astype(np.float64))[1] - 1) >> 3)
+            active, x, y = active[same], x[same], y[same]
             if not len(active):
                 break
-        return np.minimum(out, CAP)
+        return np.minimum(out, self.depth)
 
     def minima(self) -> np.ndarray:
         """The places of local minima, in the order of their suffixes up to ``depth``."""
@@ -460,7 +480,7 @@ class Suffixes:
 
         names, unique = _named(m, length, word, 8, self.depth // 8 + 1, self.memory)
         order = sorted_names(names, unique, -(-self.depth // 2), self.memory)
-        out = room(m, np.int64, self.memory)
+        out = plain(room(m, np.int64, self.memory))
         for a, b in chunks(m, self.memory):
             out[a:b] = places[order[a:b]]
         return out
@@ -473,9 +493,10 @@ class Suffixes:
 
     def repeated(self) -> np.ndarray:
         """Which suffixes share their first ``depth`` symbols with another."""
-        self.marks = room(self.n, bool, self.memory)
+        marks = room(self.n, bool, self.memory)
+        self.marks = plain(marks)
         if not self.n:
-            return self.marks
+            return marks
         minima = self.minima()
         present = np.flatnonzero(self._counts()).tolist()
         larger, store = Queues(SYMBOLS, self.memory), Queues(SYMBOLS, self.memory)
@@ -525,7 +546,7 @@ class Suffixes:
                         self.marks[last] = self.marks[place[0]] = True
                 last = int(place[-1])
                 self._induce(c, place, common, least, smaller, True, False, True)
-        return self.marks
+        return marks
 
     @staticmethod
     def _backwards(store: Queues, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -626,4 +647,4 @@ def joined(pieces: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
     file.write(bytes(_PAD))
     file.flush()
-    return np.memmap(file, np.uint8, "r"), np.array(starts)
+    return plain(np.memmap(file, np.uint8, "r")), np.array(starts)

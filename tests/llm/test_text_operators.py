@@ -255,6 +255,30 @@ def test_long_runs_and_periods():
             assert [bool(found[s + i]) for i in range(len(p) - 199)] == [seen[p[i : i + 200]] > 1 for i in range(len(p) - 199)]
 
 
+def test_common_lengths_are_fetched_sixteen_bytes_at_once():
+    """And no further than ``depth``; each exact."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 99, 900, dtype=np.uint8)
+    other = base.copy()
+    other[[300, 417, 640]] ^= 3
+    text, starts = joined(iter([base, other]))
+    sorter, fetched = Suffixes(text, 200), []
+
+    class Counted:
+        def __init__(self, array):
+            self.array = array
+
+        def __getitem__(self, places):
+            fetched.append(len(places))
+            return self.array[places]
+
+    sorter.words, sorter.pairs = Counted(sorter.words), Counted(sorter.pairs)
+    at = np.arange(900)
+    found = sorter._common(at + starts[0], at + starts[1])
+    expected = [next((k for k in range(200) if i + k >= 900 or base[i + k] != other[i + k]), 200) for i in range(900)]
+    assert np.minimum(found, [900 - i for i in range(900)]).tolist() == expected and len(fetched) <= 2 * 13
+
+
 def test_a_shard_larger_than_memory_stays_on_disk():
     """Text, queues, runs, names, orders and marks are in files: in memory are under two bytes for each of the text, where one array of places alone has eight."""
     import tracemalloc
